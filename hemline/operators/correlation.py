@@ -7,6 +7,7 @@ from math import erfc, log, sqrt
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from hemline.functions.common import ColumnLike, col
 
@@ -30,7 +31,7 @@ def pearson(df: DataFrame, x: ColumnLike, y: ColumnLike) -> DataFrame:
     return df.agg(pearson_r(x, y).alias("r"), F.count(_pairs(x, y)[0]).alias("n"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_normal(z: pd.Series) -> pd.Series:
     """2 * (1 - Phi(z)); the built-in functions have no error function."""
     return z.map(lambda value: erfc(value / sqrt(2.0)), na_action="ignore")

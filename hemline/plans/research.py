@@ -18,7 +18,7 @@ from hemline.operators.aggregates import (
     cpw_by_category_complete,
 )
 from hemline.operators.clusters import cluster_products
-from hemline.operators.correlation import pearson, pearson_r, regression_line, with_p_value
+from hemline.operators.correlation import pearson_r, regression_line, with_p_value
 from hemline.operators.quantiles import quality_quartiles_by_claim
 from hemline.plans.products import enrich_products, normalize_products
 from hemline.session import written
@@ -55,7 +55,6 @@ class Study:
     claim_quartiles: DataFrame
     metrics: DataFrame
     line: DataFrame
-    correlation: DataFrame
 
 
 def study(products: DataFrame, k: int = CLUSTERS, seed: int = CLUSTER_SEED,
@@ -76,7 +75,6 @@ def study(products: DataFrame, k: int = CLUSTERS, seed: int = CLUSTER_SEED,
         claim_quartiles=quality_quartiles_by_claim(claim_rows, QUARTILES),
         metrics=study_metrics(enriched),
         line=regression_line(enriched, QUALITY, SENTIMENT),
-        correlation=pearson(enriched, QUALITY, SENTIMENT),
     )
 
 

@@ -2,9 +2,15 @@
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "boolean": T.BooleanType(), "string": T.StringType(), "int": T.IntegerType(),
+    "bigint": T.LongType(), "double": T.DoubleType(),
+}
+
 
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    fields = [field.split() for field in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 # Forum comments, 23 fields.
@@ -20,7 +26,7 @@ FORUM_COMMENTS = _schema(
 FORUM_SUBMISSIONS = _schema(
     "archived boolean, author string, author_flair_css_class string, author_flair_text string, "
     "created bigint, created_utc string, distinguished string, domain string, downs bigint, "
-    "edited boolean, `from` string, from_id string, from_kind string, gilded bigint, "
+    "edited boolean, from string, from_id string, from_kind string, gilded bigint, "
     "hide_score boolean, id string, is_self boolean, link_flair_css_class string, "
     "link_flair_text string, media string, name string, num_comments bigint, over_18 boolean, "
     "permalink string, quarantine boolean, retrieved_on bigint, saved boolean, score bigint, "
