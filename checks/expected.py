@@ -101,6 +101,13 @@ quality AS (SELECT doc_id, CAST(sum(frac * score) AS DOUBLE) AS quality FROM sco
 """
 
 
+def half_even(value: str, digits: int) -> str:
+    """Round as the scores are defined: a tie goes to the even neighbour."""
+    scaled = f"({value}) * {10 ** digits}"
+    return (f"CASE WHEN abs({scaled} - trunc({scaled})) = 0.5 AND trunc({scaled}) % 2 = 0 "
+            f"THEN trunc({scaled}) / {10 ** digits} ELSE round({value}, {digits}) END")
+
+
 def sentiment(texts: str, lexicon: str) -> str:
     """CTEs ending in ``sentiment(key, neg, neu, pos, compound)``.
 
@@ -117,7 +124,7 @@ def sentiment(texts: str, lexicon: str) -> str:
             2: "CASE WHEN w2 = 'never' AND w1 IN ('so', 'this') THEN 1.5 END",
             3: "CASE WHEN (w3 = 'never' AND w2 IN ('so', 'this')) OR w1 IN ('so', 'this') THEN 1.25 END",
         }[back]
-        return f"""CASE WHEN at > {back - 1} AND l{back} IS NULL THEN
+        return f"""CASE WHEN pos_at > {back - 1} AND l{back} IS NULL THEN
           ({value} + CASE WHEN low{back} IN ({boosters}, 'kind of', 'sort of', 'just enough') THEN {weight} * (
               (CASE WHEN low{back} IN ({text_list(V.INTENSIFIERS)}) THEN 0.293 ELSE -0.293 END)
                 * (CASE WHEN {value} < 0 THEN -1 ELSE 1 END)
@@ -131,28 +138,28 @@ def sentiment(texts: str, lexicon: str) -> str:
 texts AS ({texts}),
 lexicon AS ({lexicon}),
 raw_words AS (
-  SELECT key, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS at FROM (
+  SELECT key, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS pos_at FROM (
     SELECT key, list_filter(string_split_regex(body, '\\s+'), lambda w: length(w) > 1) AS l FROM texts)),
 bare_words AS (
-  SELECT key, at, CASE
+  SELECT key, pos_at, CASE
       WHEN regexp_matches(w, '^{edge}{body}$') THEN regexp_replace(w, '^{edge}{body}$', '\\1')
       ELSE regexp_replace(w, '^{body}{edge}$', '\\1') END AS w
   FROM raw_words),
 words AS (
-  SELECT b.key, b.at, b.w, lower(b.w) AS low, (b.w = upper(b.w) AND b.w <> lower(b.w)) AS up, x.valence AS l
+  SELECT b.key, b.pos_at, b.w, lower(b.w) AS low, (b.w = upper(b.w) AND b.w <> lower(b.w)) AS up, x.valence AS l
   FROM bare_words b LEFT JOIN lexicon x ON lower(b.w) = x.term),
 around AS (
   SELECT *, {", ".join(
       f"lag({c}, {k}) OVER place AS {c}{k}" for k in (1, 2, 3) for c in ("w", "low", "up", "l"))},
       lead(w, 1) OVER place AS next1, lead(w, 2) OVER place AS next2
-  FROM words WINDOW place AS (PARTITION BY key ORDER BY at)),
+  FROM words WINDOW place AS (PARTITION BY key ORDER BY pos_at)),
 per_text AS (
   SELECT key, count(*) AS n, bool_or(up) AND bool_or(NOT up) AS mixed,
-         min(CASE WHEN low = 'but' THEN at END) AS but_at
+         min(CASE WHEN low = 'but' THEN pos_at END) AS but_at
   FROM words GROUP BY key),
 first_place AS (
   SELECT a.*, p.mixed FROM around a JOIN per_text p USING (key)
-  WHERE a.l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.key, a.w ORDER BY a.at) = 1),
+  WHERE a.l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.key, a.w ORDER BY a.pos_at) = 1),
 step0 AS (
   SELECT *, CAST(l AS DOUBLE) + CASE WHEN mixed AND up THEN (CASE WHEN l > 0 THEN 0.733 ELSE -0.733 END) ELSE 0 END AS v0
   FROM first_place),
@@ -161,7 +168,7 @@ step2 AS (SELECT *, {step("v1", 2, 0.95)} AS v2 FROM step1),
 step3 AS (SELECT *, {step("v2", 3, 0.9)} AS v3 FROM step2),
 idioms(phrase, own) AS (VALUES {rows(V.IDIOMS)}),
 step4 AS (
-  SELECT s.*, CASE WHEN at > 2 AND l3 IS NULL THEN
+  SELECT s.*, CASE WHEN pos_at > 2 AND l3 IS NULL THEN
       coalesce(
         (SELECT own FROM idioms WHERE phrase = w || ' ' || next1 || ' ' || next2),
         (SELECT own FROM idioms WHERE phrase = w || ' ' || next1),
@@ -176,11 +183,11 @@ step4 AS (
     ELSE v3 END AS v4
   FROM step3 s),
 step5 AS (
-  SELECT key, w, v4 * CASE WHEN at > 0 AND l1 IS NULL AND low1 = 'least'
-                           AND NOT (at > 1 AND low2 IN ('at', 'very')) THEN -0.74 ELSE 1 END AS value
+  SELECT key, w, v4 * CASE WHEN pos_at > 0 AND l1 IS NULL AND low1 = 'least'
+                           AND NOT (pos_at > 1 AND low2 IN ('at', 'very')) THEN -0.74 ELSE 1 END AS value
   FROM step4),
 valued AS (
-  SELECT a.key, s.value * CASE WHEN p.but_at IS NULL OR a.at = p.but_at THEN 1.0 WHEN a.at < p.but_at THEN 0.5 ELSE 1.5 END AS value
+  SELECT a.key, s.value * CASE WHEN p.but_at IS NULL OR a.pos_at = p.but_at THEN 1.0 WHEN a.pos_at < p.but_at THEN 0.5 ELSE 1.5 END AS value
   FROM around a JOIN step5 s ON a.key = s.key AND a.w = s.w JOIN per_text p ON a.key = p.key
   WHERE a.l IS NOT NULL AND a.low NOT IN ({boosters}) AND NOT (a.low = 'kind' AND coalesce(lower(a.next1) = 'of', FALSE))),
 sums AS (
@@ -202,10 +209,10 @@ masses AS (
   FROM marks),
 sentiment AS (
   SELECT key,
-         coalesce(round(CAST(neg AS DOUBLE) / (neg + neu + pos), 3), 0.0) AS neg,
-         coalesce(round(CAST(neu AS DOUBLE) / (neg + neu + pos), 3), 0.0) AS neu,
-         coalesce(round(CAST(pos AS DOUBLE) / (neg + neu + pos), 3), 0.0) AS pos,
-         CASE WHEN n IS NULL THEN 0.0 ELSE round(CAST(total / sqrt(total * total + 15) AS DOUBLE), 4) END AS compound
+         coalesce({half_even("CAST(neg AS DOUBLE) / (neg + neu + pos)", 3)}, 0.0) AS neg,
+         coalesce({half_even("CAST(neu AS DOUBLE) / (neg + neu + pos)", 3)}, 0.0) AS neu,
+         coalesce({half_even("CAST(pos AS DOUBLE) / (neg + neu + pos)", 3)}, 0.0) AS pos,
+         CASE WHEN n IS NULL THEN 0.0 ELSE {half_even("CAST(total / sqrt(total * total + 15) AS DOUBLE)", 4)} END AS compound
   FROM masses)
 """
 

@@ -203,7 +203,7 @@ def period_and_name_filters(spark, sf_dir):
 
 
 @query(f"""WITH listing AS ({LISTING_SQL}), texts AS (
-  SELECT doc_id, concat(coalesce(brand, ''), ' ', description) AS t FROM listing)
+  SELECT doc_id, coalesce(brand, '') || ' ' || description AS t FROM listing)
 SELECT doc_id FROM texts WHERE regexp_matches(lower(t), '\\b(zara|h&m|everlane)\\b')""")
 def brand_mentions(spark, sf_dir):
     texts = listing(spark, sf_dir, "doc_id", "brand", "description").select(

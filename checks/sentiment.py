@@ -56,14 +56,14 @@ _SCORED_POSTS = f"""posts AS ({POST_SQL}), cleaned AS (
 
 
 @query(f"""WITH {_SCORED_POSTS}
-SELECT year, month, subreddit, count(*) AS n_posts, round(avg(compound), 6) AS avg_compound, round(avg(pos), 6) AS avg_pos,
-       round(avg(neg), 6) AS avg_neg, round(avg(neu), 6) AS avg_neu
+SELECT year, month, subreddit, count(*) AS n_posts, round(avg(compound), 9) AS avg_compound, round(avg(pos), 9) AS avg_pos,
+       round(avg(neg), 9) AS avg_neg, round(avg(neu), 9) AS avg_neu
 FROM cleaned JOIN sentiment ON id = key GROUP BY ALL""")
 def forum_sentiment_by_period(spark, sf_dir):
     """Compose, clean, keep five tokens, score, summarize."""
     summary = sentiment_by_period(score_posts(spread(posts(spark, sf_dir))))
     means = ["avg_compound", "avg_pos", "avg_neg", "avg_neu"]
-    return summary.select("year", "month", "subreddit", "n_posts", *[F.round(m, 6).alias(m) for m in means])
+    return summary.select("year", "month", "subreddit", "n_posts", *[F.round(m, 9).alias(m) for m in means])
 
 
 @query(f"""WITH {_SCORED_POSTS}

@@ -24,7 +24,7 @@ def score_with_lexicon_table(df: DataFrame, key: str, text: str, lexicon: DataFr
     make up a large part of all words.  Each text then meets only its own terms.
     """
     entries = lexicon.groupBy("term").agg(F.min("valence").cast("double").alias("valence"))
-    salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("int"))
+    salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = (
         lexicon_terms(df, key, text)
         .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
