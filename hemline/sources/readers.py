@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,6 +65,17 @@ def with_source_file(df: DataFrame, alias: str = "source_file") -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias(alias))
 
 
+log = logging.getLogger(__name__)
+
+
+def _unreadable(error: Exception) -> bool:
+    """No such path, no schema to be found there, or not a file of that format.
+
+    Anything else, such as a lost executor, is no reason to leave data out.
+    """
+    return isinstance(error, AnalysisException) or "CANNOT_READ_FILE_FOOTER" in str(error)
+
+
 def read_all(spark: SparkSession, paths: Iterable[str], read: Callable[[SparkSession, str], DataFrame]
              ) -> list[tuple[str, DataFrame]]:
     """(path, frame) of every path that exists and can be read."""
@@ -70,8 +83,10 @@ def read_all(spark: SparkSession, paths: Iterable[str], read: Callable[[SparkSes
     for path in paths:
         try:
             frames.append((path, read(spark, path)))
-        except PySparkException:
-            continue
+        except (PySparkException, Py4JJavaError) as error:
+            if not _unreadable(error):
+                raise
+            log.warning("skipped %s: %s", path, type(error).__name__)
     return frames
 
 
