@@ -20,7 +20,7 @@ from hemline.functions.text import (
     clean_text, compose_text, durability_score, has_claim, mentions_brand, token_count,
 )
 from hemline.operators.filters import drop_missing, finite_only, is_finite, month_in, name_in_ci, year_between
-from hemline.operators.shaping import category_lookup, flatten_struct, union_products
+from hemline.operators.shaping import category_lookup, flatten_struct, spread, union_products
 from hemline.plans.cleaners import clean_products_generic, clean_products_passthrough, clean_products_semicolon
 from hemline.plans.forum import with_clean_text
 from hemline.plans.products import normalize_frame
@@ -33,7 +33,7 @@ SELECT subreddit, count(*) AS n_posts,
 FROM cleaned WHERE len(string_split_regex(t, '\\s+')) >= 5 GROUP BY subreddit""")
 def clean_text_by_source(spark, sf_dir):
     """Clean, keep five tokens or more, count per forum."""
-    cleaned = with_clean_text(posts(spark, sf_dir), F.trim(compose_text("title", "selftext")))
+    cleaned = with_clean_text(spread(posts(spark, sf_dir)), F.trim(compose_text("title", "selftext")))
     return (
         cleaned.groupBy("subreddit")
         .agg(F.count(F.lit(1)).alias("n_posts"),
@@ -46,7 +46,7 @@ def clean_text_by_source(spark, sf_dir):
 SELECT id, {clean("selftext")} AS text_clean, CAST(len(string_split_regex({clean("selftext")}, '\\s+')) AS INT) AS tokens
 FROM posts""")
 def clean_text_rows(spark, sf_dir):
-    cleaned = posts(spark, sf_dir).select("id", clean_text("selftext").alias("text_clean"))
+    cleaned = spread(posts(spark, sf_dir)).select("id", clean_text("selftext").alias("text_clean"))
     return cleaned.withColumn("tokens", token_count("text_clean"))
 
 

@@ -140,9 +140,9 @@ def cluster_means(spark, sf_dir):
 
 @query(f"""WITH a AS ({LISTING_SQL}) SELECT brand, round(avg(price), 6) AS avg_price, round(avg(c), 6) AS avg_sentiment FROM (
   SELECT brand, {price_strip("price_text")} AS price, CAST(NULL AS DOUBLE) AS c FROM a
-  UNION ALL SELECT event_type, NULL, value FROM events) GROUP BY brand""")
+  UNION ALL SELECT NULL, NULL, value FROM events) GROUP BY brand""")
 def brand_price_and_sentiment(spark, sf_dir):
-    """Products with a brand and scores with only a source tag, in one report."""
+    """Products with a brand and scores without one, in one report."""
     products = listing(spark, sf_dir, "brand", "price_text").select("brand", strip_price("price_text").alias("price"))
     scores = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("_source"), F.col("value").alias("vader_compound"))
@@ -150,6 +150,15 @@ def brand_price_and_sentiment(spark, sf_dir):
         "brand", F.round("avg_price", 6).alias("avg_price"), F.round("avg_sentiment", 6).alias("avg_sentiment"))
 
 
+@query("""SELECT event_type AS brand, CAST(NULL AS DOUBLE) AS avg_price, round(avg(value), 6) AS avg_sentiment FROM events GROUP BY 1""")
+def source_as_brand(spark, sf_dir):
+    """No input has a brand column: the source tag stands in."""
+    scores = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("_source"), F.col("value").alias("vader_compound"))
+    return brand_metrics([scores]).select(
+        "brand", "avg_price", F.round("avg_sentiment", 6).alias("avg_sentiment"))
+
+
 @query(f"""WITH reviews AS ({REVIEW_SQL}) SELECT conv_id, round(CAST(sum({durability("text")}) AS DOUBLE) / count(*), 6) AS durability,
 count(*) AS n_reviews FROM reviews GROUP BY conv_id""")
 def durability_by_product(spark, sf_dir):

@@ -139,7 +139,7 @@ def batch_text_sentiment(spark, sf_dir):
 
 @query("""SELECT brand, round(avg(price), 6) AS avg_price, round(avg(c), 6) AS avg_sentiment FROM (
   SELECT p_brand AS brand, p_retailprice AS price, CAST(NULL AS DOUBLE) AS c FROM part
-  UNION ALL SELECT event_type, NULL, value FROM events) GROUP BY brand""")
+  UNION ALL SELECT NULL, NULL, value FROM events) GROUP BY brand""")
 def brand_report_from_files(spark, sf_dir):
     """A Parquet folder of products, a CSV of scores, and a path that is not there."""
     base = scratch_path(spark, "brands")

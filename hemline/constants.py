@@ -113,8 +113,7 @@ FORUM_NOISE = (
     r"https?://\S+|www\.\S+",
     r"/u/\S+|u/\S+|@\S+",
     r"<[^>]+>",
-    r"[^a-z0-9\s]",
-    r"\s+",
+    r"[^a-z0-9]+",             # punctuation and runs of white space in one pass
 )
 MIN_TOKENS = 5
 
@@ -132,6 +131,8 @@ QUARTILES = (0.25, 0.5, 0.75)
 CLUSTER_FEATURES = ("price", "sentiment_score", "durability_score", "objective_quality_score")
 CLUSTERS = 4
 CLUSTER_SEED = 42
+CLUSTER_ITERATIONS = 300
+CLUSTER_TOLERANCE = 1e-4
 
 # Longest joined list of image addresses.
 IMAGE_TEXT_LENGTH = 2000

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,9 +19,11 @@ from hemline.functions.common import ColumnLike, col, let
 
 # A lexicon given as a mapping travels inside the plan, so its size is checked.
 MAX_PLAN_TERMS = 50_000
-_BUCKETS = 1024
+PLAN_BUCKETS = 1024
 
-Lookup = Callable[[Column], Column]
+# A text without any of these words holds no idiom and no two-word dampener.
+_PHRASE_WORDS = sorted(
+    {phrase.split()[-1] for phrase, _ in V.IDIOMS} | {pair.split()[0] for pair in V.DAMPENER_PAIRS})
 
 
 def sentiment_words(text: ColumnLike) -> Column:
@@ -40,18 +42,19 @@ def _bucketed(lexicon: Mapping[str, float]) -> Column:
             f"{len(lexicon)} terms are too many to carry in the plan (limit {MAX_PLAN_TERMS}); "
             "use operators.lexicon.score_with_lexicon_table"
         )
-    buckets: list[dict[str, float]] = [{} for _ in range(_BUCKETS)]
+    buckets: list[dict[str, float]] = [{} for _ in range(PLAN_BUCKETS)]
     for term, value in lexicon.items():
-        buckets[zlib.crc32(term.encode()) % _BUCKETS][term] = float(value)
+        buckets[zlib.crc32(term.encode()) % PLAN_BUCKETS][term] = float(value)
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,double>>")
 
 
-def _bucket_lookup(buckets: Column) -> Lookup:
-    def lookup(term: Column) -> Column:
-        position = F.pmod(F.crc32(term), F.lit(_BUCKETS)).cast("int")
-        return F.try_element_at(F.get(buckets, position), term)
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
 
-    return lookup
+
+def _valences_of(lowered: Column, buckets: Column, count: int) -> Column:
+    """Valence per word, null for a word outside the lexicon; one lookup per word."""
+    return F.transform(lowered, lambda word: F.try_element_at(F.get(buckets, bucket_of(word, count)), word))
 
 
 def _is_upper(word: Column) -> Column:
@@ -69,22 +72,24 @@ def _away_from_zero(value: Column, by: Column) -> Column:
 class _Context:
     """The words of one text, and what a position in it means for the score."""
 
-    def __init__(self, words: Column, lowered: Column, mixed_case: Column, lookup: Lookup):
-        self.words, self.lowered, self.mixed_case, self.lookup = words, lowered, mixed_case, lookup
+    def __init__(self, words: Column, prepared: Column):
+        self.words = words
+        self.lowered, self.valences = prepared["lowered"], prepared["valences"]
+        self.mixed_case, self.phrases = prepared["mixed_case"], prepared["phrases"]
 
     def scored(self, at: Column) -> Column:
         """Is the word in the lexicon and not an intensifier or the start of ``kind of``?"""
         word, following = F.get(self.lowered, at), F.get(self.lowered, at + 1)
         kind_of = (word == "kind") & F.coalesce(following == "of", F.lit(False))
         return (
-            self.lookup(word).isNotNull()
+            F.get(self.valences, at).isNotNull()
             & ~word.isin(*V.INTENSIFIERS, *V.DAMPENERS)
             & ~kind_of
         )
 
     def value(self, at: Column) -> Column:
         """Valence of the word at ``at`` as its neighbours change it."""
-        plain = self.lookup(F.get(self.lowered, at))
+        plain = F.get(self.valences, at)
         shouted = self.mixed_case & _is_upper(F.get(self.words, at))
         start = let(plain, lambda v: F.when(
             shouted, _away_from_zero(v, F.lit(V.CAPITALS_BOOST))).otherwise(v))
@@ -93,12 +98,12 @@ class _Context:
             lambda v, back: F.when(self._plain_before(at, back), self._step(v, at, back)).otherwise(v),
         )
         idiomatic = let(stepped, lambda v: F.when(
-            self._plain_before(at, F.lit(3)), self._idioms(v, at)).otherwise(v))
+            self.phrases & self._plain_before(at, F.lit(3)), self._idioms(v, at)).otherwise(v))
         return idiomatic * self._least(at)
 
     def _plain_before(self, at: Column, back: Column) -> Column:
         """There is a word ``back`` places before, and the lexicon does not hold it."""
-        return (at >= back) & self.lookup(F.get(self.lowered, at - back)).isNull()
+        return (at >= back) & F.get(self.valences, at - back).isNull()
 
     def _step(self, v: Column, at: Column, back: Column) -> Column:
         word = F.get(self.lowered, at - back)
@@ -168,7 +173,7 @@ def reduce_or(conditions) -> Column:
     return result
 
 
-def _valences(context: _Context, first_context: bool) -> Column:
+def _scored_values(context: _Context, first_context: bool) -> Column:
     """Valences of the scored words, weighted by their side of the first ``but``."""
     places = F.when(F.size(context.words) > 0, F.sequence(F.lit(0), F.size(context.words) - 1))
     hits = F.filter(places, context.scored)
@@ -238,34 +243,31 @@ def _scores(total: Column, emphasis: Column, n_words: Column) -> Column:
 
 
 def lexicon_sentiment(text: ColumnLike, lexicon: Mapping[str, float] | Column = V.DEFAULT_LEXICON,
-                      first_context: bool = True) -> Column:
+                      first_context: bool = True, buckets: int = PLAN_BUCKETS) -> Column:
     """``struct<neg, neu, pos, compound>``; four zeros for a null or blank text.
 
-    ``lexicon`` is a mapping of lower-case terms, or a map column when the terms
-    come from a table.  With ``first_context`` a repeated word takes the
-    neighbours of its first occurrence, as the library in common use does;
-    without it every occurrence takes its own.
+    ``lexicon`` is a mapping of lower-case terms, or a column holding ``buckets``
+    maps with every term in the map its checksum points to.  With
+    ``first_context`` a repeated word takes the neighbours of its first
+    occurrence, as the library in common use does; without it every occurrence
+    takes its own.
     """
     text = col(text)
     zeros = F.struct(*[F.lit(0.0).alias(name) for name in ("neg", "neu", "pos", "compound")])
 
-    def with_lookup(lookup: Lookup) -> Column:
-        def over(words: Column) -> Column:
-            def score(prepared: Column) -> Column:
-                context = _Context(words, prepared["lowered"], prepared["mixed_case"], lookup)
-                total = _totals(_valences(context, first_context))
-                return let(total, lambda t: _scores(t, _punctuation(text), F.size(words)))
-
-            prepared = F.struct(
-                F.transform(words, F.lower).alias("lowered"),
-                (F.exists(words, _is_upper) & F.exists(words, lambda w: ~_is_upper(w))).alias("mixed_case"),
-            )
-            return F.when(F.size(words) > 0, let(prepared, score))
-
-        return let(sentiment_words(text), over)
-
-    if isinstance(lexicon, Column):
-        scored = with_lookup(lambda term: F.try_element_at(lexicon, term))
-    else:
-        scored = let(_bucketed(lexicon), lambda buckets: with_lookup(_bucket_lookup(buckets)))
+    def over(words: Column, table: Column) -> Column:
+        def score(prepared: Column) -> Column:
+            total = _totals(_scored_values(_Context(words, prepared), first_context))
+            return let(total, lambda t: _scores(t, _punctuation(text), F.size(words)))
+
+        prepared = let(F.transform(words, F.lower), lambda lowered: F.struct(
+            lowered.alias("lowered"),
+            _valences_of(lowered, table, buckets).alias("valences"),
+            (F.exists(words, _is_upper) & F.exists(words, lambda w: ~_is_upper(w))).alias("mixed_case"),
+            F.arrays_overlap(words, F.array(*[F.lit(w) for w in _PHRASE_WORDS])).alias("phrases"),
+        ))
+        return F.when(F.size(words) > 0, let(prepared, score))
+
+    table = lexicon if isinstance(lexicon, Column) else _bucketed(lexicon)
+    scored = let(table, lambda t: let(sentiment_words(text), lambda words: over(words, t)))
     return F.coalesce(F.when(text.isNotNull(), scored), zeros)

@@ -16,7 +16,7 @@ from hemline.functions.common import ColumnLike, col, nan_to_null
 from hemline.functions.prices import low_quality
 from hemline.functions.text import durability_score, has_claim
 from hemline.operators.filters import drop_missing
-from hemline.operators.shaping import brand_or_source, complete_categories, union_products
+from hemline.operators.shaping import brand_or_source, complete_categories, pick, union_products
 
 SENTIMENT_COLUMNS = ("vader_compound", "vader_pos", "vader_neg", "vader_neu")
 
@@ -48,9 +48,14 @@ def cpw_by_category_complete(df: DataFrame, categories: Iterable[str] = CATEGORI
 
 def claims(df: DataFrame, description: str = "description",
            quality: str = "objective_quality_score") -> DataFrame:
-    """has_claim and quality of the rows that have a quality."""
+    """has_claim and quality of the rows that have a quality.
+
+    A frame that already holds ``has_claim`` is taken at its word, so that the
+    descriptions need not be read again.
+    """
+    flag = F.col("has_claim") if "has_claim" in df.columns else has_claim(description)
     return drop_missing(df.select(
-        has_claim(description).alias("has_claim"), F.col(quality).alias("objective_quality_score"),
+        flag.alias("has_claim"), F.col(quality).alias("objective_quality_score"),
     ), "objective_quality_score")
 
 
@@ -72,16 +77,23 @@ def mean_profile(df: DataFrame, key: str, columns: Iterable[str]) -> DataFrame:
 
 
 def brand_metrics(frames: Iterable[DataFrame]) -> DataFrame:
-    """Mean price and mean sentiment per brand; a null brand is a group of its own."""
-    def measures(df: DataFrame) -> DataFrame:
-        def measure(name: str):
-            value = F.col(name).try_cast("double") if name in df.columns else F.lit(None).cast("double")
-            return nan_to_null(value).alias(name)
-
-        return df.select(brand_or_source(df).alias("brand"), measure("price"), measure("vader_compound"))
-
-    return union_products([measures(df) for df in frames]).groupBy("brand").agg(
-        F.avg("price").alias("avg_price"), F.avg("vader_compound").alias("avg_sentiment"))
+    """Mean price and mean sentiment per brand; a null brand is a group of its own.
+
+    Rows of an input without a brand column fall into that group, unless no
+    input has one: then the source tag takes its place.
+    """
+    def needed(df: DataFrame) -> DataFrame:
+        texts = [F.col(name).cast("string") for name in ("brand", "_source") if name in df.columns]
+        numbers = [
+            nan_to_null(F.col(name).try_cast("double")).alias(name)
+            for name in ("price", "vader_compound") if name in df.columns
+        ]
+        return df.select(*texts, *numbers)
+
+    merged = union_products([needed(df) for df in frames])
+    return merged.groupBy(brand_or_source(merged).alias("brand")).agg(
+        F.avg(pick(merged, ("price",), "double")).alias("avg_price"),
+        F.avg(pick(merged, ("vader_compound",), "double")).alias("avg_sentiment"))
 
 
 def product_sentiment_mean(reviews: DataFrame, product: str, compound: ColumnLike) -> DataFrame:

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from math import sqrt
 from operator import and_
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hemline.constants import CLUSTER_FEATURES, CLUSTER_SEED, CLUSTERS, TERCILES
+from hemline.constants import (
+    CLUSTER_FEATURES, CLUSTER_ITERATIONS, CLUSTER_SEED, CLUSTER_TOLERANCE, CLUSTERS, TERCILES,
+)
 from hemline.functions.prices import cluster_name, level
 from hemline.operators.aggregates import mean_profile
 from hemline.operators.filters import is_finite
 from hemline.operators.quantiles import quantiles
-from hemline.operators.shaping import attach_names
+from hemline.operators.shaping import attach_names, spread
 
 _Z = "_z_"
 
@@ -44,20 +48,29 @@ def standardize(df: DataFrame, columns: Iterable[str], prefix: str = "z_") -> Da
     return df.select("*", *scaled)
 
 
-def _with_vector(df: DataFrame, columns: list[str], vector: str) -> DataFrame:
-    filled = df.select("*", *[F.coalesce(F.col(name), F.lit(0.0)).alias(f"{vector}_{name}") for name in columns])
-    inputs = [f"{vector}_{name}" for name in columns]
-    return VectorAssembler(inputCols=inputs, outputCol=vector).transform(filled).drop(*inputs)
+def _vector(columns: Iterable[str]) -> Column:
+    return array_to_vector(F.array(*[F.coalesce(F.col(name), F.lit(0.0)) for name in columns]))
 
 
 def fit_kmeans(df: DataFrame, columns: Iterable[str], k: int = CLUSTERS, seed: int = CLUSTER_SEED
                ) -> KMeansModel | None:
-    """Model over the rows whose columns are all finite; None if there is no such row."""
+    """Model over the rows whose columns are all finite; None if there is no such row.
+
+    The study stops once the squared shifts of all centres sum to no more than
+    ``CLUSTER_TOLERANCE``; here each centre gets an equal part of that.
+    """
     columns = list(columns)
-    rows = _with_vector(df.where(all_finite(columns)).select(*columns), columns, "features")
-    if rows.isEmpty():
-        return None
-    return KMeans(k=k, seed=seed, maxIter=300, featuresCol="features").fit(rows.select("features"))
+    points = spread(df.where(all_finite(columns)).select(*columns)).select(_vector(columns).alias("features"))
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)   # every iteration scans them
+    try:
+        if points.isEmpty():
+            return None
+        return KMeans(
+            k=k, seed=seed, maxIter=CLUSTER_ITERATIONS, tol=sqrt(CLUSTER_TOLERANCE / k),
+            featuresCol="features", solver="block",
+        ).fit(points)
+    finally:
+        points.unpersist()
 
 
 def kmeans(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES, k: int = CLUSTERS,
@@ -73,7 +86,7 @@ def kmeans(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES, k: int = CL
     if model is None:
         return df.withColumn("cluster", F.lit(None).cast("int"))
     model.setFeaturesCol("_features").setPredictionCol("_nearest")
-    return model.transform(_with_vector(scaled, z, "_features")).select(
+    return model.transform(scaled.select("*", _vector(z).alias("_features"))).select(
         *df.columns, F.when(all_finite(z), F.col("_nearest")).alias("cluster"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemline.functions.sentiment import lexicon_sentiment, sentiment_words
+from hemline.functions.sentiment import bucket_of, lexicon_sentiment, sentiment_words
 
 SALTS = 32
+BUCKETS = 16
 
 
 def lexicon_terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,14 +24,21 @@ def score_with_lexicon_table(df: DataFrame, key: str, text: str, lexicon: DataFr
     shuffled, every term is spread over ``salts`` tasks, since a common word may
     make up a large part of all words.  Each text then meets only its own terms.
     """
-    entries = lexicon.groupBy("term").agg(F.min("valence").cast("double").alias("valence"))
+    entries = (
+        lexicon.groupBy("term").agg(F.min("valence").cast("double").alias("valence"))
+        .withColumn("bucket", bucket_of(F.col("term"), BUCKETS))
+    )
     salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = (
         lexicon_terms(df, key, text)
         .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
         .join(salted, ["term", "_salt"])
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "valence"))).alias("_terms"))
+        .agg(F.collect_list(F.struct("bucket", "term", "valence")).alias("_terms"))
     )
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.map_from_entries(F.transform(
+        F.filter(F.col("_terms"), lambda entry: entry["bucket"] == b),
+        lambda entry: F.struct(entry["term"], entry["valence"]),
+    )))
     return df.join(found, key, "left").withColumn(
-        "sentiment", lexicon_sentiment(text, F.col("_terms"), first_context)).drop("_terms")
+        "sentiment", lexicon_sentiment(text, buckets, first_context, BUCKETS)).drop("_terms")

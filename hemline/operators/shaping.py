@@ -31,7 +31,7 @@ def flatten_struct(df: DataFrame, struct: str, prefix: str = "") -> DataFrame:
 
 
 def brand_or_source(df: DataFrame) -> Column:
-    """The brand column, or the source tag if the frame has none."""
+    """The brand column; only if the whole frame has none, the source tag."""
     return pick(df, ("brand",)) if "brand" in df.columns else pick(df, ("_source",))
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from hemline.constants import FORUM_MONTHS, FORUM_SUBREDDITS, FORUM_YEARS, MIN_TOKENS
 from hemline.functions.sentiment import lexicon_sentiment
-from hemline.functions.text import clean_text, compose_text, mentions_brand, token_count
+from hemline.functions.text import clean_text, compose_text, mentions_brand
 from hemline.operators.aggregates import sentiment_by_period
 from hemline.operators.filters import month_in, name_in_ci, year_between
-from hemline.operators.shaping import flatten_struct
+from hemline.operators.shaping import flatten_struct, spread
 from hemline.schemas import FORUM_COMMENTS, FORUM_SUBMISSIONS
 from hemline.sources.readers import read_json_typed, read_parquet
 from hemline.sources.writers import write_csv, write_json_gzip, write_parquet_once
@@ -52,8 +52,9 @@ def with_clean_text(df: DataFrame, text: Column, minimum: int = MIN_TOKENS) -> D
 
     The text sits in an array of one or none, so that the patterns run once per
     row: a filter would be pushed below the projection and run them again.
+    Cleaned text has single blanks only, so a plain split counts its tokens.
     """
-    long_enough = F.filter(F.array(clean_text(text)), lambda cleaned: token_count(cleaned) >= minimum)
+    long_enough = F.filter(F.array(clean_text(text)), lambda cleaned: F.size(F.split(cleaned, " ")) >= minimum)
     return df.select("*", F.explode(long_enough).alias("text_clean"))
 
 
@@ -74,7 +75,7 @@ def forum_sentiment(spark: SparkSession, source: str, output: str, fmt: str = "p
     text a second time for the summary would cost far more.
     """
     detail = f"{output}/detailed_parquet"
-    scored = score_posts(read_posts(spark, source, fmt), minimum, lexicon).select(*DETAIL)
+    scored = score_posts(spread(read_posts(spark, source, fmt)), minimum, lexicon).select(*DETAIL)
     write_parquet_once(scored, detail, files)
     summary = sentiment_by_period(read_parquet(spark, detail, scored.schema))
     write_csv(summary, f"{output}/aggregates_csv", single=True)

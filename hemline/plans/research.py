@@ -20,6 +20,7 @@ from hemline.operators.aggregates import (
 from hemline.operators.clusters import cluster_products
 from hemline.operators.correlation import pearson_r, regression_line, with_p_value
 from hemline.operators.quantiles import quality_quartiles_by_claim
+from hemline.operators.shaping import spread
 from hemline.plans.products import enrich_products, normalize_products
 from hemline.session import written
 from hemline.sources.writers import write_csv, write_metrics
@@ -33,7 +34,8 @@ def study_metrics(enriched: DataFrame) -> DataFrame:
 
     One scan, one aggregate.
     """
-    flag = F.when(F.col(QUALITY).isNotNull(), has_claim("description").cast("int"))
+    claim = F.col("has_claim") if "has_claim" in enriched.columns else has_claim("description")
+    flag = F.when(F.col(QUALITY).isNotNull(), claim.cast("int"))
     both = F.col(QUALITY).isNotNull() & F.col(SENTIMENT).isNotNull()
     summary = enriched.agg(
         pearson_r(QUALITY, SENTIMENT).alias("r"),
@@ -61,13 +63,14 @@ def study(products: DataFrame, k: int = CLUSTERS, seed: int = CLUSTER_SEED,
           lexicon: Mapping[str, float] = DEFAULT_LEXICON) -> Study:
     """All analyses of normalized products.
 
-    The enriched rows are written once to the shared folder, since the
-    analyses and every pass of k-means read a few columns of them.
+    The enriched rows are written once to the shared folder, claim flag
+    included: what follows reads a few narrow columns of them, no text.
     """
-    enriched = written(enrich_products(products, lexicon), "enriched")
+    flagged = enrich_products(products, lexicon).withColumn("has_claim", has_claim("description"))
+    enriched = written(flagged, "enriched")
     claim_rows = claims(enriched)
     return Study(
-        products=cluster_products(enriched, k, seed),
+        products=cluster_products(enriched, k, seed).drop("has_claim"),
         cpw=cpw_by_category(enriched),
         cpw_complete=cpw_by_category_complete(enriched),
         claim_shares=claim_low_quality_share(claim_rows),
@@ -84,7 +87,7 @@ def research_analysis(spark: SparkSession, paths: Iterable[str], output: str, k:
     products = normalize_products(spark, paths, multiline)
     if products.isEmpty():
         return False
-    result = study(products, k, lexicon=lexicon)
+    result = study(spread(products), k, lexicon=lexicon)
     tables = f"{output}/tables"
     write_csv(result.products, f"{tables}/products_enriched")
     write_csv(result.cpw, f"{tables}/proxy_cpw_by_category", single=True)

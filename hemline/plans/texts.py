@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hemline.constants import TEXT_COLUMNS
 from hemline.functions.sentiment import lexicon_sentiment
-from hemline.operators.shaping import flatten_struct
+from hemline.operators.shaping import flatten_struct, spread
 from hemline.sources.readers import load_texts
 from hemline.valence import DEFAULT_LEXICON
 
@@ -21,4 +21,4 @@ def score_texts(texts: DataFrame, lexicon: Mapping[str, float] = DEFAULT_LEXICON
 
 def batch_sentiment(spark: SparkSession, paths: Iterable[str], text_columns: Iterable[str] = TEXT_COLUMNS,
                     lexicon: Mapping[str, float] = DEFAULT_LEXICON, multiline: bool = True) -> DataFrame:
-    return score_texts(load_texts(spark, paths, text_columns, multiline), lexicon)
+    return score_texts(spread(load_texts(spark, paths, text_columns, multiline)), lexicon)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,18 +32,23 @@ def read_csv_delimited(spark: SparkSession, path, sep: str = ";", encoding: str
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def _quoted_csv(spark: SparkSession, path, multiline: bool) -> DataFrame:
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
+
+
+def _text_or_null(name: str) -> Column:
+    value = F.col(f"`{name}`")
+    return F.when(~value.isin(*MISSING_TEXTS), value)
+
+
 def read_csv_text(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
     """CSV with a header, all strings, the usual texts for a missing value as null.
 
     ``multiline`` accepts line breaks inside quotes, at the price of one task
     per file; switch it off for single files too big for a task.
     """
-    df = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
-    )
-    return df.select(*[
-        F.when(~F.col(f"`{name}`").isin(*MISSING_TEXTS), F.col(f"`{name}`")).alias(name) for name in df.columns
-    ])
+    df = _quoted_csv(spark, path, multiline)
+    return df.select(*[_text_or_null(name).alias(name) for name in df.columns])
 
 
 def read_json_typed(spark: SparkSession, path, schema: StructType) -> DataFrame:
@@ -107,13 +112,12 @@ def load_texts(spark: SparkSession, paths: Iterable[str], text_columns: Iterable
     """_source, _text: the present text columns joined; a file with none is left out."""
     frames = []
     for path in paths:
-        df = read_csv_text(spark, path, multiline)
+        df = _quoted_csv(spark, path, multiline)
         present = [name for name in text_columns if name in df.columns]
         if present:
-            tagged = with_source_file(spark.read.option("header", True).option("escape", '"')
-                                      .option("multiLine", multiline).csv(path), "_source")
-            texts = [F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")) for c in present]
-            frames.append(tagged.select("_source", compose_text(*texts).alias("_text")))
+            frames.append(df.select(
+                F.col("_metadata.file_name").alias("_source"),
+                compose_text(*[_text_or_null(name) for name in present]).alias("_text")))
     return union_products(frames) if frames else spark.createDataFrame([], SCORED_TEXT)
 
 
