@@ -183,13 +183,13 @@ step4 AS (
     ELSE v3 END AS v4
   FROM step3 s),
 step5 AS (
-  SELECT key, w, v4 * CASE WHEN pos_at > 0 AND l1 IS NULL AND low1 = 'least'
+  SELECT key, w, CASE WHEN low = 'kind' AND lower(next1) = 'of' THEN 0 ELSE 1 END * v4 * CASE WHEN pos_at > 0 AND l1 IS NULL AND low1 = 'least'
                            AND NOT (pos_at > 1 AND low2 IN ('at', 'very')) THEN -0.74 ELSE 1 END AS value
   FROM step4),
 valued AS (
   SELECT a.key, s.value * CASE WHEN p.but_at IS NULL OR a.pos_at = p.but_at THEN 1.0 WHEN a.pos_at < p.but_at THEN 0.5 ELSE 1.5 END AS value
   FROM around a JOIN step5 s ON a.key = s.key AND a.w = s.w JOIN per_text p ON a.key = p.key
-  WHERE a.l IS NOT NULL AND a.low NOT IN ({boosters}) AND NOT (a.low = 'kind' AND coalesce(lower(a.next1) = 'of', FALSE))),
+  WHERE a.l IS NOT NULL AND a.low NOT IN ({boosters})),
 sums AS (
   SELECT key, sum(value) AS total, sum(CASE WHEN value > 0 THEN value + 1 ELSE 0 END) AS pos,
          -sum(CASE WHEN value < 0 THEN value - 1 ELSE 0 END) AS neg, count(*) FILTER (WHERE value <> 0) AS hits

@@ -123,5 +123,5 @@ def category_summary(spark, sf_dir):
 def study_segments(spark, sf_dir):
     """The whole study up to its named segments; ids depend on the start of k-means."""
     products, _ = _products(spark, sf_dir)
-    return study(products).products.groupBy("cluster", "cluster_name").agg(
+    return study(products).products().groupBy("cluster", "cluster_name").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 4).alias("avg_price"))

@@ -18,7 +18,7 @@ from hemline.operators.aggregates import (
     mean_profile, product_durability_norm, product_sentiment_mean,
 )
 from hemline.operators.clusters import cluster_products, kmeans, name_clusters, standardize
-from hemline.operators.correlation import pearson, point_biserial, regression_line, with_p_value
+from hemline.operators.correlation import line_through, pair_count, pearson, pearson_r, point_biserial, with_p_value
 from hemline.operators.quantiles import quality_quartiles_by_claim, tercile_cuts
 from hemline.operators.shaping import attach_labels, attach_names, complete_categories, distinct_urls
 
@@ -116,9 +116,10 @@ def price_quantity_line(spark, sf_dir):
     """Correlation and line over complete pairs only."""
     price = F.when(F.col("l_discount") != 0, F.col("l_extendedprice"))
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", price.alias("price"))
-    line = regression_line(rows, "l_quantity", "price")
-    return pearson(rows, "l_quantity", "price").select(F.round("r", 6).alias("r"), "n").join(line.select(
-        F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept")), how="full")
+    slope, intercept = line_through("l_quantity", "price")
+    return rows.agg(
+        F.round(pearson_r("l_quantity", "price"), 6).alias("r"), pair_count("l_quantity", "price").alias("n"),
+        F.round(slope, 4).alias("slope"), F.round(intercept, 4).alias("intercept"))
 
 
 @query(" UNION ALL ".join(

@@ -77,18 +77,19 @@ class _Context:
         self.lowered, self.valences = prepared["lowered"], prepared["valences"]
         self.mixed_case, self.phrases = prepared["mixed_case"], prepared["phrases"]
 
-    def scored(self, at: Column) -> Column:
-        """Is the word in the lexicon and not an intensifier or the start of ``kind of``?"""
-        word, following = F.get(self.lowered, at), F.get(self.lowered, at + 1)
-        kind_of = (word == "kind") & F.coalesce(following == "of", F.lit(False))
+    def in_lexicon(self, at: Column) -> Column:
+        """Is the word in the lexicon and not an intensifier?"""
         return (
             F.get(self.valences, at).isNotNull()
-            & ~word.isin(*V.INTENSIFIERS, *V.DAMPENERS)
-            & ~kind_of
+            & ~F.get(self.lowered, at).isin(*V.INTENSIFIERS, *V.DAMPENERS)
         )
 
+    def kind_of(self, at: Column) -> Column:
+        return (F.get(self.lowered, at) == "kind") & F.coalesce(
+            F.get(self.lowered, at + 1) == "of", F.lit(False))
+
     def value(self, at: Column) -> Column:
-        """Valence of the word at ``at`` as its neighbours change it."""
+        """Valence of the word at ``at`` as its neighbours change it; none in ``kind of``."""
         plain = F.get(self.valences, at)
         shouted = self.mixed_case & _is_upper(F.get(self.words, at))
         start = let(plain, lambda v: F.when(
@@ -99,7 +100,7 @@ class _Context:
         )
         idiomatic = let(stepped, lambda v: F.when(
             self.phrases & self._plain_before(at, F.lit(3)), self._idioms(v, at)).otherwise(v))
-        return idiomatic * self._least(at)
+        return F.when(self.kind_of(at), F.lit(0.0)).otherwise(idiomatic * self._least(at))
 
     def _plain_before(self, at: Column, back: Column) -> Column:
         """There is a word ``back`` places before, and the lexicon does not hold it."""
@@ -173,28 +174,47 @@ def reduce_or(conditions) -> Column:
     return result
 
 
-def _scored_values(context: _Context, first_context: bool) -> Column:
-    """Valences of the scored words, weighted by their side of the first ``but``."""
+def _totals(context: _Context, first_context: bool) -> Column:
+    """Sum of the valences, sums and number of the positive and negative ones.
+
+    With ``first_context`` the scored words are sorted, so that equal words
+    stand together and only the first of them is valued: long texts with many
+    repeats stay linear.
+    """
     places = F.when(F.size(context.words) > 0, F.sequence(F.lit(0), F.size(context.words) - 1))
-    hits = F.filter(places, context.scored)
-
-    def valence(but: Column) -> Column:
-        def one(at: Column) -> Column:
-            if first_context:
-                source = F.array_position(context.words, F.get(context.words, at)).cast("int") - 1
-                value = let(source, context.value)
-            else:
-                value = context.value(at)
+    scored = F.filter(places, context.in_lexicon)
+    if first_context:
+        entries = F.array_sort(F.transform(scored, lambda at: F.struct(
+            F.get(context.words, at).alias("word"), at.alias("at"))))
+    else:
+        entries = F.transform(scored, lambda at: F.struct(F.lit("").alias("word"), at.alias("at")))
+
+    zero = F.struct(
+        F.lit("").alias("word"), F.lit(0.0).alias("value"),
+        F.lit(0.0).alias("all"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0).alias("n"),
+    )
+
+    def fold(but: Column) -> Column:
+        def add(t: Column, entry: Column) -> Column:
+            at = entry["at"]
             side = (
                 F.when((but >= 0) & (at < but), F.lit(V.BEFORE_BUT))
                 .when((but >= 0) & (at > but), F.lit(V.AFTER_BUT))
                 .otherwise(F.lit(1.0))
             )
-            return value * side
+            repeated = (entry["word"] == t["word"]) & (entry["word"] != "")
+            value = F.when(repeated, t["value"]).otherwise(context.value(at))
+            return let(value, lambda own: let(own * side, lambda v: F.struct(
+                entry["word"].alias("word"), own.alias("value"),
+                (t["all"] + v).alias("all"),
+                F.when(v > 0, t["pos"] + v + 1).otherwise(t["pos"]).alias("pos"),
+                F.when(v < 0, t["neg"] + v - 1).otherwise(t["neg"]).alias("neg"),
+                F.when(v != 0, t["n"] + 1).otherwise(t["n"]).alias("n"),
+            )))
 
-        return F.transform(hits, one)
+        return F.aggregate(entries, zero, add)
 
-    return let(F.array_position(context.lowered, "but").cast("int") - 1, valence)
+    return let(F.array_position(context.lowered, "but").cast("int") - 1, fold)
 
 
 def _punctuation(text: Column) -> Column:
@@ -209,18 +229,6 @@ def _punctuation(text: Column) -> Column:
     )
 
 
-def _totals(values: Column) -> Column:
-    zero = F.struct(
-        F.lit(0.0).alias("all"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0).alias("n"),
-    )
-    return F.aggregate(values, zero, lambda t, v: F.struct(
-        (t["all"] + v).alias("all"),
-        F.when(v > 0, t["pos"] + v + 1).otherwise(t["pos"]).alias("pos"),
-        F.when(v < 0, t["neg"] + v - 1).otherwise(t["neg"]).alias("neg"),
-        F.when(v != 0, t["n"] + 1).otherwise(t["n"]).alias("n"),
-    ))
-
-
 def _scores(total: Column, emphasis: Column, n_words: Column) -> Column:
     whole = total["all"] + F.signum(total["all"]) * emphasis
     pos = total["pos"] + F.when(total["pos"] > -total["neg"], emphasis).otherwise(F.lit(0.0))
@@ -257,7 +265,7 @@ def lexicon_sentiment(text: ColumnLike, lexicon: Mapping[str, float] | Column =
 
     def over(words: Column, table: Column) -> Column:
         def score(prepared: Column) -> Column:
-            total = _totals(_scored_values(_Context(words, prepared), first_context))
+            total = _totals(_Context(words, prepared), first_context)
             return let(total, lambda t: _scores(t, _punctuation(text), F.size(words)))
 
         prepared = let(F.transform(words, F.lower), lambda lowered: F.struct(

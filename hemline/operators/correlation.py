@@ -28,7 +28,12 @@ def pearson_r(x: ColumnLike, y: ColumnLike) -> Column:
 
 def pearson(df: DataFrame, x: ColumnLike, y: ColumnLike) -> DataFrame:
     """One row: r and the number of complete pairs."""
-    return df.agg(pearson_r(x, y).alias("r"), F.count(_pairs(x, y)[0]).alias("n"))
+    return df.agg(pearson_r(x, y).alias("r"), pair_count(x, y).alias("n"))
+
+
+def pair_count(x: ColumnLike, y: ColumnLike) -> Column:
+    """Aggregate: number of complete pairs."""
+    return F.count(_pairs(x, y)[0])
 
 
 @F.pandas_udf(DoubleType())
@@ -63,7 +68,11 @@ def point_biserial(df: DataFrame, flag: ColumnLike, x: ColumnLike) -> DataFrame:
     return df.agg(pearson_r(col(flag).cast("int"), x).alias("r"))
 
 
-def regression_line(df: DataFrame, x: ColumnLike, y: ColumnLike) -> DataFrame:
-    """Slope and intercept of y on x over complete pairs; null for constant x."""
+def line_through(x: ColumnLike, y: ColumnLike) -> tuple[Column, Column]:
+    """Aggregates: slope and intercept of y on x over complete pairs; null for constant x."""
     x, y = _pairs(x, y)
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    return F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
+
+
+def regression_line(df: DataFrame, x: ColumnLike, y: ColumnLike) -> DataFrame:
+    return df.agg(*line_through(x, y))

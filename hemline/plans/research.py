@@ -47,38 +47,51 @@ def study_metrics(enriched: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Study:
-    """The tables of one study, lazy except that the segments have been fitted."""
+    """One study over enriched products; each table is made when asked for."""
 
-    products: DataFrame
-    cpw: DataFrame
-    cpw_complete: DataFrame
-    claim_shares: DataFrame
-    claim_counts: DataFrame
-    claim_quartiles: DataFrame
-    metrics: DataFrame
-    line: DataFrame
+    enriched: DataFrame
+    k: int = CLUSTERS
+    seed: int = CLUSTER_SEED
+
+    @property
+    def claim_rows(self) -> DataFrame:
+        return claims(self.enriched)
+
+    def products(self) -> DataFrame:
+        """Enriched products with their segments; fits k-means."""
+        return cluster_products(self.enriched, self.k, self.seed).drop("has_claim")
+
+    def cpw(self) -> DataFrame:
+        return cpw_by_category(self.enriched)
+
+    def cpw_complete(self) -> DataFrame:
+        return cpw_by_category_complete(self.enriched)
+
+    def claim_shares(self) -> DataFrame:
+        return claim_low_quality_share(self.claim_rows)
+
+    def claim_counts(self) -> DataFrame:
+        return claim_counts(self.claim_rows)
+
+    def claim_quartiles(self) -> DataFrame:
+        return quality_quartiles_by_claim(self.claim_rows, QUARTILES)
+
+    def metrics(self) -> DataFrame:
+        return study_metrics(self.enriched)
+
+    def line(self) -> DataFrame:
+        return regression_line(self.enriched, QUALITY, SENTIMENT)
 
 
 def study(products: DataFrame, k: int = CLUSTERS, seed: int = CLUSTER_SEED,
-          lexicon: Mapping[str, float] = DEFAULT_LEXICON) -> Study:
-    """All analyses of normalized products.
+          lexicon: Mapping[str, float] = DEFAULT_LEXICON, path: str | None = None) -> Study:
+    """A study of normalized products.
 
-    The enriched rows are written once to the shared folder, claim flag
-    included: what follows reads a few narrow columns of them, no text.
+    The enriched rows are written once, to ``path`` or the shared folder, claim
+    flag included: what follows reads a few narrow columns of them, no text.
     """
     flagged = enrich_products(products, lexicon).withColumn("has_claim", has_claim("description"))
-    enriched = written(flagged, "enriched")
-    claim_rows = claims(enriched)
-    return Study(
-        products=cluster_products(enriched, k, seed).drop("has_claim"),
-        cpw=cpw_by_category(enriched),
-        cpw_complete=cpw_by_category_complete(enriched),
-        claim_shares=claim_low_quality_share(claim_rows),
-        claim_counts=claim_counts(claim_rows),
-        claim_quartiles=quality_quartiles_by_claim(claim_rows, QUARTILES),
-        metrics=study_metrics(enriched),
-        line=regression_line(enriched, QUALITY, SENTIMENT),
-    )
+    return Study(written(flagged, "enriched", path), k, seed)
 
 
 def research_analysis(spark: SparkSession, paths: Iterable[str], output: str, k: int = CLUSTERS,
@@ -87,14 +100,14 @@ def research_analysis(spark: SparkSession, paths: Iterable[str], output: str, k:
     products = normalize_products(spark, paths, multiline)
     if products.isEmpty():
         return False
-    result = study(spread(products), k, lexicon=lexicon)
+    result = study(spread(products), k, lexicon=lexicon, path=f"{output}/enriched_parquet")
     tables = f"{output}/tables"
-    write_csv(result.products, f"{tables}/products_enriched")
-    write_csv(result.cpw, f"{tables}/proxy_cpw_by_category", single=True)
-    write_csv(result.claim_shares, f"{tables}/claims_vs_quality", single=True)
-    write_metrics(result.metrics, f"{tables}/correlation")
-    write_csv(result.cpw_complete, f"{tables}/plots/proxy_cpw_by_category", single=True)
-    write_csv(result.claim_counts, f"{tables}/plots/claim_counts", single=True)
-    write_csv(result.claim_quartiles, f"{tables}/plots/claim_quartiles", single=True)
-    write_csv(result.line, f"{tables}/plots/regression_line", single=True)
+    write_csv(result.products(), f"{tables}/products_enriched")
+    write_csv(result.cpw(), f"{tables}/proxy_cpw_by_category", single=True)
+    write_csv(result.claim_shares(), f"{tables}/claims_vs_quality", single=True)
+    write_metrics(result.metrics(), f"{tables}/correlation")
+    write_csv(result.cpw_complete(), f"{tables}/plots/proxy_cpw_by_category", single=True)
+    write_csv(result.claim_counts(), f"{tables}/plots/claim_counts", single=True)
+    write_csv(result.claim_quartiles(), f"{tables}/plots/claim_quartiles", single=True)
+    write_csv(result.line(), f"{tables}/plots/regression_line", single=True)
     return True

@@ -32,13 +32,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/hemline/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet, in the shared folder if not to ``path``, and read it back.
 
     Cuts lineage without relying on executor storage: a lost executor costs
     nothing, and every reader prunes to the columns it needs.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

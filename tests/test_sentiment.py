@@ -58,6 +58,7 @@ RULES = [
     ("It is very of good things", 1.9 + V.BOOST * 0.95),
     ("The very and of good things", 1.9 + V.BOOST * 0.9),
     ("kind of good movie", 1.9),
+    ("kind of odd, be kind", 0.0),
     ("This is just kind of good", 1.9 - V.BOOST),
     ("He is kind to all", 2.4),
     ("That is a bad ass shirt", -2.5),
@@ -119,3 +120,10 @@ def test_lexicon_table_without_broadcast(spark):
 def test_mapping_size_is_checked(spark):
     with pytest.raises(ValueError):
         lexicon_sentiment("x", {f"w{i}": 1.0 for i in range(MAX_PLAN_TERMS + 1)})
+
+
+def test_long_text_is_scored_whole(values):
+    """Many repeats and a last word that decides: nothing is cut, and time stays linear."""
+    filler = "word " * 100_000 + "good bad " * 50_000
+    plain, decided = values(lambda c: lexicon_sentiment(c)["compound"], [filler, filler + " perfect" * 20_000])
+    assert plain == normalized(50_000 * (1.9 - 2.5)) and decided == normalized(50_000 * -0.6 + 20_000 * 2.7)
