@@ -113,8 +113,8 @@ def sentiment(texts: str, lexicon: str) -> str:
 
     ``texts`` yields (key, body) and ``lexicon`` (term, valence).
     """
-    edge = V.WORD_EDGE.replace("'", "''")
-    body = V.WORD_BODY.replace("'", "''")
+    edge = r"""(?:[.!?,;:\-''"]|!!!?|\?\?\??|\?!\?!?|!\?!\??)"""
+    body = r"([^\s!-/:-@\[-`{-~]{2,})"
     boosters = text_list(V.INTENSIFIERS + V.DAMPENERS)
 
     def step(value: str, back: int, weight: float) -> str:

@@ -29,10 +29,25 @@ _PHRASE_WORDS = sorted(
 def sentiment_words(text: ColumnLike) -> Column:
     """Words longer than one character, freed of punctuation at one end."""
     longer = F.filter(F.split(col(text), r"(?U)\s+"), lambda word: F.length(word) > 1)
-    edge = rf"^{V.WORD_EDGE}{V.WORD_BODY}$|^{V.WORD_BODY}{V.WORD_EDGE}$"
-    # The short test first: most words have no punctuation at either end.
-    return F.transform(longer, lambda word: F.when(
-        word.rlike(V.PUNCTUATION_END), F.regexp_replace(word, edge, "$1$2")).otherwise(word))
+    return F.transform(longer, lambda word: let(
+        F.btrim(word, F.lit(V.PUNCTUATION)),
+        lambda core: F.when((core != word) & _one_edge_cut(word, core), core).otherwise(word),
+    ))
+
+
+def _one_edge_cut(word: Column, core: Column) -> Column:
+    """Is ``core`` a plain word, and what was cut off one known mark at one end?
+
+    Comparisons instead of a pattern: this runs for every word of every text.
+    """
+    after = F.substr(word, F.length(core) + F.lit(1))
+    before = F.left(word, F.length(word) - F.length(core))
+    return (
+        (F.length(core) > 1)
+        & ((F.startswith(word, core) & after.isin(*V.WORD_EDGES))
+           | (F.endswith(word, core) & before.isin(*V.WORD_EDGES)))
+        & (F.translate(core, V.PUNCTUATION, "") == core)
+    )
 
 
 def _bucketed(lexicon: Mapping[str, float]) -> Column:

@@ -15,10 +15,11 @@ EXCLAMATION_WEIGHT, EXCLAMATION_LIMIT = 0.292, 4
 QUESTION_WEIGHT, QUESTION_LIMIT, QUESTION_MAXIMUM = 0.18, 3, 0.96
 NORMALIZATION = 15.0
 
-# Punctuation that is taken off one end of a word.
-WORD_EDGE = r"""(?:[.!?,;:\-'"]|!!!?|\?\?\??|\?!\?!?|!\?!\??)"""
-WORD_BODY = r"([^\s!-/:-@\[-`{-~]{2,})"
-PUNCTUATION_END = r"^[!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]$"
+# Punctuation, and the marks that are taken off one end of a word.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD_EDGES = (
+    ".", "!", "?", ",", ";", ":", "-", "'", '"', "!!", "!!!", "??", "???", "?!?", "!?!", "?!?!", "!?!?",
+)
 
 # Words that strengthen or weaken what follows.
 INTENSIFIERS = (
