@@ -125,7 +125,7 @@ def sentiment(texts: str, lexicon: str) -> str:
             3: "CASE WHEN (w3 = 'never' AND w2 IN ('so', 'this')) OR w1 IN ('so', 'this') THEN 1.25 END",
         }[back]
         return f"""CASE WHEN pos_at > {back - 1} AND l{back} IS NULL THEN
-          ({value} + CASE WHEN low{back} IN ({boosters}, 'kind of', 'sort of', 'just enough') THEN {weight} * (
+          ({value} + CASE WHEN low{back} IN ({boosters}) THEN {weight} * (
               (CASE WHEN low{back} IN ({text_list(V.INTENSIFIERS)}) THEN 0.293 ELSE -0.293 END)
                 * (CASE WHEN {value} < 0 THEN -1 ELSE 1 END)
               + CASE WHEN mixed AND up{back} THEN (CASE WHEN {value} > 0 THEN 0.733 ELSE -0.733 END) ELSE 0 END)

@@ -191,14 +191,14 @@ def normalized_products(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, o_orderstatus, o_orderpriority, year(o_orderdate) AS year, month(o_orderdate) AS month
-FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1996 AND month(o_orderdate) IN (1, 2, 3)
+FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999 AND month(o_orderdate) IN (1, 2, 3)
   AND lower(o_orderpriority) IN ('1-urgent', '3-medium', '5-low')""")
 def period_and_name_filters(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority",
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
     return orders.where(
-        year_between(1993, 1996) & month_in([3, 1, 2, 1])
+        year_between(1996, 1999) & month_in([3, 1, 2, 1])
         & name_in_ci(["1-Urgent", "3-MEDIUM", "5-Low"], "o_orderpriority"))
 
 

@@ -95,7 +95,7 @@ _FISHER = """abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3)"""
 
 
 @query(f"""WITH s AS (
-  SELECT corr(quality, least(toxic + doc_id % 7, 9)) AS r, count(*) AS n FROM labels),
+  SELECT corr(quality, toxic) AS r, count(*) AS n FROM labels),
 z AS (SELECT r, n, {_FISHER} AS z FROM s),
 grid AS (SELECT z, unnest(range(0, 2001)) AS i FROM z),
 simpson AS (
@@ -104,8 +104,7 @@ simpson AS (
 SELECT round(r, 6) AS r, n, round(1 - 2 * area / sqrt(2 * pi()), 6) AS p FROM s, simpson""")
 def label_correlation(spark, sf_dir):
     """r, n and p; the expected p integrates the normal density."""
-    rows = table(spark, sf_dir, "labels").selectExpr("quality", "least(toxic + doc_id % 7, 9) AS other")
-    return with_p_value(pearson(rows, "quality", "other")).select(
+    return with_p_value(pearson(table(spark, sf_dir, "labels"), "quality", "toxic")).select(
         F.round("r", 6).alias("r"), "n", F.round("p", 6).alias("p"))
 
 

@@ -39,22 +39,22 @@ def csv_delimited_latin(spark, sf_dir):
 
 
 def _comments(spark, sf_dir):
-    """Conversation turns in the declared schema of forum comments."""
-    turns = table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("body"), F.col("role").alias("subreddit"),
-        F.col("turn").alias("score"), F.col("conv_id").cast("string").alias("created_utc"),
-        (F.col("conv_id") % 5 + 2021).cast("int").alias("year"), (F.col("turn") % 12 + 1).cast("int").alias("month"))
-    return turns.select(*[pick(turns, (f.name,), f.dataType).alias(f.name) for f in FORUM_COMMENTS])
+    """Orders in the declared schema of forum comments, their dates as year and month."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("body"),
+        F.col("o_orderpriority").alias("subreddit"), F.col("o_custkey").alias("score"),
+        F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    return rows.select(*[pick(rows, (f.name,), f.dataType).alias(f.name) for f in FORUM_COMMENTS])
 
 
-@query("""SELECT concat_ws('-', conv_id, turn) AS id, text AS body, role AS subreddit, turn AS score,
-CAST(conv_id % 5 + 2021 AS INT) AS year, CAST(turn % 12 + 1 AS INT) AS month FROM conversations
-WHERE conv_id % 5 + 2021 BETWEEN 2022 AND 2024 AND turn % 12 + 1 IN (1, 2, 3, 6) AND role IN ('user', 'system')""")
+@query("""SELECT CAST(o_orderkey AS STRING) AS id, o_orderstatus AS body, o_orderpriority AS subreddit, o_custkey AS score,
+year(o_orderdate) AS year, month(o_orderdate) AS month FROM orders
+WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND month(o_orderdate) IN (1, 2, 3, 6) AND lower(o_orderpriority) IN ('1-urgent', '5-low')""")
 def forum_comments_extract(spark, sf_dir):
     """Partitioned JSON with a declared schema, filtered, written as gzip JSON, read again."""
     source, output = scratch_path(spark, "comments"), scratch_path(spark, "extract")
     write_json_gzip(_comments(spark, sf_dir), source, partition_by=("year", "month"))
-    extract_forum(spark, {"comments": source}, output, (2022, 2024), [1, 2, 3, 6, 1], ["USER", "System"], files=2)
+    extract_forum(spark, {"comments": source}, output, (1996, 1998), [1, 2, 3, 6, 1], ["1-Urgent", "5-low"], files=2)
     return read_json_typed(spark, f"{output}/comments", FORUM_COMMENTS).select(
         "id", "body", "subreddit", "score", "year", "month")
 

@@ -33,17 +33,17 @@ REFERENCES = (
 
 def has_attribute(name: str, value: str, tag: str = "") -> str:
     """Pattern of an opening tag whose attribute equals ``value``."""
-    return _opening(tag, rf"""\s{name}\s*=\s*["']{value}["']""")
+    return _opening(tag, rf"""\s{name}\s*=\s*(?:"{value}"|'{value}'|{value}(?=[\s>]))""")
 
 
 def attribute_contains(name: str, part: str, tag: str = "") -> str:
     """Pattern of an opening tag whose attribute contains ``part``."""
-    return _opening(tag, rf"""\s{name}\s*=\s*["'][^"']*{part}""")
+    return _opening(tag, rf"""\s{name}\s*=\s*(?:"[^"]*{part}|'[^']*{part}|[^\s"'>]*{part})""")
 
 
 def has_class(name: str, tag: str = "") -> str:
     """Pattern of an opening tag that lists ``name`` among its classes."""
-    return _opening(tag, rf"""\sclass\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']""")
+    return _opening(tag, rf"""\sclass\s*=\s*(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}(?=[\s>]))""")
 
 
 def any_tag(tag: str) -> str:
@@ -86,6 +86,12 @@ def decode_references(text: ColumnLike) -> Column:
         F.contains(value, F.lit("&")), named(value)).otherwise(value))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag, quoted or not; empty if it has none."""
+    pattern = rf"""(?i)\s{name}\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*|[^\s"'>]+)"""
+    return decode_references(F.regexp_extract(tag, pattern, 1))
+
+
 def page_pieces(html: ColumnLike) -> Column:
     """Tags and texts of a page in order, without comments, scripts and styles."""
     return F.regexp_extract_all(F.regexp_replace(col(html), HIDDEN_MARKUP, ""), F.lit(PIECE), F.lit(0))
@@ -176,7 +182,7 @@ def product_links(html: ColumnLike, base: str, pattern: str = r"/products/",
     """
     links = F.transform(
         F.filter(let(page_pieces(html), lambda p: link_tags(p, parent)), lambda tag: tag.rlike(tag_pattern)),
-        lambda tag: decode_references(F.regexp_extract(tag, r"""(?i)\shref\s*=\s*["']([^"']*)["']""", 1)),
+        lambda tag: attribute(tag, "href"),
     )
     wanted = F.filter(links, lambda link: (link != "") & link.rlike(pattern))
     if prefix_all:
@@ -215,7 +221,7 @@ def items_in(pieces: Column, pattern: str) -> Column:
 def images_of(pieces: Column, length: int = IMAGE_TEXT_LENGTH) -> Column:
     sources = F.transform(
         F.filter(pieces, lambda piece: piece.rlike(any_tag("img"))),
-        lambda tag: decode_references(F.regexp_extract(tag, r"""(?i)\ssrc\s*=\s*["']([^"']*)["']""", 1)),
+        lambda tag: attribute(tag, "src"),
     )
     remote = F.filter(sources, lambda source: source.startswith("http"))
     return F.substring(F.array_join(F.array_distinct(remote), ","), 1, length)

@@ -125,7 +125,7 @@ class _Context:
         word = F.get(self.lowered, at - back)
         boost = (
             F.when(word.isin(*V.INTENSIFIERS), F.lit(V.BOOST))
-            .when(word.isin(*V.DAMPENERS, *V.DAMPENER_PAIRS), F.lit(-V.BOOST))
+            .when(word.isin(*V.DAMPENERS), F.lit(-V.BOOST))
         )
         signed = F.when(v < 0, -boost).otherwise(boost)
         shouted = self.mixed_case & _is_upper(F.get(self.words, at - back))

@@ -1,8 +1,9 @@
 """Exact quantiles of columns that do not fit one task.
 
 ``percentile`` keeps every distinct value in one buffer, so it is used only up
-to ``SMALL`` values.  Beyond that a sketch brackets each wanted rank, a count
-proves the bracket right, and only the values inside it are ranked.
+to ``SMALL`` values.  Beyond that a sketch proposes two values around each
+wanted rank and a count says exactly on which side of them the rank lies; this
+repeats until few values are left between them, and only those are ranked.
 """
 
 from __future__ import annotations
@@ -16,96 +17,100 @@ from pyspark.sql import functions as F
 
 from hemline.functions.common import nan_to_null
 
-SMALL = 2_000_000
+SMALL = 500_000
 ACCURACY = 10_000
+SLACK = 3.0 / ACCURACY
 
 
 @dataclass(frozen=True)
-class _Target:
-    """One wanted rank of one column and the closed interval known to hold it."""
+class _Rank:
+    """One wanted rank of one column and the open interval that holds its value."""
 
     name: str
-    probability: float
-    size: int                 # values in the column
-    low: float | None = None
+    rank: int                   # from 0, among the values of the column
+    inside: int                 # values in the interval
+    below: int = 0              # values before the interval
+    low: float | None = None    # bounds do not belong to it; None is no bound
     high: float | None = None
-    below: int = 0            # values under ``low``
-    inside: int = 0           # values in the interval
+    value: float | None = None  # once known
 
     @property
-    def rank(self) -> int:
-        return floor(self.probability * (self.size - 1))
-
-    @property
-    def weight(self) -> float:
-        return self.probability * (self.size - 1) - self.rank
-
-    @property
-    def last_rank(self) -> int:
-        return min(self.rank + 1, self.size - 1)
-
-    def holds(self, value: Column) -> Column:
-        if self.low is None:
-            return value.isNotNull()
-        return value.between(self.low, self.high)
-
-    def proven(self) -> bool:
-        return self.below <= self.rank and self.last_rank < self.below + self.inside
-
-
-def _narrowed(df: DataFrame, targets: list[_Target]) -> list[_Target]:
-    """Shrink every interval by one sketch and one count, two jobs of one row each."""
-    def sketch(target: _Target, slack: float) -> Column:
-        place = (target.rank - target.below) / max(target.inside - 1, 1)
-        bounds = [max(place - slack, 0.0), min(place + slack, 1.0)]
-        value = F.col(target.name)
-        return F.percentile_approx(F.when(target.holds(value), value), bounds, ACCURACY)
-
-    result = list(targets)
-    open_targets = list(range(len(targets)))
-    slack = 3.0 / ACCURACY
-    while open_targets:
-        bounds = df.agg(*[sketch(targets[i], slack).alias(f"t{i}") for i in open_targets]).first()
-        trial = {i: replace(targets[i], low=bounds[f"t{i}"][0], high=bounds[f"t{i}"][1]) for i in open_targets}
-        counts = df.agg(*[
-            count
-            for i, t in trial.items()
-            for count in (
-                F.count_if(F.col(t.name) < t.low).alias(f"below{i}"),
-                F.count_if(t.holds(F.col(t.name))).alias(f"inside{i}"),
-            )
-        ]).first()
-        for i, t in trial.items():
-            result[i] = replace(t, below=counts[f"below{i}"], inside=counts[f"inside{i}"])
-        open_targets = [i for i in open_targets if not result[i].proven()]
-        slack *= 8
-    return result
-
-
-def _ranked(df: DataFrame, targets: list[_Target]) -> dict[int, tuple[float, float]]:
-    """The values at the two ranks around each target, counted per distinct value."""
+    def interval(self) -> tuple:
+        return self.name, self.low, self.high
+
+    def holds(self) -> Column:
+        value = F.col(self.name)
+        condition = value.isNotNull()
+        if self.low is not None:
+            condition = condition & (value > self.low)
+        if self.high is not None:
+            condition = condition & (value < self.high)
+        return condition
+
+    def places(self) -> list[float]:
+        place = (self.rank - self.below) / max(self.inside - 1, 1)
+        return [max(place - SLACK, 0.0), min(place + SLACK, 1.0)]
+
+    def counts(self, a: float, b: float) -> list[Column]:
+        """Values of the interval before a, at a, between, and at b."""
+        value, inside = F.col(self.name), self.holds()
+        between = (value > a) & (value < b)
+        return [F.count_if(inside & condition) for condition in (
+            value < a, value == a, between, (value == b) if a < b else F.lit(False))]
+
+    def narrowed(self, a: float, b: float, before: int, at_a: int, between: int, at_b: int) -> _Rank:
+        """The part of the interval that the counts prove to hold the rank."""
+        start = self.below
+        if self.rank < start + before:
+            return replace(self, high=a, inside=before)
+        if self.rank < start + before + at_a:
+            return replace(self, value=a)
+        if self.rank < start + before + at_a + between:
+            return replace(self, low=a, high=b, below=start + before + at_a, inside=between)
+        if self.rank < start + before + at_a + between + at_b:
+            return replace(self, value=b)
+        used = before + at_a + between + at_b
+        return replace(self, low=b, below=start + used, inside=self.inside - used)
+
+
+def _narrow(df: DataFrame, ranks: list[_Rank]) -> list[_Rank]:
+    """One sketch per distinct interval and one count, two jobs with one row each."""
+    places: dict[tuple, list[float]] = {}
+    for r in ranks:
+        places.setdefault(r.interval, []).extend(r.places())
+    holder = {r.interval: r for r in ranks}
+    order = list(places)
+    sketches = df.agg(*[
+        F.percentile_approx(F.when(holder[i].holds(), F.col(i[0])), places[i], ACCURACY) for i in order
+    ]).first()
+    found = {i: list(sketch) for i, sketch in zip(order, sketches)}
+    bounds = [(found[r.interval].pop(0), found[r.interval].pop(0)) for r in ranks]
+    counts = list(df.agg(*[count for r, ab in zip(ranks, bounds) for count in r.counts(*ab)]).first())
+    return [r.narrowed(*ab, *counts[4 * i:4 * i + 4]) for i, (r, ab) in enumerate(zip(ranks, bounds))]
+
+
+def _ranked(df: DataFrame, ranks: list[_Rank]) -> list[_Rank]:
+    """Rank the values left in the intervals, counted per distinct value first."""
     tagged = F.array_compact(F.array(*[
-        F.when(t.holds(F.col(t.name)), F.struct(F.lit(i).alias("i"), F.col(t.name).alias("v")))
-        for i, t in enumerate(targets)
+        F.when(r.holds(), F.struct(F.lit(i).alias("i"), F.col(r.name).alias("v"))) for i, r in enumerate(ranks)
     ]))
     counted = df.select(F.explode(tagged).alias("c")).groupBy("c.i", "c.v").agg(F.count(F.lit(1)).alias("n"))
     running = W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    table = F.array(*[F.array(F.lit(t.rank - t.below), F.lit(t.last_rank - t.below)) for t in targets])
-    up_to = counted.withColumn("upto", F.sum("n").over(running)).withColumn("ranks", F.get(table, F.col("i")))
-
-    def at(position: int) -> Column:
-        rank = F.col("ranks")[position]
-        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("v")))
-
-    rows = up_to.groupBy("i").agg(at(0).alias("a"), at(1).alias("b")).collect()
-    return {row["i"]: (row["a"], row["b"]) for row in rows}
+    wanted = F.get(F.array(*[F.lit(r.rank - r.below) for r in ranks]), F.col("i"))
+    rows = (
+        counted.withColumn("upto", F.sum("n").over(running))
+        .where((wanted < F.col("upto")) & (wanted >= F.col("upto") - F.col("n")))
+        .select("i", "v").collect()
+    )
+    values = {row["i"]: row["v"] for row in rows}
+    return [replace(r, value=values[i]) for i, r in enumerate(ranks)]
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probabilities, small: int = SMALL
               ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column over its non-missing values.
 
-    Runs jobs; what comes back to the driver is one number per column and
+    Runs jobs; what comes back to the driver is a few numbers per column and
     probability.  Give it a frame that is cheap to scan (see ``session.written``).
     """
     values = df.select(*[nan_to_null(c.cast("double")).alias(name) for name, c in columns.items()])
@@ -114,27 +119,30 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probabilities, small: i
         found = values.agg(*[F.percentile(name, list(probabilities)).alias(name) for name in columns]).first()
         return {name: found[name] or [None] * len(probabilities) for name in columns}
 
-    targets = [
-        _Target(name, p, sizes[name], inside=sizes[name])
-        for name in columns if sizes[name] for p in probabilities
-    ]
-    while True:
-        wide = [i for i, t in enumerate(targets) if t.inside > small and (t.low is None or t.low < t.high)]
-        if not wide:
-            break
-        shrunk = _narrowed(values, [targets[i] for i in wide])
-        stuck = all(new.inside > targets[i].inside // 2 for i, new in zip(wide, shrunk))
-        for i, new in zip(wide, shrunk):
-            targets[i] = new
-        if stuck:       # only ties are left, which count as one value each
-            break
-    around = _ranked(values, targets)
-    result: dict[str, list[float | None]] = {
-        name: [] if sizes[name] else [None] * len(probabilities) for name in columns}
-    for i, target in enumerate(targets):
-        a, b = around[i]
-        result[target.name].append(a + (b - a) * target.weight)
-    return result
+    wanted = {(name, p): p * (sizes[name] - 1) for name in columns if sizes[name] for p in probabilities}
+    ranks = {
+        (name, rank): _Rank(name, rank, sizes[name])
+        for (name, _), place in wanted.items()
+        for rank in (floor(place), min(floor(place) + 1, sizes[name] - 1))
+    }
+
+    def apply(step, keys: list) -> None:
+        if keys:
+            ranks.update(zip(keys, step(values, [ranks[key] for key in keys])))
+
+    while wide := [key for key, r in ranks.items() if r.value is None and r.inside > small]:
+        apply(_narrow, wide)
+    apply(_ranked, [key for key, r in ranks.items() if r.value is None])
+
+    def interpolated(name: str, p: float) -> float | None:
+        if not sizes[name]:
+            return None
+        place = wanted[name, p]
+        a = ranks[name, floor(place)].value
+        b = ranks[name, min(floor(place) + 1, sizes[name] - 1)].value
+        return a + (b - a) * (place - floor(place))
+
+    return {name: [interpolated(name, p) for p in probabilities] for name in columns}
 
 
 def tercile_cuts(df: DataFrame, columns, probabilities, small: int = SMALL) -> DataFrame:

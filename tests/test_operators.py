@@ -126,13 +126,14 @@ def test_p_value(spark):
     assert [None if r.p is None else round(r.p, 6) for r in with_p_value(rows).collect()] == [0.006023, 0.323060, None]
 
 
-@pytest.mark.parametrize("kind", ["spread", "ties", "mixed"])
+@pytest.mark.parametrize("kind", ["spread", "ties", "mixed", "edge"])
 def test_quantiles_beyond_one_task_are_exact(spark, kind):
     """The bracketing way against brute force; a third of the values is one value."""
     random.seed(7)
     data = {
         "spread": [random.gauss(0, 1) for _ in range(20000)],
         "ties": [float(i % 3) for i in range(20000)],
+        "edge": [7.0 if i < 10000 else 7.0 + random.random() for i in range(20000)],
         "mixed": [5.0 if i % 3 == 0 else random.random() * 10 for i in range(20000)],
     }[kind] + [None, NAN]
     rows = spark.createDataFrame([(v, None if v is None else -2 * v) for v in data], "a double, b double")

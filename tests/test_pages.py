@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hemline.functions.pages import (
-    SITES, decode_references, page_images, page_materials, page_price, page_title, site_links,
+    SITES, attribute_contains, decode_references, has_attribute, has_class, page_images, page_materials, page_price, page_title, site_links,
 )
 from hemline.operators.pages import distinct_links, extract_product_pages, first_links
 
@@ -67,6 +67,16 @@ def test_single_fields(values):
     assert [len(v) for v in values(page_images, [long])] == [2000]
 
 
+def test_attributes_without_quotes(values):
+    html = """<h1 class=name>x</h1><i class='a price b'>1</i><img src=http://i/1.jpg alt=a><img src='http://i/it"s.jpg'>
+    <u data-test=BigPrice>2</u><s id=k>3</s><b class="xprice">4</b>"""
+    assert values(lambda c: page_price(c, has_class("price")), [html]) == ["1"]
+    assert values(lambda c: page_price(c, has_class("name")), [html]) == ["x"]
+    assert values(lambda c: page_price(c, attribute_contains("data-test", "Price")), [html]) == ["2"]
+    assert values(lambda c: page_price(c, has_attribute("id", "k")), [html]) == ["3"]
+    assert values(page_images, [html]) == ['http://i/1.jpg,http://i/it"s.jpg']
+
+
 def test_references(values):
     inputs = ["a &amp;lt; b", "&#8364;5 &#x41; &#zz; &nosuch;", "&eacute;", "plain", None]
     assert values(decode_references, inputs) == ["a &lt; b", "€5 A &#zz; &nosuch;", "é", "plain", None]
