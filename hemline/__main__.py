@@ -81,7 +81,8 @@ def parser() -> argparse.ArgumentParser:
 
     brands = commands.add_parser("brand-report", help="mean price and sentiment per brand")
     brands.add_argument("--inputs", nargs="+", required=True)
-    brands.add_argument("--output", help="CSV folder; default prints the first brands")
+    brands.add_argument("--output", help="folder; default prints the first brands")
+    brands.add_argument("--format", choices=("csv", "json"), default="csv", help="JSON gives one record per line")
 
     pages = commands.add_parser("extract-pages", help="product records from a folder of page files")
     pages.add_argument("--site", choices=sorted(SITES), required=True)
@@ -124,7 +125,9 @@ def main(argv: list[str] | None = None) -> int:
             return 1
     elif args.command == "brand-report":
         report = brand_report(spark, args.inputs)
-        if args.output:
+        if args.output and args.format == "json":
+            report.coalesce(1).write.mode("error").json(args.output)
+        elif args.output:
             write_csv(report, args.output, single=True)
         else:
             report.show(100, truncate=False)

@@ -28,22 +28,24 @@ def sentiment_by_period(scored: DataFrame, by: Iterable[str] = ("year", "month",
     return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_posts"), *means).orderBy(*keys)
 
 
+def _cpw_summary(df: DataFrame) -> DataFrame:
+    """Mean and number of the costs present, per category.
+
+    Missing costs are left to the aggregates: a filter would be pushed below
+    the projection and work out every cost twice.
+    """
+    cost = nan_to_null("proxy_cpw")
+    return df.groupBy("brand_category").agg(F.avg(cost).alias("avg_proxy_cpw"), F.count(cost).alias("n"))
+
+
 def cpw_by_category(df: DataFrame) -> DataFrame:
     """Mean proxy cost per wear per brand category; nulls do not take part."""
-    return (
-        drop_missing(df.select("brand_category", "proxy_cpw"), "brand_category", "proxy_cpw")
-        .groupBy("brand_category").agg(F.avg("proxy_cpw").alias("avg_proxy_cpw"))
-    )
+    return _cpw_summary(df).where("brand_category is not null and n > 0").select("brand_category", "avg_proxy_cpw")
 
 
 def cpw_by_category_complete(df: DataFrame, categories: Iterable[str] = CATEGORIES) -> DataFrame:
     """``cpw_by_category`` with counts and every category present."""
-    summary = (
-        drop_missing(df.select("brand_category", "proxy_cpw"), "proxy_cpw")
-        .groupBy("brand_category")
-        .agg(F.avg("proxy_cpw").alias("avg_proxy_cpw"), F.count(F.lit(1)).alias("n"))
-    )
-    return complete_categories(summary, "brand_category", categories)
+    return complete_categories(_cpw_summary(df), "brand_category", categories)
 
 
 def claims(df: DataFrame, description: str = "description",

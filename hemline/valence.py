@@ -80,5 +80,5 @@ DEFAULT_LEXICON = {
     "thanks": 1.9, "ugly": -2.3, "unhappy": -1.8, "upset": -1.6, "useful": 1.9,
     "useless": -1.8, "warm": 0.9, "waste": -1.8, "weak": -1.9, "welcome": 2.0, "well": 1.1,
     "win": 2.8, "wonderful": 2.7, "worried": -1.2, "worse": -2.1, "worst": -3.1,
-    "worthless": -1.9, "wrong": -2.1, ":)": 2.0, ":(": -1.9, ":d": 2.3, "<3": 1.9,
+    "worthless": -1.9, "wrong": -2.1, ":)": 2.0, ":(": -1.9, "<3": 1.9,
 }

@@ -163,6 +163,8 @@ def test_brand_report(spark, tmp_path, capsys):
     got = {r.brand: (r.avg_price, r.avg_sentiment) for r in read_csv_inferred(spark, str(tmp_path / "r")).collect()}
     assert got == {None: (None, 0.5), "Zara": (10.0, None)}
     assert main(["brand-report", "--inputs", "/absent"]) == 0 and "brand" in capsys.readouterr().out
+    main(["brand-report", "--inputs", str(tmp_path / "z"), "--output", str(tmp_path / "j"), "--format", "json"])
+    assert spark.read.json(str(tmp_path / "j")).collect()[0].avg_price == 10.0
 
 
 def test_page_jobs(spark, tmp_path):
@@ -186,8 +188,8 @@ def test_page_jobs(spark, tmp_path):
 
 
 def test_lexicon_file(spark, tmp_path):
-    path = put(tmp_path / "lexicon.txt", "good\t1.9\t0.9\t[2, 1]\n:(\t-1.9\t1\t[]\nbad line\n")
-    assert lexicon_mapping(read_lexicon(spark, path)) == {"good": 1.9, ":(": -1.9}
+    path = put(tmp_path / "lexicon.txt", "good\t1.9\t0.9\t[2, 1]\n:(\t-1.9\t1\t[]\n:\\\t-1.0\t1\n\"x\t0.5\nbad line\n")
+    assert lexicon_mapping(read_lexicon(spark, path)) == {"good": 1.9, ":(": -1.9, ":\\": -1.0, '"x': 0.5}
 
 
 def test_optional_and_once(spark, tmp_path):
