@@ -154,13 +154,41 @@ def raw_text(inner: Column) -> Column:
     return strip(decode_references(F.array_join(F.filter(inner, lambda p: ~_is_tag(p)), "")))
 
 
+def element_spans(pieces: Column, tag: str) -> Column:
+    """``array<struct<start, stop>>``: places of the tags of every element of one name.
+
+    An element without another of its name inside ends at the next such tag;
+    only the others are walked through, so a long list stays linear.
+    """
+    tags = F.filter(
+        F.transform(pieces, lambda piece, i: F.when(
+            piece.rlike(any_tag(tag)), F.struct((i + 1).alias("place"), F.lit(True).alias("opens")),
+        ).when(
+            piece.rlike(rf"^</(?i:{tag})\s*>"), F.struct((i + 1).alias("place"), F.lit(False).alias("opens")),
+        )),
+        lambda found: found.isNotNull(),
+    )
+
+    def spans(found: Column) -> Column:
+        def span(one: Column, i: Column) -> Column:
+            following = F.get(found, i + 1)
+            stop = F.when(~following["opens"], following["place"]).otherwise(
+                one["place"] + 1 + F.size(element_from(pieces, one["place"])))
+            return F.when(one["opens"], F.struct(one["place"].alias("start"), stop.alias("stop")))
+
+        return F.filter(F.transform(found, span), lambda one: one.isNotNull())
+
+    return let(tags, spans)
+
+
+def span_text(pieces: Column, span: Column) -> Column:
+    return raw_text(F.slice(pieces, span["start"] + 1, span["stop"] - span["start"] - 1))
+
+
 def list_items(inner: Column) -> Column:
     """Texts of the list items of an element, in order."""
-    starts = F.filter(
-        F.transform(inner, lambda piece, i: F.when(piece.rlike(any_tag("li")), i + 1)),
-        lambda place: place.isNotNull(),
-    )
-    return F.transform(starts, lambda place: raw_text(element_from(inner, place)))
+    return let(inner, lambda pieces: F.transform(
+        element_spans(pieces, "li"), lambda span: span_text(pieces, span)))
 
 
 def link_tags(pieces: Column, parent: str | None = None) -> Column:
@@ -201,14 +229,10 @@ def block_of(pieces: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def items_after(pieces: Column, heading: str, word: str, container: str) -> Column:
-    def holds(piece: Column, i: Column) -> Column:
-        return F.when(F.when(
-            piece.rlike(any_tag(heading)),
-            F.contains(raw_text(element_from(pieces, i + 1)), F.lit(word)),
-        ), i)
-
-    last = F.array_max(F.transform(pieces, holds))
-    start = _first_place(pieces, any_tag(container), after=last)
+    named = F.filter(
+        element_spans(pieces, heading), lambda span: F.contains(span_text(pieces, span), F.lit(word)))
+    last = F.array_max(F.transform(named, lambda span: span["start"]))
+    start = let(last, lambda place: _first_place(pieces, any_tag(container), after=place))
     none = F.array().cast("array<string>")
     return F.coalesce(let(start, lambda place: F.when(
         place > 0, list_items(element_from(pieces, place)))), none)

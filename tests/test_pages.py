@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hemline.functions.pages import (
-    SITES, attribute_contains, decode_references, has_attribute, has_class, page_images, page_materials, page_price, page_title, site_links,
+    SITES, attribute_contains, decode_references, has_attribute, has_class, page_images, page_material_items,
+    page_materials, page_price, page_title, site_links,
 )
 from hemline.operators.pages import distinct_links, extract_product_pages, first_links
 
@@ -86,3 +87,15 @@ def test_whole_page_is_read(values):
     """The field comes at the very end of a long page."""
     html = "<div>" + "<p>filler text</p>" * 5000 + "</div><h1>Last</h1>"
     assert values(page_title, [html]) == ["Last"]
+
+
+def test_lists(values):
+    def items(column):
+        return page_material_items(column, "dt", "Composition", "dd")
+
+    nested = "<dt>Composition</dt><dd><ul><li>a <b>b</b></li><li>c<ul><li>d</li></ul>e</li><li>f</li></ul></dd><li>no</li>"
+    two = "<dt>Composition</dt><dd><li>old</li></dd><dt>The Composition</dt><p></p><dd><li>new</li></dd>"
+    long = "<dt>Composition</dt><dd>" + "".join(f"<li>{i}</li>" for i in range(20000)) + "</dd>"
+    got = values(items, [nested, two, "<dt>Size</dt><dd><li>S</li></dd>", None, long])
+    assert got[:4] == [["a b", "cde", "d", "f"], ["new"], [], []]
+    assert got[4] == [str(i) for i in range(20000)]
