@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +21,18 @@ def build_session(app_name: str = "hemline", **conf: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder.
+    """A fresh path in a folder that driver and executors share, removed when the session's process ends.
 
-    Only a session without ``spark.checkpoint.dir`` (a test) gets a local one.
+    The folder is ``spark.checkpoint.dir``; where that is unset, the warehouse. Without either this raises, since
+    a machine's own folder is not seen by the others.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="hemline-")
-    return f"{base.rstrip('/')}/hemline/{name}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/hemline-scratch/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
