@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+import checks.registry
 from checks.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -18,7 +19,11 @@ def tables():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+# Those of folders that may be absent are tested there.
+NAMES = sorted(name for name, made in contract.queries().items() if made.__module__.startswith(checks.__name__ + "."))
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, tables, name):
     made = []
 
