@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import decontam, exact, language, packing, secrets, simhash
+from hemline.llm import decontam, exact, language, packing, secrets, simhash, warc
 from hemline.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,26 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+WARC_SQL = """
+WITH payloads AS (
+    SELECT page_id, url, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+    SELECT page_id, url, octet_length(payload) AS payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0x' || substr(hex, 1 + i // 4 * 5, 5))::BIGINT
+            // (32 ** (3 - i % 4))::BIGINT % 32 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+    FROM payloads),
+firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM digests GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END
+    AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS uri
+FROM digests JOIN firsts USING (payload_digest)
+"""
+
+
+@query(WARC_SQL)
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated_archives(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op2_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
