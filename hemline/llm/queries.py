@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import decontam, exact, language, packing, secrets, simhash, warc
+from hemline.llm import decontam, exact, language, packing, secrets, simhash, suffixes, warc
 from hemline.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+@query()
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats_removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query()
 def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
