@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import decontam, exact, language, packing, secrets, simhash, suffixes, warc
+from hemline.llm import decontam, exact, language, packing, secrets, sharding, simhash, suffixes, warc
 from hemline.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,28 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SHARD_SQL = f"""
+WITH hashed AS (
+    SELECT doc_id, strlen(coalesce(text, '')) AS bytes, CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR),
+        ''), ':', coalesce(text, ''))), 1, 15) AS BIGINT) AS hash FROM documents),
+depths AS (SELECT unnest(range(0, 25)) AS depth),
+prefixes AS (
+    SELECT depth, hash >> (60 - depth) AS prefix, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs
+    FROM hashed, depths GROUP BY ALL HAVING sum(bytes) <= {sharding.LIMIT} OR min(hash) = max(hash)),
+chosen AS (
+    SELECT doc_id, hash, min(depth) AS depth FROM hashed, depths JOIN prefixes USING (depth)
+    WHERE prefix = hash >> (60 - depth) GROUP BY ALL)
+SELECT doc_id, hash, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INT), '0') END AS shard,
+    CAST(depth AS INT) AS depth, shard_docs, shard_bytes, shard_bytes > {sharding.LIMIT} AS oversized
+FROM chosen JOIN prefixes USING (depth) WHERE prefix = hash >> (60 - depth)
+"""
+
+
+@query(SHARD_SQL)
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer())
