@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hemline.llm import decontam, exact, language, packing, secrets, sharding, simhash, suffixes, warc
+from hemline.llm import decontam, exact, language, packing, pii, secrets, sharding, simhash, suffixes, warc
 from hemline.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,16 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SURROGATE_KEY = b"key of the test tables"       # a real run keeps its key apart from code and data
+
+
+@query()
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymised(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    counts = [F.coalesce(F.try_element_at("entities", F.lit(kind)), F.lit(0)).alias(f"n_{kind}") for kind in pii.KINDS]
+    return done.select("doc_id", "text", *counts)
+
+
 SHARD_SQL = f"""
 WITH hashed AS (
     SELECT doc_id, strlen(coalesce(text, '')) AS bytes, CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR),

@@ -67,7 +67,7 @@ def fingerprinted(df: DataFrame, alias: str, text: str = "text", width: int = WI
                 [*batch.columns[:-1], pa.array(made, pa.int64())], names=[*batch.schema.names[:-1], alias])
 
     wanted = df.select("*", whole_text(text).alias(alias))
-    return wanted.mapInArrow(each, df.schema.add(alias, "long"))
+    return wanted.mapInArrow(each, df.select("*").schema.add(alias, "long"))
 
 
 def flips(bits: int, most: int) -> np.ndarray:
