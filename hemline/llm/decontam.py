@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hemline.llm.base import fresh, whole_text
+from hemline.llm.base import whole_text
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 24
 BLOCK_BYTES = 32 << 20
@@ -205,17 +205,15 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                    item_text: str = "text", block_bytes: int = BLOCK_BYTES, **settings) -> DataFrame:
     """The rows that contain no item, with the columns of ``df``."""
-    (last,) = fresh(df, "text_to_search")
-    clean = df
+    clean, place = df, df.columns.index(text)
     for index in indexes(benchmark, item, item_text, block_bytes, **settings):
         shared = df.sparkSession.sparkContext.broadcast(index)
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                stays = pa.array([next(index.hits(t), None) is None for t in texts], pa.bool_())
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(stays)
+                texts = batch.column(place).to_pylist()
+                yield batch.filter(pa.array([next(index.hits(t or ""), None) is None for t in texts], pa.bool_()))
 
-        clean = clean.select("*", whole_text(text).alias(last)).mapInArrow(each, df.schema)
+        clean = clean.mapInArrow(each, df.schema)
     return clean

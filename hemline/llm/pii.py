@@ -205,7 +205,7 @@ def surrogates(known: DataFrame, key: bytes, tries: int = TRIES) -> DataFrame:
 
 def pseudonymised(df: DataFrame, key: bytes, id: str = "doc_id", text: str = "text", counts: str = "entities") -> DataFrame:
     """The columns of ``df`` with the text rewritten, and the number of entities by kind as a map."""
-    mark, moved_name, read = fresh(df, "text_mark", "moved", "text_read")
+    mark, moved_name = fresh(df, "text_mark", "moved")
     own = f"`{text}`"
     table = surrogates(entities(df, text), key).filter("skip <> 0")
 
@@ -238,7 +238,7 @@ def pseudonymised(df: DataFrame, key: bytes, id: str = "doc_id", text: str = "te
         known: dict[tuple[str, str], str] = {}
         for batch in batches:
             texts, numbers = [], []
-            for value, own in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+            for value, own in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
                 if value is None:
                     texts.append(None)
                     numbers.append([])
@@ -262,4 +262,4 @@ def pseudonymised(df: DataFrame, key: bytes, id: str = "doc_id", text: str = "te
                 [*columns, pa.array(numbers, pa.map_(pa.string(), pa.int64()))], names=[*names, counts])
 
     schema = df.select("*").schema.add(counts, T.MapType(T.StringType(), T.LongType()))
-    return marked.select(*[F.col(f"`{n}`") for n in names], F.col(own).alias(read), moved_name).mapInArrow(each, schema)
+    return marked.select(*[F.col(f"`{n}`") for n in names], moved_name).mapInArrow(each, schema)
