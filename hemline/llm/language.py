@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,12 @@ from hemline.llm.base import fresh
 from hemline.session import written
 
 UNKNOWN = "und"
-SAMPLE_ROWS = 10_000        # labelled rows per language, about
+SAMPLE_ROWS = 5_000         # labelled rows per language, about
 MODEL_WORDS = 20_000        # per language
 MODEL_GRAMS = 5_000         # per language and length
 LONGEST = 4
-FLUSH = 200_000             # distinct entries a task counts before it hands them on
-CACHED = 200_000            # words whose scores a task remembers
+FLUSH = 100_000             # distinct entries a task counts before it hands them on
+CACHED = 100_000            # words whose scores a task remembers
 PIECE = 50_000              # words of a text that are scored at once
 MIN_SCORE = 0.2             # below it a document is rejected by ``recognised``
 
@@ -50,34 +51,39 @@ def grams_of(word: str, size: int) -> list[str]:
     return [padded[i:i + size] for i in range(len(padded) - size + 1)] if size > 1 else list(word)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, size, entry, n) of a task; size 0 is a word."""
-    counted: dict[str, Counter] = {}
-
-    def handed():
-        rows = [(lang, 0, word, n) for lang, words in counted.items() for word, n in words.items()]
-        for lang, words in counted.items():
-            grams: list[Counter] = [Counter() for _ in range(longest + 1)]
-            for word, n in words.items():
-                for size in range(1, longest + 1):
-                    for gram in grams_of(word, size):
-                        grams[size][gram] += n
-            rows += [(lang, size, gram, n) for size in range(1, longest + 1) for gram, n in grams[size].items()]
-        columns = list(zip(*rows)) if rows else [(), (), (), ()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(column, kind) for column, kind in zip(columns, kinds)], ["lang", "size", "entry", "n"])
+def _handed(counted: Counter, names: list[str]) -> pa.RecordBatch:
+    """The counts so far as rows; the counter starts anew."""
+    columns = list(zip(*counted)) if counted else [()] * (len(names) - 1)
+    kinds = [pa.int32() if name == "size" else pa.string() for name in names[:-1]]
+    arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(counted.values()), pa.int64())]
+    counted.clear()
+    return pa.RecordBatch.from_arrays(arrays, names)
 
+
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, entry, n) of the words of a task's texts."""
+    counted, names = Counter(), ["lang", "entry", "n"]
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found, words = counted.setdefault(lang, Counter()), words_of(text)
+            words = words_of(text)
             for at in range(0, len(words), PIECE):
-                found.update(words[at:at + PIECE])
-                if sum(map(len, counted.values())) > FLUSH:
-                    yield handed()
-                    counted.clear()
-                    found = counted.setdefault(lang, Counter())
-    yield handed()
+                counted.update(zip(repeat(lang), words[at:at + PIECE]))
+                if len(counted) > FLUSH:
+                    yield _handed(counted, names)
+    yield _handed(counted, names)
+
+
+def gram_counts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """(lang, size, entry, n) of the n-grams of counted words (lang, entry, n)."""
+    counted, names = Counter(), ["lang", "size", "entry", "n"]
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for size in range(1, longest + 1):
+                for gram in grams_of(word, size):
+                    counted[lang, size, gram] += n
+            if len(counted) > FLUSH:
+                yield _handed(counted, names)
+    yield _handed(counted, names)
 
 
 class Model:
@@ -108,7 +114,7 @@ class Model:
         for size in range(self.longest, 0, -1):
             known = [at for at in map(self.tables[size].get, grams_of(word, size)) if at is not None]
             if known:
-                return self.values[size][known].mean(axis=0)
+                return np.add.reduce(self.values[size].take(known, axis=0)) / len(known)
         return None
 
 
@@ -161,10 +167,12 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     for name in langs:
         share = F.when(F.col("lang") == name, min(1.0, sample_rows / prior[name])).otherwise(share)
     part = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    counts = written(
-        labelled.filter(part < share)
-        .mapInArrow(lambda batches: _counts(batches, longest), "lang string, size int, entry string, n long")
-        .groupBy("lang", "size", "entry").agg(F.sum("n").alias("n")), "language-counts")
+    words = written(
+        labelled.filter(part < share).mapInArrow(word_counts, "lang string, entry string, n long")
+        .groupBy("lang", "entry").agg(F.sum("n").alias("n")), "word-counts")
+    grams = words.mapInArrow(lambda b: gram_counts(b, longest), "lang string, size int, entry string, n long").groupBy(
+        "lang", "size", "entry").agg(F.sum("n").alias("n"))
+    counts = written(words.select("lang", F.lit(0).alias("size"), "entry", "n").unionByName(grams), "language-counts")
     totals = {(r["lang"], r["size"]): (r["n"], r["distinct"]) for r in counts.groupBy("lang", "size").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()}
     order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry")
@@ -176,19 +184,17 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
 
 def predicted(df: DataFrame, model: Model, label: str, score: str, text: str = "text") -> DataFrame:
     """The columns of ``df``, with the language and its score (0 to 1)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            made = [scorer.predict(value) for value in batch.column(batch.num_columns - 1).to_pylist()]
+            made = [scorer.predict(value) for value in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()),
-                 pa.array([m[1] for m in made], pa.float64())], names=[*batch.schema.names[:-1], label, score])
+                [*batch.columns, pa.array([m[0] for m in made], pa.string()),
+                 pa.array([m[1] for m in made], pa.float64())], names=[*batch.schema.names, label, score])
 
-    (last,) = fresh(df, "text_to_score")
-    schema = df.select("*").schema.add(label, "string").add(score, "double")
-    return df.select("*", F.col(f"`{text}`").cast("string").alias(last)).mapInArrow(each, schema)
+    return df.mapInArrow(each, df.select("*").schema.add(label, "string").add(score, "double"))
 
 
 def held_out(id: str, folds: int = 5):

@@ -73,15 +73,19 @@ def test_counts_in_parts_add_up(monkeypatch):
 
     batch = pa.RecordBatch.from_arrays([pa.array(["ab ab cd", "ef", "ab"]), pa.array(["x", "x", "y"])], ["text", "lang"])
 
-    def total():
+    def total(parts):
         out = {}
-        for part in language._counts(iter([batch]), 2):
-            for row in part.to_pylist():
-                key = (row["lang"], row["size"], row["entry"])
-                out[key] = out.get(key, 0) + row["n"]
+        for row in (row for part in parts for row in part.to_pylist()):
+            key = (row["lang"], row.get("size", 0), row["entry"])
+            out[key] = out.get(key, 0) + row["n"]
         return out
 
-    whole = total()
-    assert whole["x", 0, "ab"] == 2 and whole["x", 2, "ab"] == 2 and whole["x", 1, "a"] == 2 and whole["y", 2, " a"] == 1
+    def both():
+        words = list(language.word_counts(iter([batch])))
+        return total(words), total(language.gram_counts(iter(words), 2))
+
+    words, grams = both()
+    assert words == {("x", 0, "ab"): 2, ("x", 0, "cd"): 1, ("x", 0, "ef"): 1, ("y", 0, "ab"): 1}
+    assert grams["x", 2, "ab"] == 2 and grams["x", 1, "a"] == 2 and grams["y", 2, " a"] == 1
     monkeypatch.setattr(language, "FLUSH", 0)
-    assert total() == whole
+    assert both() == (words, grams)
