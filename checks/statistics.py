@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.expected import ENRICHED, PARTS, category, claim, durability, hits, price_strip
 from checks.inputs import LISTING_SQL, REVIEW_SQL, listing, reviews, table
 from checks.registry import query
-from hemline.constants import QUARTILES, TERCILES
+from hemline.constants import CLUSTER_FEATURES, QUARTILES, TERCILES
 from hemline.functions.brands import brand_category
 from hemline.functions.materials import material_quality_score
 from hemline.functions.prices import price_strip as strip_price
@@ -91,21 +91,35 @@ def quality_quartiles(spark, sf_dir):
         "has_claim", *[F.round(name, 6).alias(name) for name in ("q1", "median", "q3")])
 
 
+_AREA = "sum({density} * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * any_value({upper}) / 4000.0 / 3"
+
+
+def exact_p(summary: str) -> str:
+    """Common tables ``s`` (r, n of ``summary``) and ``exact`` (p): the density of the t distribution, integrated."""
+    density = ("exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * "
+               "(1 + (t * i / 4000.0) * (t * i / 4000.0) / v) ** (-(v + 1) / 2)")
+    return f"""s AS ({summary}),
+t_of AS (SELECT n - 2.0::DOUBLE AS v, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM s),
+t_grid AS (SELECT v, t, unnest(range(0, 4001)) AS i FROM t_of),
+exact AS (SELECT 1 - 2 * ({_AREA.format(density=density, upper="t")}) AS p FROM t_grid)"""
+
+
 _FISHER = """abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3)"""
 
 
-@query(f"""WITH s AS (
-  SELECT corr(quality, toxic) AS r, count(*) AS n FROM labels),
+@query(f"""WITH {exact_p("SELECT corr(quality, toxic) AS r, count(*) AS n FROM labels")},
 z AS (SELECT r, n, {_FISHER} AS z FROM s),
 grid AS (SELECT z, unnest(range(0, 2001)) AS i FROM z),
 simpson AS (
   SELECT sum(exp(-((z * i / 2000.0) * (z * i / 2000.0)) / 2) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
          * any_value(z) / 2000.0 / 3 AS area FROM grid)
-SELECT round(r, 6) AS r, n, round(1 - 2 * area / sqrt(2 * pi()), 6) AS p FROM s, simpson""")
+SELECT round(r, 6) AS r, n, round(p, 6) AS p, round(1 - 2 * area / sqrt(2 * pi()), 6) AS p_fisher FROM s, exact, simpson""")
 def label_correlation(spark, sf_dir):
-    """r, n and p; the expected p integrates the normal density."""
-    return with_p_value(pearson(table(spark, sf_dir, "labels"), "quality", "toxic")).select(
-        F.round("r", 6).alias("r"), "n", F.round("p", 6).alias("p"))
+    """r, n and both kinds of p; the expected ones integrate the densities."""
+    summary = pearson(table(spark, sf_dir, "labels"), "quality", "toxic")
+    exact = with_p_value(summary).withColumnRenamed("p", "exact")
+    return with_p_value(exact, method="fisher").select(
+        F.round("r", 6).alias("r"), "n", F.round("exact", 6).alias("p"), F.round("p", 6).alias("p_fisher"))
 
 
 @query("""SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n,
@@ -181,7 +195,7 @@ def attached_labels(spark, sf_dir):
     names = spark.range(2).select(
         F.col("id").cast("int").alias("toxic"),
         F.when(F.col("id") == 0, "clean").otherwise("toxic").alias("name"))
-    return attach_names(labelled, names, "toxic", rows_at_most=2).select("doc_id", "quality", "name")
+    return attach_names(labelled, names, "toxic").select("doc_id", "quality", "name")
 
 
 @query("""SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1""")
@@ -235,7 +249,7 @@ def named_clusters(spark, sf_dir):
     """Names of given clusters from their means against the terciles of all rows."""
     rows = _features(spark, sf_dir).withColumn(
         "cluster", F.when(F.col("price").isNotNull(), F.col("l_linenumber") % 4))
-    return name_clusters(rows, 4).select("l_orderkey", "l_linenumber", "cluster", "cluster_name")
+    return name_clusters(rows).select("l_orderkey", "l_linenumber", "cluster", "cluster_name")
 
 
 @query()
@@ -248,3 +262,28 @@ def kmeans_clusters(spark, sf_dir):
 def product_segments(spark, sf_dir):
     """k-means with named segments."""
     return cluster_products(_features(spark, sf_dir)).select("l_orderkey", "l_linenumber", "cluster", "cluster_name")
+
+
+@query("""SELECT count_if(l_tax <> 0) AS labelled, count_if(l_tax = 0) AS unlabelled, 4 AS clusters, 0 AS nearer_elsewhere,
+0 AS otherwise_dealt FROM lineitem""")
+def kmeans_properties(spark, sf_dir):
+    """What holds for the clusters of any start: rows with a gap have none, no row lies nearer to the mean of
+    another cluster, and the same rows dealt out otherwise get the same labels."""
+    rows = _features(spark, sf_dir)
+    labelled = standardize(kmeans(rows), CLUSTER_FEATURES)
+    means = labelled.where("cluster IS NOT NULL").groupBy("cluster").agg(
+        *[F.avg(f"z_{name}").alias(f"m_{name}") for name in CLUSTER_FEATURES])
+    labelled = labelled.withColumn("centres", means.agg(F.collect_list(F.struct("*"))).scalar())
+    distances = F.transform("centres", lambda c: F.struct(
+        sum(((F.col(f"z_{name}") - c[f"m_{name}"]) ** 2 for name in CLUSTER_FEATURES), F.lit(0.0)).alias("far"),
+        c["cluster"].alias("cluster")))
+    own = F.get(F.filter(distances, lambda d: d["cluster"] == F.col("cluster")), F.lit(0))["far"]
+    nearer = own > F.array_min(distances)["far"] + 0.05         # the centres still moved a little at the end
+    columns = [*rows.columns, "cluster"]
+    again = kmeans(rows.repartition(3, "l_linenumber")).select(*columns, F.lit(-1).alias("n"))
+    moved = labelled.select(*columns, F.lit(1).alias("n")).unionByName(again).groupBy(*columns).agg(F.sum("n").alias("n"))
+    otherwise = moved.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).cast("int")).scalar()
+    return labelled.select("cluster", nearer.alias("nearer")).agg(
+        F.count("cluster").alias("labelled"), F.count_if(F.col("cluster").isNull()).alias("unlabelled"),
+        F.countDistinct("cluster").cast("int").alias("clusters"), F.count_if("nearer").cast("int").alias("nearer_elsewhere"),
+    ).withColumn("otherwise_dealt", otherwise)

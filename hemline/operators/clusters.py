@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 from functools import reduce
-from math import sqrt
+from math import ceil, sqrt
 from operator import and_
 
 from pyspark import StorageLevel
@@ -19,10 +19,11 @@ from hemline.constants import (
 from hemline.functions.prices import cluster_name, level
 from hemline.operators.aggregates import mean_profile
 from hemline.operators.filters import is_finite
-from hemline.operators.quantiles import quantiles
-from hemline.operators.shaping import attach_names, spread
+from hemline.operators.quantiles import tercile_cuts
+from hemline.operators.shaping import attach_names
 
 _Z = "_z_"
+POINTS_PER_TASK = 50_000
 
 
 def all_finite(columns: Iterable[str]) -> Column:
@@ -58,17 +59,27 @@ def fit_kmeans(df: DataFrame, columns: Iterable[str], k: int = CLUSTERS, seed: i
 
     The study stops once the squared shifts of all centres sum to no more than
     ``CLUSTER_TOLERANCE``; here each centre gets an equal part of that.
+
+    The start draws points by their place, so equal points become one with a
+    weight and lie by their hash, in order: the model is the same however the
+    rows were dealt out, and a point that many rows share fills no task.
     """
     columns = list(columns)
-    points = spread(df.where(all_finite(columns)).select(*columns)).select(_vector(columns).alias("features"))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)   # every iteration scans them
+    weighted = df.where(all_finite(columns)).groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    points = weighted.persist(StorageLevel.MEMORY_AND_DISK)     # counted, then dealt out
     try:
-        if points.isEmpty():
+        parts = ceil(points.count() / POINTS_PER_TASK)
+        if not parts:
             return None
-        return KMeans(
-            k=k, seed=seed, maxIter=CLUSTER_ITERATIONS, tol=sqrt(CLUSTER_TOLERANCE / k),
-            featuresCol="features", solver="block",
-        ).fit(points)
+        placed = points.repartition(parts, *columns).sortWithinPartitions(*columns).select(
+            _vector(columns).alias("features"), "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return KMeans(
+                k=k, seed=seed, maxIter=CLUSTER_ITERATIONS, tol=sqrt(CLUSTER_TOLERANCE / k),
+                featuresCol="features", weightCol="weight", solver="block",
+            ).fit(placed)
+        finally:
+            placed.unpersist()
     finally:
         points.unpersist()
 
@@ -95,11 +106,13 @@ def cluster_profile(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES) ->
     return mean_profile(df, "cluster", columns)
 
 
-def cluster_names(profile: DataFrame, cuts: Mapping[str, list[float | None]]) -> DataFrame:
-    """cluster, cluster_name from cluster means against the global cuts."""
+def cluster_names(profile: DataFrame, cuts: DataFrame) -> DataFrame:
+    """cluster, cluster_name from cluster means against the global cuts (feature, lo, hi)."""
+    found = cuts.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi"))))).scalar()
+
     def leveled(name: str) -> Column:
-        low, high = (F.lit(cut).cast("double") for cut in cuts[name])
-        return level(name, low, high)
+        cut = F.try_element_at(found, F.lit(name))
+        return level(name, cut["lo"], cut["hi"])
 
     return profile.select("cluster", cluster_name(
         "cluster", leveled("price"), leveled("objective_quality_score"),
@@ -107,13 +120,13 @@ def cluster_names(profile: DataFrame, cuts: Mapping[str, list[float | None]]) ->
     ).alias("cluster_name"))
 
 
-def name_clusters(df: DataFrame, k: int) -> DataFrame:
+def name_clusters(df: DataFrame) -> DataFrame:
     """Add ``cluster_name`` to a frame that has ``cluster``."""
-    cuts = quantiles(df, {name: F.col(name) for name in CLUSTER_FEATURES}, TERCILES)
-    return attach_names(df, cluster_names(cluster_profile(df), cuts), "cluster", rows_at_most=k)
+    cuts = tercile_cuts(df, CLUSTER_FEATURES, TERCILES)
+    return attach_names(df, cluster_names(cluster_profile(df), cuts), "cluster")
 
 
 def cluster_products(df: DataFrame, k: int = CLUSTERS, seed: int = CLUSTER_SEED) -> DataFrame:
     """Segments of products by price, sentiment, durability and quality, with names."""
     labelled = kmeans(df, CLUSTER_FEATURES, k, seed)
-    return name_clusters(labelled, k).select(*df.columns, "cluster", "cluster_name")
+    return name_clusters(labelled).select(*df.columns, "cluster", "cluster_name")

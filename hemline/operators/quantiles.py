@@ -1,15 +1,14 @@
-"""Exact quantiles of columns that do not fit one task.
+"""Exact quantiles as one lazy plan at every size.
 
-``percentile`` keeps every distinct value in one buffer, so it is used only up
-to ``SMALL`` values.  Beyond that a sketch proposes two values around each
-wanted rank and a count says exactly on which side of them the rank lies; this
-repeats until few values are left between them, and only those are ranked.
+Distinct values are counted, and each falls into a range of nearby values; running totals over the ranges tell which
+range holds a wanted rank.  Only that range is cut again, into ``FINE`` parts between its least and greatest value, and
+only the part with the rank is put in order.  So no task orders more than a small part of the values, and what is
+broadcast is one row per wanted rank.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from math import floor
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,146 +16,80 @@ from pyspark.sql import functions as F
 
 from hemline.functions.common import nan_to_null
 
-SMALL = 500_000
-ACCURACY = 10_000
-SLACK = 3.0 / ACCURACY
-
-
-@dataclass(frozen=True)
-class _Rank:
-    """One wanted rank of one column and the open interval that holds its value."""
-
-    name: str
-    rank: int                   # from 0, among the values of the column
-    inside: int                 # values in the interval
-    below: int = 0              # values before the interval
-    low: float | None = None    # bounds do not belong to it; None is no bound
-    high: float | None = None
-    value: float | None = None  # once known
-
-    @property
-    def interval(self) -> tuple:
-        return self.name, self.low, self.high
-
-    def holds(self) -> Column:
-        value = F.col(self.name)
-        condition = value.isNotNull()
-        if self.low is not None:
-            condition = condition & (value > self.low)
-        if self.high is not None:
-            condition = condition & (value < self.high)
-        return condition
-
-    def places(self) -> list[float]:
-        place = (self.rank - self.below) / max(self.inside - 1, 1)
-        return [max(place - SLACK, 0.0), min(place + SLACK, 1.0)]
-
-    def counts(self, a: float, b: float) -> list[Column]:
-        """Values of the interval before a, at a, between, and at b."""
-        value, inside = F.col(self.name), self.holds()
-        between = (value > a) & (value < b)
-        return [F.count_if(inside & condition) for condition in (
-            value < a, value == a, between, (value == b) if a < b else F.lit(False))]
-
-    def narrowed(self, a: float, b: float, before: int, at_a: int, between: int, at_b: int) -> _Rank:
-        """The part of the interval that the counts prove to hold the rank."""
-        start = self.below
-        if self.rank < start + before:
-            return replace(self, high=a, inside=before)
-        if self.rank < start + before + at_a:
-            return replace(self, value=a)
-        if self.rank < start + before + at_a + between:
-            return replace(self, low=a, high=b, below=start + before + at_a, inside=between)
-        if self.rank < start + before + at_a + between + at_b:
-            return replace(self, value=b)
-        used = before + at_a + between + at_b
-        return replace(self, low=b, below=start + used, inside=self.inside - used)
-
-
-def _narrow(df: DataFrame, ranks: list[_Rank]) -> list[_Rank]:
-    """One sketch per distinct interval and one count, two jobs with one row each."""
-    places: dict[tuple, list[float]] = {}
-    for r in ranks:
-        places.setdefault(r.interval, []).extend(r.places())
-    holder = {r.interval: r for r in ranks}
-    order = list(places)
-    sketches = df.agg(*[
-        F.percentile_approx(F.when(holder[i].holds(), F.col(i[0])), places[i], ACCURACY) for i in order
-    ]).first()
-    found = {i: list(sketch) for i, sketch in zip(order, sketches)}
-    bounds = [(found[r.interval].pop(0), found[r.interval].pop(0)) for r in ranks]
-    counts = list(df.agg(*[count for r, ab in zip(ranks, bounds) for count in r.counts(*ab)]).first())
-    return [r.narrowed(*ab, *counts[4 * i:4 * i + 4]) for i, (r, ab) in enumerate(zip(ranks, bounds))]
-
-
-def _ranked(df: DataFrame, ranks: list[_Rank]) -> list[_Rank]:
-    """Rank the values left in the intervals, counted per distinct value first."""
-    tagged = F.array_compact(F.array(*[
-        F.when(r.holds(), F.struct(F.lit(i).alias("i"), F.col(r.name).alias("v"))) for i, r in enumerate(ranks)
-    ]))
-    counted = df.select(F.explode(tagged).alias("c")).groupBy("c.i", "c.v").agg(F.count(F.lit(1)).alias("n"))
-    running = W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    wanted = F.get(F.array(*[F.lit(r.rank - r.below) for r in ranks]), F.col("i"))
-    rows = (
-        counted.withColumn("upto", F.sum("n").over(running))
-        .where((wanted < F.col("upto")) & (wanted >= F.col("upto") - F.col("n")))
-        .select("i", "v").collect()
-    )
-    values = {row["i"]: row["v"] for row in rows}
-    return [replace(r, value=values[i]) for i, r in enumerate(ranks)]
-
-
-def quantiles(df: DataFrame, columns: dict[str, Column], probabilities, small: int = SMALL
-              ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column over its non-missing values.
-
-    Runs jobs; what comes back to the driver is a few numbers per column and
-    probability.  Give it a frame that is cheap to scan (see ``session.written``).
-    """
-    values = df.select(*[nan_to_null(c.cast("double")).alias(name) for name, c in columns.items()])
-    sizes = values.agg(*[F.count(name).alias(name) for name in columns]).first()
-    if max(sizes) <= small:
-        found = values.agg(*[F.percentile(name, list(probabilities)).alias(name) for name in columns]).first()
-        return {name: found[name] or [None] * len(probabilities) for name in columns}
-
-    wanted = {(name, p): p * (sizes[name] - 1) for name in columns if sizes[name] for p in probabilities}
-    ranks = {
-        (name, rank): _Rank(name, rank, sizes[name])
-        for (name, _), place in wanted.items()
-        for rank in (floor(place), min(floor(place) + 1, sizes[name] - 1))
-    }
-
-    def apply(step, keys: list) -> None:
-        if keys:
-            ranks.update(zip(keys, step(values, [ranks[key] for key in keys])))
-
-    while wide := [key for key, r in ranks.items() if r.value is None and r.inside > small]:
-        apply(_narrow, wide)
-    apply(_ranked, [key for key, r in ranks.items() if r.value is None])
-
-    def interpolated(name: str, p: float) -> float | None:
-        if not sizes[name]:
-            return None
-        place = wanted[name, p]
-        a = ranks[name, floor(place)].value
-        b = ranks[name, min(floor(place) + 1, sizes[name] - 1)].value
-        return a + (b - a) * (place - floor(place))
-
-    return {name: [interpolated(name, p) for p in probabilities] for name in columns}
-
-
-def tercile_cuts(df: DataFrame, columns, probabilities, small: int = SMALL) -> DataFrame:
+COARSE = 1024       # ranges between two powers of two
+FINE = 65_536
+
+
+def _coarse(value: Column) -> Column:
+    """A whole number that never falls as the value grows."""
+    size = F.abs(value)
+    power = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    part = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * COARSE)
+    place = (power + 1100) * COARSE + F.greatest(F.lit(0), F.least(F.lit(COARSE - 1), part))
+    return F.when(size == 0, 0).otherwise(F.signum(value) * place).cast("long")
+
+
+def _fine(value: Column, low: Column, high: Column) -> Column:
+    return F.when(value >= high, FINE).otherwise(
+        F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * FINE)).cast("long")
+
+
+def _holding(cells: DataFrame, keys: Sequence[str], order: str, ranks: Column, *kept: str) -> DataFrame:
+    """The cells (with a number ``n``) that hold a wanted rank, in ``order`` after ``before`` other values."""
+    running = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    placed = cells.withColumn("upto", F.col("before") + F.sum("n").over(running))
+    inside = F.filter(ranks, lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")))
+    return placed.select(*kept, (F.col("upto") - F.col("n")).alias("before"), F.explode(inside).alias("wanted"))
+
+
+def quantile_table(df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float],
+                   aliases: Sequence[str]) -> DataFrame:
+    """One row per column: ``feature`` and its linearly interpolated quantiles over the non-missing values."""
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("feature"), (nan_to_null(c.cast("double")) + 0.0).alias("v"))
+        for name, c in columns.items()
+    ])).alias("c")).select("c.*").where("v is not null")
+    counts = values.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("coarse", _coarse(F.col("v")))
+
+    ranges = counts.groupBy("feature", "coarse").agg(
+        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ranges = ranges.select("*", F.lit(0).cast("long").alias("before"), F.sum("n").over(W.partitionBy("feature")).alias("m"))
+    lower = [F.floor(p * (F.col("m") - 1)) for p in probabilities]
+    upper = [F.least(rank + 1, F.col("m") - 1) for rank in lower]
+    ranks = F.array_distinct(F.array(*lower, *upper))
+    in_range = _holding(ranges, ["feature"], "coarse", ranks, "feature", "coarse", "low", "high", "m")
+
+    fine = _fine(F.col("v"), F.col("low"), F.col("high"))
+    keys = ["feature", "coarse", "low", "high", "m", "before", "wanted"]
+    parts = counts.join(F.broadcast(in_range), ["feature", "coarse"]).groupBy(*keys, fine.alias("fine")).agg(
+        F.sum("n").alias("n"))
+    in_part = _holding(parts.withColumnRenamed("wanted", "rank"), ["feature", "rank"], "fine", F.array("rank"),
+                       "feature", "coarse", "low", "high", "m", "fine", "rank").drop("wanted")
+
+    few = counts.join(F.broadcast(in_part), ["feature", "coarse"]).where(fine == F.col("fine"))
+    found = _holding(few, ["feature", "rank"], "v", F.array("rank"), "feature", "m", "rank", "v")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(F.col("rank") == rank, F.col("v")))
+
+    def interpolated(p: float, low: Column, high: Column) -> Column:
+        share = F.max(p * (F.col("m") - 1) - low)
+        return at(low) + (at(high) - at(low)) * share
+
+    known = found.groupBy("feature").agg(*[
+        interpolated(p, low, high).alias(name) for p, low, high, name in zip(probabilities, lower, upper, aliases)])
+    named = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(name) for name in columns])).alias("feature"))
+    return named.join(known, "feature", "left")
+
+
+def tercile_cuts(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """One row per column with its lower and upper cut."""
-    found = quantiles(df, {name: F.col(name) for name in columns}, probabilities, small)
-    return df.sparkSession.createDataFrame(
-        [(name, *cuts) for name, cuts in found.items()], "feature string, lo double, hi double")
+    return quantile_table(df, {name: F.col(name) for name in columns}, probabilities, ("lo", "hi"))
 
 
-def quality_quartiles_by_claim(claim_rows: DataFrame, probabilities, small: int = SMALL) -> DataFrame:
+def quality_quartiles_by_claim(claim_rows: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     """Quartile lines of quality with and without a claim."""
     quality = F.col("objective_quality_score")
     sides = {"true": F.when(F.col("has_claim"), quality), "false": F.when(~F.col("has_claim"), quality)}
-    found = quantiles(claim_rows, sides, probabilities, small)
-    rows = [(side == "true", *found[side]) for side in sides if found[side][0] is not None]
-    return claim_rows.sparkSession.createDataFrame(
-        rows, "has_claim boolean, q1 double, median double, q3 double")
+    found = quantile_table(claim_rows, sides, probabilities, ("q1", "median", "q3"))
+    return found.where("q1 is not null").select((F.col("feature") == "true").alias("has_claim"), "q1", "median", "q3")

@@ -40,25 +40,19 @@ def union_products(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when fewer files than cores hold them.
-
-    For costly per-row work on a few big files only; with at least one file per
-    core the scan is already spread and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def distinct_urls(df: DataFrame, url: str = "url", order: ColumnLike | None = None) -> DataFrame:
-    """One row per address: the first by ``order``, or any if no order is given.
+    """One row per address: the first by ``order``, or any of equals; any at all if no order is given.
 
-    Partial aggregation keeps a hot address from filling one task.
+    First the least order of each address, by a hash aggregate, then the rows that
+    have it: nothing is sorted before it is combined, and a hot address sends one
+    row per task.
     """
     if order is None:
         return df.dropDuplicates([url])
-    row = F.struct(*[name for name in df.columns])
-    return df.groupBy(url).agg(F.min_by(row, col(order)).alias("_row")).select("_row.*")
+    place, own = col(order), df.select("*", col(order).alias("_order"))
+    least = df.groupBy(F.col(url).alias("_url")).agg(F.min(place).alias("_least"))
+    same = own[url].eqNullSafe(least["_url"]) & own["_order"].eqNullSafe(least["_least"])
+    return own.join(least, same, "left_semi").drop("_order").dropDuplicates([url])
 
 
 def first_n_distinct(df: DataFrame, n: int, url: str = "url", position: str = "position") -> DataFrame:
@@ -74,9 +68,9 @@ def attach_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return df.join(labels, key, "left")
 
 
-def attach_names(df: DataFrame, names: DataFrame, key: str, rows_at_most: int) -> DataFrame:
-    """Left join onto a lookup table of at most ``rows_at_most`` rows, broadcast if that is few."""
-    return df.join(F.broadcast(names) if rows_at_most <= 10_000 else names, key, "left")
+def attach_names(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Left join onto a lookup table; Spark broadcasts it if its measured size allows."""
+    return df.join(names, key, "left")
 
 
 def category_lookup(df: DataFrame, column: str, table: Mapping[str, str], alias: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -15,9 +16,9 @@ from hemline.operators.aggregates import (
 from hemline.operators.clusters import cluster_names, cluster_products, cluster_profile, kmeans, standardize
 from hemline.operators.correlation import p_value, pearson, point_biserial, regression_line, with_p_value
 from hemline.operators.filters import drop_missing, finite_only, is_finite, min_tokens
-from hemline.operators.quantiles import quality_quartiles_by_claim, quantiles, tercile_cuts
+from hemline.operators.quantiles import quality_quartiles_by_claim, quantile_table, tercile_cuts
 from hemline.operators.shaping import (
-    attach_labels, distinct_urls, first_n_distinct, first_present, pick, spread, union_products,
+    attach_labels, distinct_urls, first_n_distinct, first_present, pick, union_products,
 )
 
 NAN, INF = float("nan"), float("inf")
@@ -61,14 +62,6 @@ def test_attach_labels_keeps_unlabelled_rows(spark):
     assert sorted(tuple(r) for r in attach_labels(rows, labels, "id").collect()) == [(1, 7), (2, None)]
 
 
-def test_spread_only_when_files_are_few(spark, tmp_path):
-    spark.range(1000).repartition(1).write.parquet(str(tmp_path / "one"))
-    spark.range(1000).repartition(20).write.parquet(str(tmp_path / "many"))
-    one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "many"))
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert "Exchange" not in spread(many)._jdf.queryExecution().toString()
-    assert spread(one).count() == 1000
-
 
 def test_cost_per_wear_by_category(spark):
     rows = spark.createDataFrame(
@@ -110,7 +103,7 @@ def test_per_product_means(spark):
 def test_correlation(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (2.0, 4.5), (3.0, None), (4.0, 7.0), (NAN, 1.0)], "x double, y double")
     row = with_p_value(pearson(rows, "x", "y")).first()
-    assert (round(row.r, 6), row.n, row.p) == (0.981981, 3, None)
+    assert (round(row.r, 6), row.n, round(row.p, 6)) == (0.981981, 3, 0.121038)
     line = regression_line(rows, "x", "y").first()
     assert (round(line.slope, 6), round(line.intercept, 6)) == (1.607143, 0.75)
     constant = spark.createDataFrame([(1.0, float(i)) for i in range(9)], "x double, y double")
@@ -120,31 +113,46 @@ def test_correlation(spark):
 
 
 def test_p_value(spark):
-    assert (round(p_value(0.5, 28), 6), round(p_value(0.1, 100), 6)) == (0.006023, 0.323060)
-    assert p_value(None, 9) is None and p_value(0.5, 3) is None and p_value(1.0, 50) is None
+    assert (round(p_value(0.5, 28, "fisher"), 6), round(p_value(0.1, 100, "fisher"), 6)) == (0.006023, 0.323060)
+    assert p_value(None, 9) is None and p_value(0.5, 3, "fisher") is None and p_value(1.0, 50, "fisher") is None
+    assert [round(p_value(*x), 9) for x in ((0.5, 28), (0.1, 100), (-0.9, 5), (0.2, 3), (0.001, 10**6))] == [
+        0.006740896, 0.322217363, 0.037386073, 0.871811566, 0.317310992]
+    assert (p_value(1.0, 50), p_value(0.3, 2), p_value(0.3, 1), p_value(float("nan"), 9)) == (0.0, 1.0, None, None)
     rows = spark.createDataFrame([(0.5, 28), (0.1, 100), (0.9999999, 50)], "r double, n long")
-    assert [None if r.p is None else round(r.p, 6) for r in with_p_value(rows).collect()] == [0.006023, 0.323060, None]
+    assert [None if r.p is None else round(r.p, 6) for r in with_p_value(rows, method="fisher").collect()] == [0.006023, 0.323060, None]
 
 
-@pytest.mark.parametrize("kind", ["spread", "ties", "mixed", "edge"])
-def test_quantiles_beyond_one_task_are_exact(spark, kind):
-    """The bracketing way against brute force; a third of the values is one value."""
+@pytest.mark.parametrize("size", [1, 2, 50, 20000])
+@pytest.mark.parametrize("kind", ["spread", "ties", "mixed", "edge", "signs"])
+def test_quantiles_are_exact_at_every_size(spark, kind, size):
+    """Against brute force; a third of the values may be one value."""
     random.seed(7)
     data = {
-        "spread": [random.gauss(0, 1) for _ in range(20000)],
-        "ties": [float(i % 3) for i in range(20000)],
-        "edge": [7.0 if i < 10000 else 7.0 + random.random() for i in range(20000)],
-        "mixed": [5.0 if i % 3 == 0 else random.random() * 10 for i in range(20000)],
+        "spread": [random.gauss(0, 1) for _ in range(size)],
+        "ties": [float(i % 3) for i in range(size)],
+        "edge": [7.0 if i < size // 2 else 7.0 + random.random() for i in range(size)],
+        "mixed": [5.0 if i % 3 == 0 else random.random() * 10 for i in range(size)],
+        "signs": [random.choice((-1, 1, 0)) * 2.0 ** random.randint(-1070, 1000) for _ in range(size)],
     }[kind] + [None, NAN]
     rows = spark.createDataFrame([(v, None if v is None else -2 * v) for v in data], "a double, b double")
     columns = {"a": F.col("a"), "b": F.col("b"), "none": F.lit(None).cast("double")}
-    probabilities = [0.0, 0.33, 0.5, 0.66, 1.0]
-    got = quantiles(rows, columns, probabilities, small=50)
+    probabilities, names = [0.0, 0.33, 0.5, 0.66, 1.0], [f"q{i}" for i in range(5)]
+    table = quantile_table(rows, columns, probabilities, names)
+    got = {row["feature"]: [row[name] for name in names] for row in table.collect()}
     clean = np.array([v for v in data if v is not None and not math.isnan(v)])
     assert got["a"] == pytest.approx(np.quantile(clean, probabilities))
     assert got["b"] == pytest.approx(np.quantile(-2 * clean, probabilities))
     assert got["none"] == [None] * 5
-    assert quantiles(rows, columns, probabilities) == {k: pytest.approx(v) if v[0] is not None else v for k, v in got.items()}
+
+
+def test_quantiles_run_no_job_before_an_action(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    small, large = (tercile_cuts(spark.range(n).selectExpr("double(id) AS x"), ["x"], TERCILES) for n in (10, 10**9))
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    shape = [re.sub(r"[#=(,].*", "", line) for df in (small, large)
+             for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert shape[:len(shape) // 2] == shape[len(shape) // 2:]
 
 
 def test_tercile_cuts(spark):
@@ -200,5 +208,13 @@ def test_profile_and_names(spark):
     rows = _products(spark).where("id < 200").withColumn("cluster", F.col("id") % 2)
     profile = cluster_profile(rows)
     assert profile.count() == 2
-    names = cluster_names(profile, {name: [0.0, 0.0] for name in CLUSTER_FEATURES})
+    cuts = spark.createDataFrame([(name, 0.0, 0.0) for name in CLUSTER_FEATURES], "feature string, lo double, hi double")
+    names = cluster_names(profile, cuts)
     assert {r.cluster for r in names.collect()} == {0, 1}
+
+
+def test_clusters_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rows = _products(spark).union(_products(spark).where("id % 3 = 0"))        # with repeats
+    labels = [sorted((r.id, r.cluster) for r in kmeans(df).select("id", "cluster").where("id < 900").collect())
+              for df in (rows.coalesce(1), rows.repartition(5), rows.repartition(3, "price"))]
+    assert labels[0] == labels[1] == labels[2]
