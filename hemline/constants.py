@@ -133,6 +133,3 @@ CLUSTERS = 4
 CLUSTER_SEED = 42
 CLUSTER_ITERATIONS = 300
 CLUSTER_TOLERANCE = 1e-4
-
-# Longest joined list of image addresses.
-IMAGE_TEXT_LENGTH = 2000

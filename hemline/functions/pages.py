@@ -7,28 +7,23 @@ its opening tag to the closing tag at the same depth of its own tag name.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hemline.constants import IMAGE_TEXT_LENGTH
 from hemline.functions.common import ColumnLike, col, let, strip
 
 # Markup that carries no visible text, and the pieces of the rest.
 HIDDEN_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-PIECE = r"<[/!?a-zA-Z][^>]*>|[^<]+|<"
+# A tag may hold ">" inside quotes; one whose quotes do not close ends at the first ">".
+PIECE = r"""<[/!?a-zA-Z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>|<[/!?a-zA-Z][^>]*>|[^<]+|<"""
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr")
 
-# The character references product pages use most, the ampersand last.
-REFERENCES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&pound;", "£"), ("&euro;", "€"), ("&yen;", "¥"), ("&deg;", "°"),
-    ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&times;", "×"),
-    ("&amp;", "&"),
-)
+# Every named character reference of the HTML standard, in one constant text that Spark turns into a map once.
+_PAIR, _ENTRY = "\x01", "\x02"
+REFERENCES = _ENTRY.join(f"{name}{_PAIR}{symbol}" for name, symbol in html5.items())
+NO_CHARACTER = "�"
 
 
 def has_attribute(name: str, value: str, tag: str = "") -> str:
@@ -51,39 +46,43 @@ def any_tag(tag: str) -> str:
 
 
 def _opening(tag: str, attribute: str) -> str:
+    """A piece is one whole tag, so the pattern need not look for its end."""
     name = rf"(?i:{tag})" if tag else "[a-zA-Z][a-zA-Z0-9]*"
-    middle = rf"[^>]*?{attribute}[^>]*" if attribute else r"(?:\s[^>]*)?"
-    return rf"^<{name}{middle}>"
+    return rf"^<{name}(?s:.*?){attribute}" if attribute else rf"^<{name}[\s>]"
 
 
-def decode_references(text: ColumnLike) -> Column:
-    """Replace numeric and the commonest named character references."""
-    text = col(text)
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for 0, a surrogate, and what lies beyond the last."""
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(NO_CHARACTER))
 
-    def numeric(tail: Column) -> Column:
-        decimal = F.regexp_extract(tail, r"^([0-9]{1,7});", 1)
-        hexadecimal = F.regexp_extract(tail, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(hexadecimal != "", hexadecimal).when(
-            decimal != "", F.hex(decimal.try_cast("bigint")))
-        symbol = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        return F.coalesce(
-            F.concat(symbol, F.regexp_replace(tail, r"^[xX]?[0-9a-fA-F]+;", "")),
-            F.concat(F.lit("&#"), tail),
-        )
 
-    pieces = F.split(text, "&#")
-    with_numbers = F.when(F.contains(text, F.lit("&#")), F.array_join(F.concat(
-        F.slice(pieces, 1, 1),
-        F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), numeric),
-    ), "")).otherwise(text)
+def decode_references(text: ColumnLike) -> Column:
+    """Replace numeric and named character references, each once, from left to right.
 
-    def named(value: Column) -> Column:
-        for reference, symbol in REFERENCES:
-            value = F.replace(value, F.lit(reference), F.lit(symbol))
-        return value
+    Names are those of the HTML standard, with their semicolon, or without it
+    where the standard knows them so.  What is no reference stays as it is.
+    """
+    text = col(text)
 
-    return let(with_numbers, lambda value: F.when(
-        F.contains(value, F.lit("&")), named(value)).otherwise(value))
+    def one(tail: Column) -> Column:
+        """The text after an ampersand, with the reference it begins with replaced."""
+        number = F.regexp_extract(tail, r"^#([0-9]+|[xX][0-9a-fA-F]+)", 1)
+        digits = F.ltrim(F.regexp_replace(number, "^[xX]", ""), F.lit("0"))
+        base = F.when(F.lower(F.left(number, F.lit(1))) == "x", 16).otherwise(10)
+        short = F.when(F.length(digits) > 8, "99999999").otherwise(F.concat(F.lit("0"), digits))   # beyond the last
+        code = F.when(base == 16, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10))
+        name = F.regexp_extract(tail, r"^([a-zA-Z][a-zA-Z0-9]*;?)", 1)
+        known = F.str_to_map(F.lit(REFERENCES), F.lit(_ENTRY), F.lit(_PAIR))
+        symbol = F.try_element_at(known, name)
+        after_number = F.regexp_replace(F.substr(tail, F.length(number) + 2), "^;", "")
+        return F.when(number != "", F.concat(_character(code.cast("bigint")), after_number)).when(
+            (name != "") & symbol.isNotNull(), F.concat(symbol, F.substr(tail, F.length(name) + 1)),
+        ).otherwise(F.concat(F.lit("&"), tail))
+
+    pieces = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.concat(
+        F.slice(pieces, 1, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one)), "")).otherwise(text)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -219,6 +218,24 @@ def product_links(html: ColumnLike, base: str, pattern: str = r"/products/",
         link.startswith("/"), F.concat(F.lit(base), link)).otherwise(link))
 
 
+def child_of(pieces: Column, patterns: tuple[str, ...], tag: str) -> Column:
+    """Inner pieces of the first ``tag`` that is a direct child of an element matching ``patterns``."""
+    def child(inner: Column) -> Column:
+        def walk(state: Column, piece: Column) -> Column:
+            void = _tag_name(piece).isin(*VOID_TAGS) | ~piece.rlike("^</?[a-zA-Z]")
+            found = F.when((state["found"] == 0) & (state["depth"] == 0) & piece.rlike(any_tag(tag)),
+                           state["place"]).otherwise(state["found"])
+            depth = F.when(void, state["depth"]).when(
+                F.startswith(piece, F.lit("</")), state["depth"] - 1).otherwise(state["depth"] + 1)
+            return F.struct(depth.alias("depth"), (state["place"] + 1).alias("place"), found.alias("found"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("place"), F.lit(0).alias("found"))
+        return let(F.aggregate(inner, start, walk)["found"], lambda place: F.when(
+            place > 0, element_from(inner, place)))
+
+    return let(first_element(pieces, *patterns), child)
+
+
 def title_of(pieces: Column, tag_pattern: str, pieces_trimmed: bool = True) -> Column:
     inner = first_element(pieces, tag_pattern)
     return texts(inner, "") if pieces_trimmed else raw_text(inner)
@@ -229,26 +246,47 @@ def block_of(pieces: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def items_after(pieces: Column, heading: str, word: str, container: str) -> Column:
+    """List items of the next sibling ``container`` of the last heading that contains ``word``.
+
+    Empty without such a heading; null if one of the headings has no such sibling.
+    """
     named = F.filter(
         element_spans(pieces, heading), lambda span: F.contains(span_text(pieces, span), F.lit(word)))
-    last = F.array_max(F.transform(named, lambda span: span["start"]))
-    start = let(last, lambda place: _first_place(pieces, any_tag(container), after=place))
     none = F.array().cast("array<string>")
-    return F.coalesce(let(start, lambda place: F.when(
-        place > 0, list_items(element_from(pieces, place)))), none)
+
+    def sibling(rest: Column) -> Column:
+        """Place in ``rest`` of the first such tag before the parent of the heading closes."""
+        def walk(state: Column, piece: Column) -> Column:
+            void = _tag_name(piece).isin(*VOID_TAGS) | ~piece.rlike("^</?[a-zA-Z]")
+            open_ = (state["found"] == 0) & (state["depth"] == 0)
+            found = F.when(open_ & piece.rlike(any_tag(container)), state["place"]).when(
+                open_ & F.startswith(piece, F.lit("</")), -1).otherwise(state["found"])
+            depth = F.when(void, state["depth"]).when(
+                F.startswith(piece, F.lit("</")), state["depth"] - 1).otherwise(state["depth"] + 1)
+            return F.struct(depth.alias("depth"), (state["place"] + 1).alias("place"), found.alias("found"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("place"), F.lit(0).alias("found"))
+        return let(F.aggregate(rest, start, walk)["found"], lambda place: F.when(
+            place > 0, list_items(element_from(rest, place))))
+
+    def after(span: Column) -> Column:
+        return let(F.slice(pieces, span["stop"] + 1, F.size(pieces)), sibling)
+
+    return let(F.transform(named, after), lambda found: F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, none).when(
+        F.forall(found, lambda items: items.isNotNull()), F.get(found, F.size(found) - 1)))
 
 
 def items_in(pieces: Column, pattern: str) -> Column:
     return F.coalesce(list_items(first_element(pieces, pattern)), F.array().cast("array<string>"))
 
 
-def images_of(pieces: Column, length: int = IMAGE_TEXT_LENGTH) -> Column:
+def images_of(pieces: Column) -> Column:
     sources = F.transform(
         F.filter(pieces, lambda piece: piece.rlike(any_tag("img"))),
         lambda tag: attribute(tag, "src"),
     )
     remote = F.filter(sources, lambda source: source.startswith("http"))
-    return F.substring(F.array_join(F.array_distinct(remote), ","), 1, length)
+    return F.array_join(F.array_distinct(remote), ",")
 
 
 def page_title(html: ColumnLike, tag_pattern: str = any_tag("h1")) -> Column:
@@ -271,9 +309,10 @@ def page_material_items(html: ColumnLike, heading: str, word: str, container: st
     return let(page_pieces(html), lambda pieces: items_after(pieces, heading, word, container))
 
 
-def page_images(html: ColumnLike, length: int = IMAGE_TEXT_LENGTH) -> Column:
-    """Distinct ``http`` image addresses joined by commas, cut at ``length`` characters."""
-    return let(page_pieces(html), lambda pieces: images_of(pieces, length))
+def page_images(html: ColumnLike, length: int | None = None) -> Column:
+    """Distinct ``http`` image addresses joined by commas; with ``length``, cut at so many characters."""
+    images = let(page_pieces(html), images_of)
+    return images if length is None else F.left(images, F.lit(length))
 
 
 @dataclass(frozen=True)
@@ -288,6 +327,7 @@ class SiteRules:
     prefix_all: bool = False
     name: str = any_tag("h1")
     price: tuple[str, ...] = ()
+    price_child: str | None = None      # the price is the first such direct child
     materials: tuple[str, ...] = ()
     material_items: tuple[str, str, str] | None = None
     material_block: str | None = None
@@ -334,6 +374,7 @@ SITES = {
         link_pattern="", link_parent=has_class("product-grid__product-list-item", "li"), prefix_all=True,
         name=has_class("product-detail-info__header-name", "h1"),
         price=(has_class("product-detail-info__price", "p"),),
+        price_child="span",
         material_items=("p", "Composition", "ul"),
         keep_incomplete=False,
     ),
@@ -349,7 +390,8 @@ def product_record(html: ColumnLike, rules: SiteRules) -> Column:
     """``struct<name, price_raw, materials, images>`` of one product page, cut up once."""
 
     def fields(pieces: Column) -> Column:
-        price = first_element(pieces, *rules.price)
+        price = child_of(pieces, rules.price, rules.price_child) if rules.price_child else first_element(
+            pieces, *rules.price)
         if rules.material_block:
             materials = items_in(pieces, rules.material_block)
         elif rules.material_items:

@@ -22,13 +22,17 @@ def extract_product_pages(pages: DataFrame, rules: SiteRules, html: str = "html"
         price_first_number("record.price_raw").alias("price"),
         "record.materials", "record.images", F.lit(rules.brand).alias("brand"),
     )
-    return rows if rules.keep_incomplete else rows.na.drop(subset=["name", "price_raw"])
+    return rows if rules.keep_incomplete else rows.na.drop(subset=["name", "price_raw", "materials"])
 
 
 def gather_links(pages: DataFrame, rules: SiteRules, html: str = "html", order: str = "page_id") -> DataFrame:
-    """Every distinct product address with the first place it was seen."""
-    placed = pages.select(order, F.posexplode(site_links(html, rules)).alias("place", "url"))
-    return placed.groupBy("url").agg(F.min(F.struct(order, "place")).alias("position"))
+    """Every distinct product address with the first place it was seen: a page, in the order of its unique key, and
+    the place among the links of that page."""
+    links = pages.select(order, site_links(html, rules).alias("links"))
+    placed = links.select(order, "links", F.explode(F.array_distinct("links")).alias("url")).select(
+        order, "url", (F.array_position("links", F.col("url")) - 1).cast("int").alias("place"))
+    first = placed.groupBy("url").agg(F.min(order).alias("_page"), F.min_by("place", order).alias("_place"))
+    return first.select("url", F.struct(F.col("_page").alias(order), F.col("_place").alias("place")).alias("position"))
 
 
 def first_links(pages: DataFrame, rules: SiteRules, n: int, html: str = "html", order: str = "page_id") -> DataFrame:

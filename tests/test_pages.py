@@ -65,7 +65,8 @@ def test_single_fields(values):
     assert values(lambda c: page_price(c, "^<b>", "^<i>"), ["<i>1</i><b>2</b>"]) == ["1"]
     assert values(lambda c: page_materials(c, "^<b>", "^<i>"), ["<i>1</i><b>2</b>", "<i>x<u> y</u></i>"]) == ["2", "x y"]
     long = "".join(f'<img src="http://x/{i:04d}.jpg">' for i in range(400))
-    assert [len(v) for v in values(page_images, [long])] == [2000]
+    assert values(page_images, [long]) == [",".join(f"http://x/{i:04d}.jpg" for i in range(400))]
+    assert [len(v) for v in values(lambda c: page_images(c, 2000), [long])] == [2000]
 
 
 def test_attributes_without_quotes(values):
@@ -79,8 +80,50 @@ def test_attributes_without_quotes(values):
 
 
 def test_references(values):
-    inputs = ["a &amp;lt; b", "&#8364;5 &#x41; &#zz; &nosuch;", "&eacute;", "plain", None]
-    assert values(decode_references, inputs) == ["a &lt; b", "€5 A &#zz; &nosuch;", "é", "plain", None]
+    inputs = ["a &amp;lt; b", "&#8364;5 &#x41; &#zz; &nosuch;", "&eacute;", "plain", None, "&#38;lt; &amp;amp;",
+              "M&uuml;tze &frac12; &copy 2 &NotEqualTilde; &AMP", "a & b && &", "&#65 &#x41z &#X1F600;!", "&;&#;&#x;",
+              "&#0;&#xD800;&#9999999;&#x110000;&#" + "9" * 60 + ";&#00000000000000065;"]
+    assert values(decode_references, inputs) == [
+        "a &lt; b", "€5 A &#zz; &nosuch;", "é", "plain", None, "&lt; &amp;", "Mütze ½ © 2 ≂̸ &", "a & b && &", "A Az 😀!",
+        "&;&#;&#x;", "\ufffd" * 5 + "A"]
+
+
+def test_every_reference_of_the_standard(values):
+    from html.entities import html5
+
+    names = sorted(name for name in html5 if name.endswith(";"))
+    assert values(decode_references, ["".join(f"&{name}" for name in names)]) == ["".join(html5[name] for name in names)]
+
+
+def test_a_bad_page_costs_no_other(spark):
+    bad = "<h1>a&#9999999;&#xDFFF;</h1><a title='<p class=price>"
+    pages = spark.createDataFrame([("u", bad), ("v", "<h1>b</h1>")], "url string, html string")
+    assert {r.url: r.name for r in extract_product_pages(pages, SITES["reformation"]).collect()} == {
+        "u": "a\ufffd\ufffd", "v": "b"}
+
+
+def test_tags_end_outside_quotes(spark, values):
+    html = """<a title="a>b" href="/products/x">1</a><a title='c>"' href='/products/y'>2</a><h1 class="x>y name">T</h1>
+    <a title="open href=/products/z>3</a><b>4</b>"""
+    assert values(lambda c: site_links(c, SITES["everlane"]), [html], "string")[0][:2] == [
+        "https://www.everlane.com/products/x", "https://www.everlane.com/products/y"]
+    assert values(lambda c: page_price(c, has_class("name")), [html]) == ["T"]
+    long = '<a href="/products/q" ' + 'data-x="1>2" ' * 20000 + ">x</a><h1>end</h1>"
+    assert values(page_title, [long]) == ["end"]
+
+
+def test_price_is_a_direct_child(spark):
+    def page(paragraph, rest="<p>Composition</p><ul><li>Wool</li></ul>"):
+        return f'<h1 class="product-detail-info__header-name">N</h1><p class="product-detail-info__price">{paragraph}</p>{rest}'
+
+    rows = [("two", page("<span>$10</span><span>$20</span>")), ("deep", page("<b><span>$1</span></b><span>$2</span>")),
+            ("none", page("$10")), ("nested", page("<b><span>$1</span></b>")),
+            ("far", page("<span>$3</span>", "<div><p>Composition</p></div><ul><li>no</li></ul>")),
+            ("later", page("<span>$4</span>", "<p>Composition</p>x<br><i>y</i><ul><li>Silk</li></ul>")),
+            ("plain", page("<span>$5</span>", "<p>Size</p>"))]
+    got = {r.url: (r.price_raw, r.materials) for r in extract_product_pages(
+        spark.createDataFrame(rows, "url string, html string"), SITES["zara"]).collect()}
+    assert got == {"two": ("$10", ["Wool"]), "deep": ("$2", ["Wool"]), "later": ("$4", ["Silk"]), "plain": ("$5", [])}
 
 
 def test_whole_page_is_read(values):
