@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,17 @@ def build_session(app_name: str = "hemline", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, as ``--py-files`` would, unless their path has it already."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, context = os.path.dirname(package), spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_hemline", False):
+        return
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="hemline-"))
+    context.addPyFile(shutil.make_archive(f"{folder}/hemline", "zip", root, os.path.basename(package)))
+    context._hemline = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in a folder that driver and executors share, removed when the session's process ends.
 
