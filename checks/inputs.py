@@ -60,7 +60,7 @@ LISTING = {
     "title": "concat(source, ' ', lang)",
     "brand": _pick("doc_id", ["Zara", "H&M", "SHEIN", "Patagonia", "everlane", "Reformation", "ZARA ", "ROMWE", None]),
     "file_name": "concat('data/', " + _pick("doc_id", [
-        "store_zara.csv", "hm_products.csv", "handm.csv", "Patagonia_Items.csv", "everlane_products.csv",
+        "store_zara.csv", "H M_products.csv", "h&m.csv", "handm.csv", "Patagonia_Items.csv", "everlane_products.csv",
         "reformation_products.csv", "shein sample.csv"]) + ")",
     "price_text": "CASE WHEN n_chars % 11 = 0 THEN 'n/a' WHEN n_chars % 11 = 1 THEN '1.2.3' ELSE concat("
                   "'$', CAST(CAST(floor(n_chars / 1000) AS INT) AS STRING), ',', "

@@ -20,7 +20,7 @@ from hemline.functions.text import (
     clean_text, compose_text, durability_score, has_claim, mentions_brand, token_count,
 )
 from hemline.operators.filters import drop_missing, finite_only, is_finite, month_in, name_in_ci, year_between
-from hemline.operators.shaping import category_lookup, flatten_struct, spread, union_products
+from hemline.operators.shaping import category_lookup, flatten_struct, union_products
 from hemline.plans.cleaners import clean_products_generic, clean_products_passthrough, clean_products_semicolon
 from hemline.plans.forum import with_clean_text
 from hemline.plans.products import normalize_frame
@@ -33,7 +33,7 @@ SELECT subreddit, count(*) AS n_posts,
 FROM cleaned WHERE len(string_split_regex(t, '\\s+')) >= 5 GROUP BY subreddit""")
 def clean_text_by_source(spark, sf_dir):
     """Clean, keep five tokens or more, count per forum."""
-    cleaned = with_clean_text(spread(posts(spark, sf_dir)), F.trim(compose_text("title", "selftext")))
+    cleaned = with_clean_text(posts(spark, sf_dir), F.trim(compose_text("title", "selftext")))
     return (
         cleaned.groupBy("subreddit")
         .agg(F.count(F.lit(1)).alias("n_posts"),
@@ -46,7 +46,7 @@ def clean_text_by_source(spark, sf_dir):
 SELECT id, {clean("selftext")} AS text_clean, CAST(len(string_split_regex({clean("selftext")}, '\\s+')) AS INT) AS tokens
 FROM posts""")
 def clean_text_rows(spark, sf_dir):
-    cleaned = spread(posts(spark, sf_dir)).select("id", clean_text("selftext").alias("text_clean"))
+    cleaned = posts(spark, sf_dir).select("id", clean_text("selftext").alias("text_clean"))
     return cleaned.withColumn("tokens", token_count("text_clean"))
 
 
@@ -114,12 +114,13 @@ def durability_and_claims(spark, sf_dir):
         has_claim("description").alias("has_claim"))
 
 
-@query(f"""WITH listing AS ({LISTING_SQL}), inferred AS (
+@query(f"""WITH listing AS ({LISTING_SQL}), bases AS (SELECT *, replace(lower(string_split(file_name, '/')[-1]), ' ', '') AS base FROM listing), inferred AS (
   SELECT doc_id, brand, file_name, CASE
-    WHEN contains(lower(file_name), 'reformation') THEN 'reformation' WHEN contains(lower(file_name), 'patagonia') THEN 'patagonia'
-    WHEN contains(lower(file_name), 'everlane') THEN 'everlane' WHEN contains(lower(file_name), 'shein') THEN 'shein'
-    WHEN contains(lower(file_name), 'zara') THEN 'zara' WHEN contains(lower(file_name), 'hm_') THEN 'h&m' END AS inferred
-  FROM listing)
+    WHEN contains(base, 'reformation') THEN 'reformation' WHEN contains(base, 'patagonia') THEN 'patagonia'
+    WHEN contains(base, 'everlane') THEN 'everlane' WHEN contains(base, 'shein') THEN 'shein'
+    WHEN contains(base, 'zara') THEN 'zara' 
+    WHEN contains(base, 'h&m') OR contains(base, 'hm') THEN 'h&m' END AS inferred
+  FROM bases)
 SELECT doc_id, inferred, coalesce(brand, inferred) AS filled, {category("brand")} AS brand_category FROM inferred""")
 def brand_inference(spark, sf_dir):
     return listing(spark, sf_dir, "doc_id", "brand", "file_name").select(

@@ -10,7 +10,7 @@ from checks.registry import query
 from hemline.functions.sentiment import lexicon_sentiment
 from hemline.operators.aggregates import sentiment_by_period
 from hemline.operators.lexicon import score_with_lexicon_table
-from hemline.operators.shaping import flatten_struct, spread
+from hemline.operators.shaping import flatten_struct
 from hemline.plans.forum import score_posts
 from hemline.plans.products import enrich_products, normalize_frame
 from hemline.plans.research import study, study_metrics
@@ -23,7 +23,7 @@ _BODY = "SELECT doc_id AS key, concat(review_text, ' ', coalesce(description, ''
 SELECT key AS doc_id, neg, neu, pos, compound FROM sentiment""")
 def text_sentiment(spark, sf_dir):
     """Scores of whole texts with the default lexicon, in one projection."""
-    texts = spread(listing(spark, sf_dir, "doc_id", "review_text", "description")).select(
+    texts = listing(spark, sf_dir, "doc_id", "review_text", "description").select(
         "doc_id", F.concat("review_text", F.lit(" "), F.coalesce("description", F.lit(""))).alias("body"))
     return flatten_struct(texts.select("doc_id", lexicon_sentiment("body").alias("s")), "s")
 
@@ -44,9 +44,9 @@ def text_sentiment_by_lexicon_table(spark, sf_dir):
         .where(F.length("term") > 1)
         .withColumn("valence", (F.length("term") % 9 - 4).cast("double") / 2)
     )
-    texts = spread(listing(spark, sf_dir, "doc_id", "review_text", "description")).select(
+    texts = listing(spark, sf_dir, "doc_id", "review_text", "description").select(
         "doc_id", F.concat("review_text", F.lit(" "), F.coalesce("description", F.lit(""))).alias("body"))
-    scored = score_with_lexicon_table(texts, "doc_id", "body", lexicon)
+    scored = score_with_lexicon_table(texts, "body", lexicon)
     return flatten_struct(scored.select("doc_id", "sentiment"), "sentiment")
 
 
@@ -61,7 +61,7 @@ SELECT year, month, subreddit, count(*) AS n_posts, round(avg(compound), 9) AS a
 FROM cleaned JOIN sentiment ON id = key GROUP BY ALL""")
 def forum_sentiment_by_period(spark, sf_dir):
     """Compose, clean, keep five tokens, score, summarize."""
-    summary = sentiment_by_period(score_posts(spread(posts(spark, sf_dir))))
+    summary = sentiment_by_period(score_posts(posts(spark, sf_dir)))
     means = ["avg_compound", "avg_pos", "avg_neg", "avg_neu"]
     return summary.select("year", "month", "subreddit", "n_posts", *[F.round(m, 9).alias(m) for m in means])
 
@@ -70,12 +70,12 @@ def forum_sentiment_by_period(spark, sf_dir):
 SELECT id, t AS text_clean, neg AS vader_neg, neu AS vader_neu, pos AS vader_pos, compound AS vader_compound
 FROM cleaned JOIN sentiment ON id = key""")
 def forum_sentiment_detail(spark, sf_dir):
-    return score_posts(spread(posts(spark, sf_dir))).select(
+    return score_posts(posts(spark, sf_dir)).select(
         "id", "text_clean", "vader_neg", "vader_neu", "vader_pos", "vader_compound")
 
 
 def _products(spark, sf_dir):
-    rows = spread(listing(spark, sf_dir)).withColumnsRenamed({"price_text": "price"})
+    rows = listing(spark, sf_dir).withColumnsRenamed({"price_text": "price"})
     return normalize_frame(rows, F.lit("listing.csv")), rows
 
 

@@ -15,12 +15,15 @@ from hemline.plans.research import research_analysis
 from hemline.plans.texts import batch_sentiment
 from hemline.schemas import PAGE
 from hemline.session import build_session
-from hemline.sources.readers import lexicon_mapping, read_lexicon, read_parquet
+from hemline.sources.readers import read_lexicon, read_parquet
 from hemline.sources.writers import run_tagged_path, write_csv, write_parquet_once
 from hemline.streaming.page_feed import append_product_records, page_stream
 from hemline.valence import DEFAULT_LEXICON
 
 
+PRINTED = 100
+
+
 def _run_options(command: argparse.ArgumentParser) -> None:
     command.add_argument("--run_tag", help="name of the run folder; default is the UTC time")
     command.add_argument("--no_suffix", action="store_true", help="no run folder")
@@ -34,6 +37,10 @@ def _lexicon_option(command: argparse.ArgumentParser) -> None:
     command.add_argument("--lexicon", help="tab-separated list of term and valence; default is a short built-in list")
 
 
+def _quote_option(command: argparse.ArgumentParser) -> None:
+    command.add_argument("--multiline", action="store_true", help="line breaks inside quotes: one task per file")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="hemline")
     commands = top.add_subparsers(dest="command", required=True)
@@ -52,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     extract.add_argument("--start_year", type=int, default=C.FORUM_YEARS[0])
     extract.add_argument("--end_year", type=int, default=C.FORUM_YEARS[1])
     extract.add_argument("--months", nargs="*", type=int, default=list(C.FORUM_MONTHS))
+    extract.add_argument("--brands", nargs="*", default=[], help="only posts that name one of these")
     extract.add_argument("--output", required=True)
     _run_options(extract)
     _file_options(extract)
@@ -69,19 +77,20 @@ def parser() -> argparse.ArgumentParser:
     texts.add_argument("--inputs", nargs="+", required=True)
     texts.add_argument("--text_cols", nargs="+", default=list(C.TEXT_COLUMNS))
     texts.add_argument("--output", required=True)
+    _quote_option(texts)
     _lexicon_option(texts)
 
     research = commands.add_parser("research", help="the product study over listing CSVs")
     research.add_argument("--inputs", nargs="+", required=True)
     research.add_argument("--k", type=int, default=C.CLUSTERS)
     research.add_argument("--output_base", required=True)
-    research.add_argument("--single_line", action="store_true", help="no line breaks inside quotes: files can be split")
+    _quote_option(research)
     _run_options(research)
     _lexicon_option(research)
 
     brands = commands.add_parser("brand-report", help="mean price and sentiment per brand")
     brands.add_argument("--inputs", nargs="+", required=True)
-    brands.add_argument("--output", help="folder; default prints the first brands")
+    brands.add_argument("--output", help="folder; default prints some brands")
     brands.add_argument("--format", choices=("csv", "json"), default="csv", help="JSON gives one record per line")
 
     pages = commands.add_parser("extract-pages", help="product records from a folder of page files")
@@ -93,8 +102,8 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _lexicon(spark, args) -> dict[str, float]:
-    return lexicon_mapping(read_lexicon(spark, args.lexicon)) if args.lexicon else DEFAULT_LEXICON
+def _lexicon(spark, args):
+    return read_lexicon(spark, args.lexicon) if args.lexicon else DEFAULT_LEXICON
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -111,26 +120,28 @@ def main(argv: list[str] | None = None) -> int:
         extract_forum(
             spark, {kind: path for kind, path in wanted.items() if path},
             run_tagged_path(args.output, args.run_tag, args.no_suffix),
-            (args.start_year, args.end_year), args.months, args.subs, args.coalesce or None)
+            (args.start_year, args.end_year), args.months, args.subs, args.coalesce or None, args.brands)
     elif args.command == "forum-sentiment":
         forum_sentiment(
             spark, args.input, run_tagged_path(args.output_base, args.run_tag, args.no_suffix),
             args.format, args.min_len, args.coalesce or None, _lexicon(spark, args))
     elif args.command == "batch-sentiment":
-        write_csv(batch_sentiment(spark, args.inputs, args.text_cols, _lexicon(spark, args)), args.output)
+        write_csv(batch_sentiment(spark, args.inputs, args.text_cols, _lexicon(spark, args), args.multiline), args.output)
     elif args.command == "research":
         output = run_tagged_path(args.output_base, args.run_tag, args.no_suffix)
-        if not research_analysis(spark, args.inputs, output, args.k, _lexicon(spark, args), not args.single_line):
+        if not research_analysis(spark, args.inputs, output, args.k, _lexicon(spark, args), args.multiline):
             print("No product data found. Check input paths.")
             return 1
     elif args.command == "brand-report":
         report = brand_report(spark, args.inputs)
         if args.output and args.format == "json":
-            report.coalesce(1).write.mode("error").json(args.output)
+            report.write.mode("error").json(args.output)
         elif args.output:
-            write_csv(report, args.output, single=True)
+            write_csv(report, args.output)
         else:
-            report.show(100, truncate=False)
+            report.show(PRINTED, truncate=False)
+            if report.count() > PRINTED:
+                print(f"These are {PRINTED} of the brands; --output writes them all.")
     elif args.command == "extract-pages":
         rules = SITES[args.site]
         if args.links:

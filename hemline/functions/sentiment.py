@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from hemline import valence as V
 from hemline.functions.common import ColumnLike, col, let
 
-# A lexicon given as a mapping travels inside the plan, so its size is checked.
-MAX_PLAN_TERMS = 50_000
 PLAN_BUCKETS = 1024
 
 # A text without any of these words holds no idiom and no two-word dampener.
@@ -52,11 +50,6 @@ def _one_edge_cut(word: Column, core: Column) -> Column:
 
 def _bucketed(lexicon: Mapping[str, float]) -> Column:
     """The lexicon as one constant array of small maps, found by a checksum of the term."""
-    if len(lexicon) > MAX_PLAN_TERMS:
-        raise ValueError(
-            f"{len(lexicon)} terms are too many to carry in the plan (limit {MAX_PLAN_TERMS}); "
-            "use operators.lexicon.score_with_lexicon_table"
-        )
     buckets: list[dict[str, float]] = [{} for _ in range(PLAN_BUCKETS)]
     for term, value in lexicon.items():
         buckets[zlib.crc32(term.encode()) % PLAN_BUCKETS][term] = float(value)

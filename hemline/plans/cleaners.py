@@ -11,7 +11,7 @@ from hemline.constants import H_AND_M_SYNONYMS, PATAGONIA_SYNONYMS
 from hemline.functions.materials import composition_from_attrs
 from hemline.functions.prices import price_first_number
 from hemline.operators.shaping import pick
-from hemline.sources.readers import read_csv_delimited, read_csv_inferred
+from hemline.sources.readers import read_csv_delimited, read_csv_strings
 from hemline.sources.writers import write_parquet_overwrite
 
 
@@ -38,16 +38,17 @@ def clean_products_semicolon(df: DataFrame) -> DataFrame:
 
 
 def clean_products_passthrough(df: DataFrame) -> DataFrame:
-    """Description stands in for materials; the price stays as it is."""
-    return df.select("url", "name", "sku", "price", F.col("description").alias("materials"), "brand")
+    """Description stands in for materials; a price that is no number is null."""
+    return df.select("url", "name", "sku", F.col("price").try_cast("double").alias("price"),
+                     F.col("description").alias("materials"), "brand")
 
 
 CLEANERS = {
-    "hm": lambda spark, path: clean_products_generic(read_csv_inferred(spark, path), "H&M", H_AND_M_SYNONYMS),
+    "hm": lambda spark, path: clean_products_generic(read_csv_strings(spark, path), "H&M", H_AND_M_SYNONYMS),
     "patagonia": lambda spark, path: clean_products_generic(
-        read_csv_inferred(spark, path), "Patagonia", PATAGONIA_SYNONYMS),
+        read_csv_strings(spark, path), "Patagonia", PATAGONIA_SYNONYMS),
     "shein": lambda spark, path: clean_products_semicolon(read_csv_delimited(spark, path)),
-    "zara": lambda spark, path: clean_products_passthrough(read_csv_inferred(spark, path)),
+    "zara": lambda spark, path: clean_products_passthrough(read_csv_strings(spark, path)),
 }
 
 

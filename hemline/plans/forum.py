@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemline.constants import FORUM_MONTHS, FORUM_SUBREDDITS, FORUM_YEARS, MIN_TOKENS
-from hemline.functions.sentiment import lexicon_sentiment
 from hemline.functions.text import clean_text, compose_text, mentions_brand
 from hemline.operators.aggregates import sentiment_by_period
 from hemline.operators.filters import month_in, name_in_ci, year_between
-from hemline.operators.shaping import flatten_struct, spread
+from hemline.operators.lexicon import Lexicon, with_sentiment
+from hemline.operators.shaping import flatten_struct
 from hemline.schemas import FORUM_COMMENTS, FORUM_SUBMISSIONS
 from hemline.sources.readers import read_json_typed, read_parquet
 from hemline.sources.writers import write_csv, write_json_gzip, write_parquet_once
 from hemline.valence import DEFAULT_LEXICON
 
+TEXT = {"submissions": "selftext", "comments": "body"}
 SCHEMAS = {"submissions": FORUM_SUBMISSIONS, "comments": FORUM_COMMENTS}
 DETAIL = (
     "id", "subreddit", "year", "month", "title", "selftext", "text_clean",
@@ -35,10 +36,14 @@ def select_posts(df: DataFrame, years=FORUM_YEARS, months: Iterable[int] = FORUM
 
 def extract_forum(spark: SparkSession, sources: Mapping[str, str], output: str, years=FORUM_YEARS,
                   months: Iterable[int] = FORUM_MONTHS, subreddits: Iterable[str] = FORUM_SUBREDDITS,
-                  files: int | None = None) -> None:
-    """Write the wanted part of each given dataset (submissions, comments) as gzip JSON."""
+                  files: int | None = None, brands: Iterable[str] = ()) -> None:
+    """Write the wanted part of each given dataset (submissions, comments) as gzip JSON.
+
+    With ``brands``, only posts whose text names one of them.
+    """
     for kind, path in sources.items():
-        posts = select_posts(read_json_typed(spark, path, SCHEMAS[kind]), years, months, subreddits)
+        posts = select_posts(
+            read_json_typed(spark, path, SCHEMAS[kind]), years, months, subreddits, brands, TEXT[kind])
         write_json_gzip(posts, f"{output}/{kind}", files)
 
 
@@ -59,23 +64,22 @@ def with_clean_text(df: DataFrame, text: Column, minimum: int = MIN_TOKENS) -> D
 
 
 def score_posts(df: DataFrame, minimum: int = MIN_TOKENS,
-                lexicon: Mapping[str, float] | Column = DEFAULT_LEXICON) -> DataFrame:
+                lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Add text_clean and the four scores to posts with title and selftext."""
     cleaned = with_clean_text(df, F.trim(compose_text("title", "selftext")), minimum)
-    scored = cleaned.withColumn("vader", lexicon_sentiment("text_clean", lexicon))
-    return flatten_struct(scored, "vader", prefix="vader_")
+    return flatten_struct(with_sentiment(cleaned, "text_clean", lexicon, "vader"), "vader", prefix="vader_")
 
 
 def forum_sentiment(spark: SparkSession, source: str, output: str, fmt: str = "parquet",
                     minimum: int = MIN_TOKENS, files: int | None = None,
-                    lexicon: Mapping[str, float] | Column = DEFAULT_LEXICON) -> None:
+                    lexicon: Lexicon = DEFAULT_LEXICON) -> None:
     """Write the scored posts, then the summary made from what was written.
 
     Reading the written scores back costs seven narrow columns; scoring every
     text a second time for the summary would cost far more.
     """
     detail = f"{output}/detailed_parquet"
-    scored = score_posts(spread(read_posts(spark, source, fmt)), minimum, lexicon).select(*DETAIL)
+    scored = score_posts(read_posts(spark, source, fmt), minimum, lexicon).select(*DETAIL)
     write_parquet_once(scored, detail, files)
     summary = sentiment_by_period(read_parquet(spark, detail, scored.schema))
     write_csv(summary, f"{output}/aggregates_csv", single=True)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemline.constants import PRODUCT_SYNONYMS
@@ -12,8 +12,8 @@ from hemline.functions.brands import brand_category, fill_brand
 from hemline.functions.common import ColumnLike
 from hemline.functions.materials import material_quality_score
 from hemline.functions.prices import price_strip, proxy_cpw
-from hemline.functions.sentiment import lexicon_sentiment
 from hemline.functions.text import compose_text, durability_score
+from hemline.operators.lexicon import Lexicon, with_sentiment
 from hemline.operators.shaping import pick, union_products
 from hemline.schemas import NORMALIZED_PRODUCT
 from hemline.sources.readers import read_all, read_csv_text
@@ -32,7 +32,7 @@ def normalize_frame(df: DataFrame, source_file: ColumnLike, synonyms=PRODUCT_SYN
     )
 
 
-def normalize_products(spark: SparkSession, paths: Iterable[str], multiline: bool = True) -> DataFrame:
+def normalize_products(spark: SparkSession, paths: Iterable[str], multiline: bool = False) -> DataFrame:
     """Every readable listing in one frame; none gives an empty frame."""
     frames = [
         normalize_frame(df, path.rstrip("/").rsplit("/", 1)[-1])
@@ -41,14 +41,14 @@ def normalize_products(spark: SparkSession, paths: Iterable[str], multiline: boo
     return union_products(frames) if frames else spark.createDataFrame([], NORMALIZED_PRODUCT)
 
 
-def enrich_products(df: DataFrame, lexicon: Mapping[str, float] | Column = DEFAULT_LEXICON) -> DataFrame:
+def enrich_products(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Add text_for_sentiment, the three scores, the brand category and cost per wear."""
     with_text = df.withColumn("text_for_sentiment", compose_text("review_text", "description"))
-    scored = with_text.select(
-        "*",
+    scored = with_sentiment(with_text, "text_for_sentiment", lexicon, "_sentiment").select(
+        *with_text.columns,
         durability_score("text_for_sentiment").alias("durability_score"),
         material_quality_score("materials").alias("objective_quality_score"),
-        lexicon_sentiment("text_for_sentiment", lexicon)["compound"].alias("sentiment_score"),
+        F.col("_sentiment.compound").alias("sentiment_score"),
         brand_category("brand").alias("brand_category"),
     )
     return scored.withColumn("proxy_cpw", proxy_cpw("price", "durability_score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +19,8 @@ from hemline.operators.aggregates import (
 )
 from hemline.operators.clusters import cluster_products
 from hemline.operators.correlation import pearson_r, regression_line, with_p_value
+from hemline.operators.lexicon import Lexicon
 from hemline.operators.quantiles import quality_quartiles_by_claim
-from hemline.operators.shaping import spread
 from hemline.plans.products import enrich_products, normalize_products
 from hemline.session import written
 from hemline.sources.writers import write_csv, write_metrics
@@ -84,7 +84,7 @@ class Study:
 
 
 def study(products: DataFrame, k: int = CLUSTERS, seed: int = CLUSTER_SEED,
-          lexicon: Mapping[str, float] = DEFAULT_LEXICON, path: str | None = None) -> Study:
+          lexicon: Lexicon = DEFAULT_LEXICON, path: str | None = None) -> Study:
     """A study of normalized products.
 
     The enriched rows are written once, to ``path`` or the shared folder, claim
@@ -95,12 +95,12 @@ def study(products: DataFrame, k: int = CLUSTERS, seed: int = CLUSTER_SEED,
 
 
 def research_analysis(spark: SparkSession, paths: Iterable[str], output: str, k: int = CLUSTERS,
-                      lexicon: Mapping[str, float] = DEFAULT_LEXICON, multiline: bool = True) -> bool:
+                      lexicon: Lexicon = DEFAULT_LEXICON, multiline: bool = False) -> bool:
     """Run the study over product CSVs and write its tables; False without any product."""
     products = normalize_products(spark, paths, multiline)
     if products.isEmpty():
         return False
-    result = study(spread(products), k, lexicon=lexicon, path=f"{output}/enriched_parquet")
+    result = study(products, k, lexicon=lexicon, path=f"{output}/enriched_parquet")
     tables = f"{output}/tables"
     write_csv(result.products(), f"{tables}/products_enriched")
     write_csv(result.cpw(), f"{tables}/proxy_cpw_by_category", single=True)

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hemline.constants import TEXT_COLUMNS
-from hemline.functions.sentiment import lexicon_sentiment
-from hemline.operators.shaping import flatten_struct, spread
+from hemline.operators.lexicon import Lexicon, with_sentiment
+from hemline.operators.shaping import flatten_struct
 from hemline.sources.readers import load_texts
 from hemline.valence import DEFAULT_LEXICON
 
 
-def score_texts(texts: DataFrame, lexicon: Mapping[str, float] = DEFAULT_LEXICON) -> DataFrame:
+def score_texts(texts: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """_source, _text and the negative, positive and compound score."""
-    scored = texts.withColumn("vader", lexicon_sentiment("_text", lexicon))
-    return flatten_struct(scored, "vader", prefix="vader_").drop("vader_neu")
+    return flatten_struct(with_sentiment(texts, "_text", lexicon, "vader"), "vader", prefix="vader_").drop("vader_neu")
 
 
 def batch_sentiment(spark: SparkSession, paths: Iterable[str], text_columns: Iterable[str] = TEXT_COLUMNS,
-                    lexicon: Mapping[str, float] = DEFAULT_LEXICON, multiline: bool = True) -> DataFrame:
-    return score_texts(spread(load_texts(spark, paths, text_columns, multiline)), lexicon)
+                    lexicon: Lexicon = DEFAULT_LEXICON, multiline: bool = False) -> DataFrame:
+    return score_texts(load_texts(spark, paths, text_columns, multiline), lexicon)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hemline.constants import MISSING_TEXTS
-from hemline.functions.sentiment import MAX_PLAN_TERMS
 from hemline.functions.text import compose_text
 from hemline.operators.shaping import union_products
 from hemline.schemas import SCORED_TEXT
@@ -25,6 +24,11 @@ def read_csv_inferred(spark: SparkSession, path, schema: StructType | None = Non
     return reader.csv(path)
 
 
+def read_csv_strings(spark: SparkSession, path) -> DataFrame:
+    """CSV with a header, every column as it stands: one pass, and types that never follow the data."""
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 def read_csv_delimited(spark: SparkSession, path, sep: str = ";", encoding: str = "iso-8859-1",
                        header: bool = True, schema: StructType | None = None) -> DataFrame:
     """Delimited text in a given encoding, all strings."""
@@ -41,11 +45,11 @@ def _text_or_null(name: str) -> Column:
     return F.when(~value.isin(*MISSING_TEXTS), value)
 
 
-def read_csv_text(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
     """CSV with a header, all strings, the usual texts for a missing value as null.
 
-    ``multiline`` accepts line breaks inside quotes, at the price of one task
-    per file; switch it off for single files too big for a task.
+    Files are split among tasks.  ``multiline`` accepts line breaks inside
+    quotes, at the price of one task per file.
     """
     df = _quoted_csv(spark, path, multiline)
     return df.select(*[_text_or_null(name).alias(name) for name in df.columns])
@@ -108,7 +112,7 @@ def read_table_or_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_texts(spark: SparkSession, paths: Iterable[str], text_columns: Iterable[str],
-               multiline: bool = True) -> DataFrame:
+               multiline: bool = False) -> DataFrame:
     """_source, _text: the present text columns joined; a file with none is left out."""
     frames = []
     for path in paths:
@@ -127,11 +131,3 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("sep", "\t").option("quote", "").schema("term string, valence double").csv(path)
         .where("term is not null and valence is not null")
     )
-
-
-def lexicon_mapping(lexicon: DataFrame) -> dict[str, float]:
-    """The lexicon as a mapping, after a check that it is small enough for the plan."""
-    rows = lexicon.select("term", "valence").limit(MAX_PLAN_TERMS + 1).collect()
-    if len(rows) > MAX_PLAN_TERMS:
-        raise ValueError(f"more than {MAX_PLAN_TERMS} terms; use operators.lexicon.score_with_lexicon_table")
-    return {row["term"]: row["valence"] for row in rows}

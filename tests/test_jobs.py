@@ -12,7 +12,7 @@ from hemline.plans.products import enrich_products, normalize_products
 from hemline.schemas import FORUM_SUBMISSIONS, NORMALIZED_PRODUCT, PAGE
 from hemline.session import scratch_path, written
 from hemline.sources.readers import (
-    lexicon_mapping, load_texts, read_csv_inferred, read_json_typed, read_lexicon, read_optional, read_parquet,
+    load_texts, read_csv_inferred, read_json_typed, read_lexicon, read_optional, read_parquet,
 )
 from hemline.sources.writers import metrics_text, run_tagged_path, write_parquet_once
 from hemline.streaming.page_feed import append_product_records, page_stream
@@ -47,7 +47,7 @@ def test_research_job(spark, tmp_path):
     hm = put(tmp_path / "hm_products.csv", HM)
     output = str(tmp_path / "out")
     assert main(["research", "--inputs", zara, hm, str(tmp_path / "absent.csv"), "--output_base", output,
-                 "--run_tag", "t", "--k", "2"]) == 0
+                 "--run_tag", "t", "--k", "2", "--multiline"]) == 0
     tables = f"{output}/run=t/tables"
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(
         f"{tables}/products_enriched").collect()
@@ -97,9 +97,10 @@ def test_cleaners(spark, tmp_path):
     assert [tuple(r) for r in read_parquet(spark, str(tmp_path / "pat")).collect()] == [
         ("x", "Coat", None, None, None, "Patagonia")]
 
-    main(["clean", "zara", "--input", put(tmp_path / "z.csv", "url,name,sku,price,description,brand\nu,n,s,9.5,d,Zara\n"),
+    main(["clean", "zara", "--input", put(tmp_path / "z.csv", "url,name,sku,price,description,brand\nu,n,007,9.5,d,Zara\nv,n,8,ask,d,Zara\n"),
           "--output", str(tmp_path / "z")])
-    assert [tuple(r) for r in read_parquet(spark, str(tmp_path / "z")).collect()] == [("u", "n", "s", 9.5, "d", "Zara")]
+    assert [tuple(r) for r in read_parquet(spark, str(tmp_path / "z")).collect()] == [
+        ("u", "n", "007", 9.5, "d", "Zara"), ("v", "n", "8", None, "d", "Zara")]
 
 
 def _submissions(folder):
@@ -124,6 +125,12 @@ def test_forum_jobs(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         main(["extract-forum", "--submissions", str(tmp_path / "submissions"), "--output", output, "--run_tag", "a"])
 
+    named = str(tmp_path / "named")
+    assert main(["extract-forum", "--submissions", str(tmp_path / "submissions"), "--output", named, "--no_suffix",
+                 "--brands", "Coat", "dress"]) == 0
+    assert [r.selftext for r in spark.read.json(f"{named}/submissions").collect()] == [
+        "I love this great durable coat, well made"]
+
     scored = str(tmp_path / "scored")
     assert main(["forum-sentiment", "--input", f"{output}/run=a/submissions", "--format", "json",
                  "--output_base", scored, "--no_suffix"]) == 0
@@ -189,7 +196,7 @@ def test_page_jobs(spark, tmp_path):
 
 def test_lexicon_file(spark, tmp_path):
     path = put(tmp_path / "lexicon.txt", "good\t1.9\t0.9\t[2, 1]\n:(\t-1.9\t1\t[]\n:\\\t-1.0\t1\n\"x\t0.5\nbad line\n")
-    assert lexicon_mapping(read_lexicon(spark, path)) == {"good": 1.9, ":(": -1.9, ":\\": -1.0, '"x': 0.5}
+    assert {r.term: r.valence for r in read_lexicon(spark, path).collect()} == {"good": 1.9, ":(": -1.9, ":\\": -1.0, '"x': 0.5}
 
 
 def test_optional_and_once(spark, tmp_path):
@@ -222,6 +229,15 @@ def test_metrics_text(spark):
 
 def test_scratch_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
-    assert scratch_path(spark, "x").startswith(base + "/hemline/x-")
+    assert scratch_path(spark, "x").startswith(base + "/hemline-scratch/x-")
     rows = written(spark.range(5).withColumn("k", F.col("id") % 2), "w")
     assert rows.count() == 5 and rows.inputFiles()[0].replace("file://", "").startswith(base)
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Bare, "x")

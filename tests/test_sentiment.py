@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hemline import valence as V
-from hemline.functions.sentiment import MAX_PLAN_TERMS, lexicon_sentiment, sentiment_words
+from hemline.functions.sentiment import lexicon_sentiment, sentiment_words
 from hemline.operators.lexicon import score_with_lexicon_table
 
 SAMPLE = [
@@ -96,7 +96,7 @@ def test_bounds_and_lexicon_table(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
     table = spark.createDataFrame(list(V.DEFAULT_LEXICON.items()), "term string, valence double")
     direct = rows.select("id", "body", lexicon_sentiment("body").alias("direct"))
-    for row in score_with_lexicon_table(direct, "id", "body", table, salts=3).collect():
+    for row in score_with_lexicon_table(direct, "body", table).collect():
         assert row["direct"] == row["sentiment"]
         score = row["direct"]
         assert -1.0 <= score["compound"] <= 1.0
@@ -104,22 +104,25 @@ def test_bounds_and_lexicon_table(spark, texts):
         assert score["neg"] + score["neu"] + score["pos"] == (pytest.approx(1.0, abs=2e-3) if words else 0.0)
 
 
-def test_lexicon_table_without_broadcast(spark):
-    rows = spark.createDataFrame([(1, "good " * 50), (2, "bad"), (3, None), (4, "plain text")], "id int, body string")
-    table = spark.createDataFrame(list(V.DEFAULT_LEXICON.items()), "term string, valence double")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        got = {r["id"]: r["c"] for r in score_with_lexicon_table(rows, "id", "body", table).select(
-            "id", F.col("sentiment.compound").alias("c")).collect()}
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert got[1] > 0.99 and got[2] == normalized(-2.5) and got[3] == got[4] == 0.0
-
-
-def test_mapping_size_is_checked(spark):
-    with pytest.raises(ValueError):
-        lexicon_sentiment("x", {f"w{i}": 1.0 for i in range(MAX_PLAN_TERMS + 1)})
+def test_lexicon_table_however_large(spark):
+    """Held by the tasks or joined: repeated rows, terms and null ids change nothing."""
+    rows = spark.createDataFrame(
+        [(1, "good " * 50), (2, "bad"), (2, "bad"), (None, "good"), (3, None), (4, "plain text")], "id int, body string")
+    terms = [*V.DEFAULT_LEXICON.items(), *V.DEFAULT_LEXICON.items(), (None, 1.0), ("plain", None)]
+    table = spark.createDataFrame(terms, "term string, valence double")
+    for held in (10**6, 10):
+        df = score_with_lexicon_table(rows, "body", table, held_terms=held)
+        got = sorted(((r["id"], r["c"]) for r in df.select("id", F.col("sentiment.compound").alias("c")).collect()), key=str)
+        assert [i for i, _ in got] == [1, 2, 2, 3, 4, None]
+        assert got[0][1] > 0.99 and got[1][1] == got[2][1] == normalized(-2.5) and got[3][1] == got[4][1] == 0.0
+        assert got[5][1] == normalized(1.9)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("Join" in plan) == (held == 10)
+
+
+def test_mapping_of_any_size(values):
+    mapping = {f"w{i}": 1.0 for i in range(60_000)}
+    assert values(lambda c: lexicon_sentiment(c, mapping)["compound"], ["w59999 x"]) == [normalized(1.0)]
 
 
 def test_long_text_is_scored_whole(values):
