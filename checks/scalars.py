@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.expected import (
-    PARTS, any_hit, category, claim, clean, durability, first_number, price_strip,
+    PARTS, category, claim, clean, durability, first_number, price_strip,
 )
 from checks.inputs import (
     LISTING_SQL, PART_LISTING_SQL, POST_SQL, listing, part_listing, posts, table,
@@ -19,7 +19,7 @@ from hemline.functions.prices import price_strip as strip_price
 from hemline.functions.text import (
     clean_text, compose_text, durability_score, has_claim, mentions_brand, token_count,
 )
-from hemline.operators.filters import drop_missing, finite_only, is_finite, month_in, name_in_ci, year_between
+from hemline.operators.filters import drop_missing, finite_only, month_in, name_in_ci, year_between
 from hemline.operators.shaping import category_lookup, flatten_struct, union_products
 from hemline.plans.cleaners import clean_products_generic, clean_products_passthrough, clean_products_semicolon
 from hemline.plans.forum import with_clean_text

@@ -14,7 +14,6 @@ from hemline.operators.shaping import flatten_struct
 from hemline.plans.forum import score_posts
 from hemline.plans.products import enrich_products, normalize_frame
 from hemline.plans.research import study, study_metrics
-from hemline.session import written
 
 _BODY = "SELECT doc_id AS key, concat(review_text, ' ', coalesce(description, '')) AS body FROM listing"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.expected import ENRICHED, PARTS, category, claim, durability, hits, price_strip
+from checks.expected import PARTS, category, claim, durability, price_strip
 from checks.inputs import LISTING_SQL, REVIEW_SQL, listing, reviews, table
 from checks.registry import query
 from hemline.constants import CLUSTER_FEATURES, QUARTILES, TERCILES

@@ -22,7 +22,7 @@ from hemline.sources.readers import (
     read_csv_delimited, read_csv_inferred, read_json_typed, read_optional, read_parquet, with_source_file,
 )
 from hemline.sources.writers import (
-    append_csv, append_parquet, metrics_text, run_tagged_path, write_csv, write_json_gzip, write_metrics,
+    append_csv, append_parquet, run_tagged_path, write_csv, write_json_gzip, write_metrics,
     write_parquet_once, write_parquet_overwrite,
 )
 

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from hemline.__main__ import main
-from hemline.functions.pages import SITES
 from hemline.plans.products import enrich_products, normalize_products
 from hemline.schemas import FORUM_SUBMISSIONS, NORMALIZED_PRODUCT, PAGE
 from hemline.session import scratch_path, written
@@ -15,7 +14,6 @@ from hemline.sources.readers import (
     load_texts, read_csv_inferred, read_json_typed, read_lexicon, read_optional, read_parquet,
 )
 from hemline.sources.writers import metrics_text, run_tagged_path, write_parquet_once
-from hemline.streaming.page_feed import append_product_records, page_stream
 
 
 @pytest.fixture(autouse=True)

@@ -1,7 +1,6 @@
 """Page extraction on small documents."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from hemline.functions.pages import (
     SITES, attribute_contains, decode_references, has_attribute, has_class, page_images, page_material_items,
