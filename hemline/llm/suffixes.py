@@ -14,8 +14,9 @@ equal anchors at equal offsets. Spark keeps the anchors that occur at two places
 equal anchors, in that many rounds. Text that shares no anchor is never moved. Columns are kept one after the other
 and read in that order; nothing is written to a machine's own disk.
 
-An anchor with more than ``CROWD`` contexts could fill a task. Its passages are told apart by 128-bit digests, which
-are aggregated with a combine in the map tasks; this is exact as well, and only needed for such anchors.
+Equal contexts around an anchor are sent once by a task and become one row of a collection. An anchor that still has
+more than ``CROWD`` different contexts would fill a task, so its passages are told apart by 128-bit digests, which are
+aggregated with a combine in the map tasks; this is exact as well, and only needed for such anchors.
 
 Equal texts are represented by one; with two of them every passage occurs elsewhere.
 
@@ -38,7 +39,9 @@ from hemline.session import written
 
 LENGTH, GRAM = 400, 64
 BATCH = 16_384              # contexts in one collection, if groups of equal anchors allow
-CROWD = 200_000             # contexts of one anchor that a task may hold
+CUT = 8_192                 # different contexts that are handed on together
+CROWD = 100_000             # different contexts of one anchor that a task may hold
+TEXTS = 500                 # texts that are searched for anchors together
 STRETCH = 1 << 18           # bytes that are hashed at once
 PAD = 0xFF                  # no byte of UTF-8
 
@@ -93,7 +96,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     long = sizes >= length
     np.add.at(inside, (ends - sizes)[long], 1)
     np.add.at(inside, (ends - length + 1)[long], -1)
-    inside = np.cumsum(inside[:-1]) > 0
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
     low = np.uint64(0xFFFFFF)
     places, hashes = [], []
     for first in range(0, max(0, len(data) - length + 1), STRETCH - length + 1):
@@ -141,25 +144,29 @@ def shared_columns(contexts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return found.T
 
 
-def repeated_spans(keys: list[bytes], places: np.ndarray, contexts: np.ndarray, sizes: np.ndarray,
-                   length: int, gram: int) -> list[tuple[bytes, int, int]]:
-    """(key, start, end) of the runs of repeated passages around the anchors of one collection.
+Place = tuple[bytes, int, int]                          # key of the text, place of the anchor, size of the text
 
-    Equal contexts are one row of the collection: all their passages are repeated.
+
+def repeated_spans(contexts: list[bytes], places: list[Place | None], length: int, gram: int
+                   ) -> Iterator[list[tuple[bytes, int, int]]]:
+    """(key, start, end) of the runs of repeated passages in the different contexts of one collection.
+
+    A context without a place only stands for what it holds.
     """
-    before = length - gram
-    rows = contexts.view(np.dtype((np.void, contexts.shape[1]))).ravel()
-    _, first, number, copies = np.unique(rows, return_index=True, return_inverse=True, return_counts=True)
-    found = shared_columns(contexts[first], length) if len(first) > 1 else np.zeros((1, before + 1), bool)
-    found[copies > 1] = True
+    before, wide = length - gram, 2 * length - gram
+    found = shared_columns(np.frombuffer(b"".join(contexts), np.uint8).reshape(len(contexts), wide), length)
+    wanted = [i for i, place in enumerate(places) if place is not None]
     column = np.arange(before + 1)[None, :]
-    starts = places[:, None] - before + column
-    marked = found[number] & (starts >= 0) & (starts + length <= sizes[:, None])
-    edges = np.diff(np.pad(marked, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, a = np.nonzero(edges == 1)
-    _, b = np.nonzero(edges == -1)
-    first_start = places[row] - before
-    return list(zip([keys[i] for i in row.tolist()], (first_start + a).tolist(), (first_start + b - 1 + length).tolist()))
+    for at in range(0, len(wanted), CUT):
+        part = wanted[at:at + CUT]
+        first = np.array([places[i][1] for i in part]) - before
+        sizes = np.array([places[i][2] for i in part])
+        inside = (column >= -first[:, None]) & (column <= (sizes - length - first)[:, None])
+        edges = np.diff(np.pad(found[part] & inside, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, a = np.nonzero(edges == 1)
+        _, b = np.nonzero(edges == -1)
+        keys = [places[part[i]][0] for i in row.tolist()]
+        yield list(zip(keys, (first[row] + a).tolist(), (first[row] + b - 1 + length).tolist()))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -173,74 +180,120 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(run) for run in runs]
 
 
-SPANS = "key binary, start long, stop long"
+SPANS = "key binary, start long, stop long, crowded boolean"
+CONTEXTS = "anchor long, context binary, places array<struct<key:binary,place:long,size:long>>"
+_KINDS = {
+    SPANS: [("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("crowded", pa.bool_())],
+    CONTEXTS: [("anchor", pa.int64()), ("context", pa.binary()), ("places", pa.list_(pa.struct(
+        [("key", pa.binary()), ("place", pa.int64()), ("size", pa.int64())])))],
+}
 
 
-def _span_batch(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [(), (), ()]
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    fields = _KINDS[schema]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()))], ["key", "start", "stop"])
+        [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def _spans_by_columns(affected: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans around the anchors that are not crowded."""
+def _spans_by_columns(affected: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+    """Repeated spans around anchors; of anchors with too many contexts, the places instead (``crowded``)."""
     before = length - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts, equal ones of an anchor together as far as they come together."""
+        held: dict[tuple[int, bytes], list] = {}
+        number = 0
         for batch in batches:
             for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 padded = bytes([PAD]) * before + text + bytes([PAD]) * length
-                rows = [(f["anchor"], key, f["place"], len(text), padded[f["place"]:f["place"] + before + length])
-                        for f in found if not f["crowded"]]
-                for at in range(0, len(rows), BATCH):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows[at:at + BATCH]), (
-                            pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
-                        ["anchor", "key", "place", "size", "context"])
+                for f in found:
+                    place = f["place"]
+                    held.setdefault((f["anchor"], padded[place:place + before + length]), []).append(
+                        {"key": key, "place": place, "size": len(text)})
+                    number += 1
+                    if len(held) >= CUT or number >= 8 * CUT:
+                        yield _batch([(*k, v) for k, v in held.items()], CONTEXTS)
+                        held, number = {}, 0
+        if held:
+            yield _batch([(*k, v) for k, v in held.items()], CONTEXTS)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; a collection takes whole groups."""
-        held: list[tuple] = []
+        """Rows come sorted by anchor; a collection takes whole groups of different contexts.
 
-        def close(rows):
-            _, keys, places, sizes, contexts = zip(*rows)
-            matrix = np.frombuffer(b"".join(contexts), np.uint8).reshape(len(rows), before + length)
-            return _span_batch(repeated_spans(
-                list(keys), np.array(places), matrix, np.array(sizes), length, gram))
+        Of a context that comes again every place is done at once: all its passages are repeated. So a task holds
+        one place per different context.
+        """
+        contexts: list[bytes] = []                      # of earlier anchors
+        places: list[Place | None] = []
+        group: dict[bytes, Place | None] = {}           # of this anchor; None once its place is done
+        first: dict[bytes, Place] = {}
+        anchor, overflowed, out = None, False, []
 
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if len(held) >= BATCH and row[0] != held[-1][0]:
-                    yield close(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield close(held)
+        def whole(place: Place):
+            key, at, size = place
+            return key, max(at - before, 0), min(at + length, size), False
+
+        def closed():
+            return [_batch([(*span, False) for span in part], SPANS)
+                    for part in repeated_spans(contexts, places, length, gram)]
 
-    contexts = affected.select("key", "text", "found").mapInArrow(
-        cut, "anchor long, key binary, place long, size long, context binary")
+        for batch in batches:
+            for at, context, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if at != anchor:
+                    if len(group) > 1:
+                        contexts += group
+                        places += group.values()
+                    anchor, group, first, overflowed = at, {}, {}, False
+                    if len(contexts) >= BATCH:
+                        yield from closed()
+                        contexts, places = [], []
+                found = [(r["key"], r["place"], r["size"]) for r in rows]
+                if overflowed:
+                    out += [(key, place, place, True) for key, place, _ in found]
+                elif context in group or len(found) > 1:
+                    done = group.get(context)
+                    out += map(whole, found if done is None else [*found, done])
+                    group[context] = None
+                    first.setdefault(context, done or found[0])
+                else:
+                    group[context] = first[context] = found[0]
+                if not overflowed and len(group) > crowd:
+                    out += [(key, place, place, True) for key, place, _ in first.values()]
+                    group, first, overflowed = {}, {}, True
+                if len(out) >= CUT:
+                    yield _batch(out, SPANS)
+                    out = []
+        if len(group) > 1:
+            contexts += group
+            places += group.values()
+        if contexts:
+            yield from closed()
+        if out:
+            yield _batch(out, SPANS)
+
+    contexts = affected.select("key", "text", "found").mapInArrow(cut, CONTEXTS)
     return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(built, SPANS)
 
 
-def _spans_by_digests(affected: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans around crowded anchors: passages with equal digests at two places."""
+def _spans_by_digests(crowded: DataFrame, affected: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans around crowded anchors (key, start): passages with equal digests at two places."""
     before = length - gram
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = np.frombuffer(text, np.uint8)
-                for f in found:
-                    first = max(0, f["place"] - before)
-                    part = data[first:f["place"] + length]
+                for place in places:
+                    first = max(0, place - before)
+                    part = data[first:place + length]
                     a, b = (window_hashes(part, length, which).view(np.int64) for which in (0, 1))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(a), pa.array(b), pa.array([key] * len(a), pa.binary()),
                          pa.array(np.arange(first, first + len(a)))], ["a", "b", "key", "start"])
 
-    crowded = affected.select("key", "text", F.filter("found", lambda f: f["crowded"]).alias("found")).filter(
-        F.size("found") > 0)
-    passages = crowded.mapInArrow(digests, "a long, b long, key binary, start long")
+    places = crowded.groupBy("key").agg(F.collect_set("start").alias("places"))
+    passages = affected.select("key", "text").join(places, "key").mapInArrow(digests, "a long, b long, key binary, start long")
     who = F.xxhash64("key", "start")
     repeated = passages.groupBy("a", "b").agg(F.min(who).alias("one"), F.max(who).alias("other")).filter("one <> other")
     return passages.join(repeated.select("a", "b"), ["a", "b"], "left_semi").select(
@@ -259,21 +312,20 @@ def repeats_removed(df: DataFrame, id: str = "doc_id", text: str = "text", lengt
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            text_no, place, hashes = anchors(batch.column(1).to_pylist(), length, gram)
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(text_no)), pa.array(place), pa.array(hashes.view(np.int64))],
-                ["key", "place", "anchor"])
+            for first in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(first, TEXTS)
+                text_no, place, hashes = anchors(part.column(1).to_pylist(), length, gram)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(text_no)), pa.array(place), pa.array(hashes.view(np.int64))],
+                    ["key", "place", "anchor"])
 
     long = F.octet_length("text") >= length
     found = written(read.filter(long).select("key", "text").mapInArrow(
         anchored, "key binary, place long, anchor long"), "anchors")
     who = F.xxhash64("key", "place")                    # copies of a text count as one place
-    shared = found.groupBy("anchor").agg(
-        F.min(who).alias("one"), F.max(who).alias("other"), F.count(F.lit(1)).alias("n")
-    ).filter("one <> other").select("anchor", (F.col("n") > crowd).alias("crowded"))
-    places = found.join(shared, "anchor").groupBy("key").agg(
-        F.collect_set(F.struct("place", "anchor", "crowded")).alias("found"))
+    shared = found.groupBy("anchor").agg(F.min(who).alias("one"), F.max(who).alias("other")).filter("one <> other")
+    places = found.join(shared.select("anchor"), "anchor", "left_semi").groupBy("key").agg(
+        F.collect_set(F.struct("place", "anchor")).alias("found"))
     wanted = places.join(texts, "key")
     sources = read.filter(long).select("id", "text", "key")
     affected = written(
@@ -281,7 +333,11 @@ def repeats_removed(df: DataFrame, id: str = "doc_id", text: str = "text", lengt
         .select(sources["key"], "text", "found", "copies").dropDuplicates(["key"]), "affected-texts")
 
     single = affected.filter("copies = 1").select("key", "text")
-    spans = _spans_by_columns(affected, length, gram).unionByName(_spans_by_digests(affected, length, gram))
+    spans = written(_spans_by_columns(affected, length, gram, crowd), "spans")
+    crowded = spans.filter("crowded").select("key", "start")
+    spans = spans.filter("NOT crowded").select("key", "start", "stop")
+    if not crowded.isEmpty():
+        spans = spans.unionByName(_spans_by_digests(crowded, affected, length, gram))
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
