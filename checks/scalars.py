@@ -170,9 +170,12 @@ def cleaned_generic_listings(spark, sf_dir):
 
 
 @query(f"""WITH listing AS ({PART_LISTING_SQL})
-SELECT url, name, sku, price, description AS materials, brand FROM listing""")
+SELECT url, name, sku, CASE WHEN CAST(size AS INT) % 2 = 0 THEN CAST(replace(price, '$', '') AS DOUBLE) END AS price,
+description AS materials, brand FROM listing""")
 def cleaned_passthrough_listing(spark, sf_dir):
-    return clean_products_passthrough(part_listing(spark, sf_dir))
+    """Every other price is a number."""
+    price = F.expr("CASE WHEN int(size) % 2 = 0 THEN replace(price, '$', '') ELSE price END")
+    return clean_products_passthrough(part_listing(spark, sf_dir).withColumn("price", price))
 
 
 @query(f"""WITH a AS ({LISTING_SQL}), b AS ({PART_LISTING_SQL})

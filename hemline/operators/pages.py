@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hemline.functions.pages import SiteRules, product_record, site_links
 from hemline.functions.prices import price_first_number
-from hemline.operators.shaping import distinct_urls, first_n_distinct
+from hemline.operators.shaping import distinct_urls
 
 
 def extract_product_pages(pages: DataFrame, rules: SiteRules, html: str = "html", url: str = "url") -> DataFrame:
@@ -37,7 +37,7 @@ def gather_links(pages: DataFrame, rules: SiteRules, html: str = "html", order:
 
 def first_links(pages: DataFrame, rules: SiteRules, n: int, html: str = "html", order: str = "page_id") -> DataFrame:
     """The first ``n`` distinct product addresses in page order."""
-    return first_n_distinct(gather_links(pages, rules, html, order), n).select("url")
+    return gather_links(pages, rules, html, order).orderBy("position", "url").limit(n).select("url")
 
 
 def distinct_links(pages: DataFrame, rules: SiteRules, html: str = "html") -> DataFrame:
