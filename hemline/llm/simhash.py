@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemline.llm.base import fresh, same, whole_text
+from hemline.llm.base import fresh, same
 from hemline.llm.components import components
 from hemline.session import written
 
@@ -60,14 +60,15 @@ def _signed(value: int) -> int:
 
 def fingerprinted(df: DataFrame, alias: str, text: str = "text", width: int = WIDTH) -> DataFrame:
     """The columns of ``df`` and the fingerprint as a signed long."""
+    place = df.columns.index(text)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_signed(simhash(value, width)) for value in batch.column(batch.num_columns - 1).to_pylist()]
+            made = [_signed(simhash(value or "", width)) for value in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(made, pa.int64())], names=[*batch.schema.names[:-1], alias])
+                [*batch.columns, pa.array(made, pa.int64())], names=[*batch.schema.names, alias])
 
-    wanted = df.select("*", whole_text(text).alias(alias))
-    return wanted.mapInArrow(each, df.select("*").schema.add(alias, "long"))
+    return df.mapInArrow(each, df.select("*").schema.add(alias, "long"))
 
 
 def flips(bits: int, most: int) -> np.ndarray:
@@ -215,8 +216,8 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH,
                     radius: int = RADIUS) -> DataFrame:
     """One row per input row: id, fingerprint as 16 hex digits, component_id."""
-    prints = fingerprinted(df.select(F.col(f"`{id}`").alias("id"), whole_text(text).alias("text")), "print", "text",
-                           width).select("id", "print")
+    read = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    prints = fingerprinted(read, "print", "text", width).select("id", "print")
     return near_groups(prints, radius).select(
         F.col("id").alias(id), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
