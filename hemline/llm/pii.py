@@ -47,6 +47,7 @@ TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Se
           "Mme", "Mlle", "Г-н", "Г-жа")
 _NAME = r"(?:\b(?:" + "|".join(TITLES) + r")\.?[ ])(?P<name>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})"
 FIND = re.compile("|".join((_CARD, _EMAIL, _IP, _SSN, _PHONE, _NAME)))
+_sign = re.compile("[0-9@]").search
 KINDS = ("email", "ip", "card", "ssn", "phone", "name")
 
 # Letters by script, vowels apart; a letter is replaced within its own list.
@@ -64,7 +65,9 @@ def normal(kind: str, value: str) -> str:
 
 
 def found_in(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the entities."""
+    """(kind, start, end) of the entities; every kind has a digit, an @ or a title."""
+    if not _sign(text) and not any(title in text for title in TITLES):
+        return []
     found = ((next(kind for kind in KINDS if m[kind] is not None), m) for m in FIND.finditer(text))
     return [(kind, *m.span(kind)) for kind, m in found]
 
