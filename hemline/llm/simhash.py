@@ -201,7 +201,11 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = written(prints, "fingerprints")
     least = prints.groupBy("print").agg(F.min("id").alias("least"))
     least = written(least, "distinct-fingerprints")
-    found = written(components(links(least.select("print"), radius)), "roots")
+    return labelled(prints, least, written(components(links(least.select("print"), radius)), "roots"))
+
+
+def labelled(prints: DataFrame, least: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``near_groups`` from (print, least) and the components (node, root) of the prints."""
     rooted = least.join(found, least["print"] == found["node"], "left").select(
         "print", "least", F.coalesce("root", "print").alias("root"))
     named = rooted.groupBy("root").agg(

@@ -1,0 +1,101 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from hemline.llm import shingles, simhash
+from hemline.llm.base import table
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def sets_of(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def kept_of(rows):
+    """Ids of the first of each group of texts linked by a similarity of 0.8 or more."""
+    sets, label = [sets_of(t) for _, t in rows], list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return {rows[i][0] for i in set(label)}
+
+
+def edited(words, spots, drawn):
+    made = list(words)
+    for at in spots:
+        made[at] = f"new{drawn.random()}"
+    return made
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Texts in families of similarity 0.6 to 0.95, a chain, and a family whose members lie under 0.8 of each other."""
+    drawn = random.Random(7)
+    texts = []
+    for family in range(30):
+        base = [f"w{drawn.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(edited(base, drawn.sample(range(200), 1 + family % 8), drawn))]
+    chain = [f"c{i}" for i in range(200)]
+    for step in range(6):
+        texts.append(" ".join(chain))
+        chain = edited(chain, range(step * 20, step * 20 + 14), drawn)
+    base = [f"s{i}" for i in range(200)]
+    texts += [" ".join(edited(base, drawn.sample(range(200), 5), drawn)) for _ in range(12)]
+    texts += ["one two", "One  two", "one two three"]
+    return list(enumerate(texts))
+
+
+def test_similar_texts_far_in_fingerprints_are_found(docs, rows):
+    prints = [simhash.simhash(t) for _, t in rows]
+    sets = [sets_of(t) for _, t in rows]
+    far = [(a, b) for a in range(len(rows)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8
+           and (prints[a] ^ prints[b]).bit_count() > 4]
+    assert len(far) > 10
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    found = [row["doc_id"] for row in stage(None, docs(rows), None).collect()]
+    assert len(found) == len(set(found)) and set(found) == kept_of(rows)
+
+
+@pytest.mark.parametrize("heads", [0, 1])
+def test_rounds_give_the_same_groups(docs, rows, heads):
+    found = shingles.near_distinct(docs(rows[-40:]), heads=heads).collect()
+    assert {row["doc_id"] for row in found} == kept_of(rows[-40:])
+
+
+def test_close_fingerprints_are_verified(docs, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited(base, [20, 50, 80], random.Random(1))))]
+    assert similarity(*(sets_of(t) for _, t in rows)) < 0.8
+    monkeypatch.setattr(shingles, "bands", lambda own: [1])             # all meet
+    assert shingles.near_distinct(docs(rows)).count() == 2
+
+
+def test_empty_and_repeated(docs):
+    rows = [(3, None), (2, ""), (1, " \n"), (4, "a b c"), (4, "a b c"), (None, "A b  c"), (None, "other")]
+    found = shingles.near_distinct(docs(rows)).collect()
+    assert sorted((str(row["doc_id"]), row["text"]) for row in found) == [("1", " \n"), ("4", "a b c"), ("None", "other")]
+    assert shingles.near_distinct(docs([])).count() == 0
+
+
+def test_similarity_is_exact():
+    drawn = random.Random(3)
+    for _ in range(200):
+        a = [str(drawn.randrange(4)) for _ in range(drawn.randrange(1, 60))]
+        b = edited(a, drawn.sample(range(len(a)), min(len(a), drawn.randrange(2))), drawn)
+        packed = [shingles.shingles(shingles.words_of(" ".join(w))).tobytes() for w in (a, b)]
+        assert shingles.similar(*packed, 0.8) == (similarity(*(sets_of(" ".join(w)) for w in (a, b))) >= 0.8)
+
+
+def test_stage_against_all_pairs_of_a_table(spark):
+    docs = table(spark, SF_DIR, "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    found = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF_DIR).collect()}
+    assert found == kept_of(rows)
