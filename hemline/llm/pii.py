@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,11 +49,13 @@ TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Se
           "Mme", "Mlle", "Г-н", "Г-жа")
 _NAME = r"(?:\b(?:" + "|".join(TITLES) + r")\.?[ ])(?P<name>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})"
 FIND = re.compile("|".join((_CARD, _EMAIL, _IP, _SSN, _PHONE, _NAME)))
-_sign = re.compile("[0-9@]").search
+_sign = re.compile(r"[\d@]").search          # \d as in the patterns: digits of every script
 KINDS = ("email", "ip", "card", "ssn", "phone", "name")
 
-# Letters by script, vowels apart; a letter is replaced within its own list.
-ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "äöü", "âêîôû", "аеиоуыэюя",
+# Digits by script; letters by script, vowels apart; a sign is replaced within its own list.
+DIGITS = tuple("".join(chr(zero + i) for i in range(10)) for zero in range(sys.maxunicode + 1)
+               if unicodedata.decimal(chr(zero), None) == 0)
+ALPHABETS = (*DIGITS, "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "äöü", "âêîôû", "аеиоуыэюя",
              "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 _LIST = {sign: alphabet for alphabet in ALPHABETS for sign in alphabet}
 _PLACE = {sign: i for alphabet in ALPHABETS for i, sign in enumerate(alphabet)}
@@ -99,7 +103,7 @@ def _valid(kind: str, value: str) -> bool:
     if kind != "ip":
         return True
     parts = value.split(".")
-    return all(int(p) < 256 and (p == "0" or p[0] != "0") for p in parts)
+    return all(int(p) < 256 and (len(p) == 1 or int(p[0]) > 0) for p in parts)
 
 
 class Surrogates:
@@ -133,7 +137,8 @@ class Surrogates:
         size = math.prod(map(len, lists))
         shape = "".join("\0" if i in set(places) else sign for i, sign in enumerate(value))
         if kind == "card":
-            shape = str((int(value[-1]) - _check_digit(value[:-1])) % 10)
+            state = (int(value[-1]) - _check_digit(value[:-1])) % 10
+            shape = str(state) if value[-1] in DIGITS[0] else f"{state} {_LIST[value[-1]][0]}"
         tweak = repr((kind, shape, [signs[0] for signs in lists])).encode()
         number = 0
         for i, signs in zip(places, lists):
@@ -145,7 +150,7 @@ class Surrogates:
                 rest, at = divmod(rest, len(signs))
                 made[i] = signs[at]
             if kind == "card":
-                made[-1] = str((_check_digit("".join(made[:-1])) + int(shape)) % 10)
+                made[-1] = _LIST[value[-1]][(_check_digit("".join(made[:-1])) + state) % 10]
             result = "".join(made)
             if result != value and _valid(kind, result):
                 if not skip:

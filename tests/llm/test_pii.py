@@ -93,3 +93,26 @@ def test_moved_surrogates_reach_the_documents(docs):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "plain")]])
 def test_nothing_to_do(docs, rows):
     assert pii.pseudonymised(docs(rows), KEY).select("doc_id", "text").collect() == [tuple(r) for r in rows]
+
+
+def test_prefilter_never_changes_what_is_found():
+    drawn = random.Random(4)
+    parts = ["plain", "Mr ", "Ivan", "a@b.com", "@", ".", "-", " ", "+", "(555) ", "555-123-4567", "+1 632 555 4827", "10.2.30.4"]
+    for _ in range(3000):
+        text = "".join(drawn.choice(parts) for _ in range(drawn.randrange(6)))
+        text = text.translate(dict(zip(range(48, 58), drawn.choice(pii.DIGITS))))
+        assert pii.found_in(text) == [
+            (m.lastgroup, *m.span(m.lastgroup)) if m.lastgroup in pii.KINDS else
+            next((k, *m.span(k)) for k in pii.KINDS if m[k] is not None) for m in pii.FIND.finditer(text)]
+
+
+@pytest.mark.parametrize("zero", ["\u0660", "\u06f0", "\u0966", "\u0e50", "\uff10"])
+def test_digits_of_other_scripts(docs, zero):
+    script = {48 + i: chr(ord(zero) + i) for i in range(10)}
+    text = "+966 50 123 4567 and 078-05-1120 and 4111 1111 1111 1111".translate(script)
+    assert [kind for kind, *_ in pii.found_in(text)] == ["phone", "ssn", "card"]
+    row = pii.pseudonymised(docs([(1, text)]), KEY).first()
+    assert row["entities"] == {"phone": 1, "ssn": 1, "card": 1}
+    for old, new in zip(text.split(" and "), row["text"].split(" and "), strict=True):
+        assert old != new and "#" not in new
+        assert all(a == b if not a.isdigit() else ord(zero) <= ord(b) < ord(zero) + 10 for a, b in zip(old, new, strict=True))
