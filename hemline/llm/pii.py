@@ -42,7 +42,10 @@ _EMAIL = r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]
 _IP = r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
 _CARD = r"(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?:(?P=gap)\d{4}){2}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?![\w-]))"
 _SSN = r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-_PHONE = (r"(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
+# What stands behind a phone and is no part of it: an address, a card, a social security number, another phone.
+_NEXT = ("(?!" + _IP.replace("?P<ip>", "?:") + r"|(?:\d{13,19}|\d{4}[ -]\d{4}(?:[ -]\d{4}){2}(?![ -]\d{4})|\d{4}[ -]\d{6}[ -]\d{5}"
+         r"|\d{3}-\d{2}-\d{4})(?![\w-])|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w))")
+_PHONE = (r"(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}[ .-]?\d{2,4}(?:[ .-]?" + _NEXT + r"\d{2,4}){0,3}"
           r"|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]))")
 # Titles say where a name follows.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame",

@@ -116,3 +116,17 @@ def test_digits_of_other_scripts(docs, zero):
     for old, new in zip(text.split(" and "), row["text"].split(" and "), strict=True):
         assert old != new and "#" not in new
         assert all(a == b if not a.isdigit() else ord(zero) <= ord(b) < ord(zero) + 10 for a, b in zip(old, new, strict=True))
+
+
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+1 826 555 4081", "+1 8265554081", "+966 50 123 4567"])
+@pytest.mark.parametrize("kind,other", [("ip", "190.137.223.204"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"),
+                                        ("ssn", "078-05-1120"), ("phone", "555-123-4567"), ("email", "1a@b.com")])
+def test_entities_side_by_side(phone, kind, other):
+    for pair in ([("phone", phone), (kind, other)], [(kind, other), ("phone", phone)]):
+        text = " ".join(value for _, value in pair)
+        assert [(k, text[a:b]) for k, a, b in pii.found_in(text)] == pair
+
+
+@pytest.mark.parametrize("phone", ["+49 30.12.34.56", "+49 (30) 12.34.56.78", "+33 142.68.53.00", "+44 20 7946 0958", "+966 50 123 45 67"])
+def test_phones_with_dots_stay_whole(phone):
+    assert [(k, phone[a:b]) for k, a, b in pii.found_in(phone)] == [("phone", phone)]
