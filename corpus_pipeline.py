@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import decontam, exact, language, packing, shingles
+from hemline.llm import decontam, exact, language, packing, simhash
 from hemline.llm.base import table
 from hemline.llm.queries import word_tokenizer
 from hemline.session import written
@@ -26,8 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the one with the smallest id."""
-    return shingles.near_distinct(docs)
+    """Of each group of near duplicates (four-word shingles, four bits) the one with the smallest id."""
+    return simhash.near_distinct(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
