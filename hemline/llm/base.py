@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +35,13 @@ def same(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
     for name in names:
         condition = condition & left[name].eqNullSafe(right[name])
     return condition
+
+
+def pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``text`` in parts of about ``size``, cut at spaces only."""
+    at = 0
+    while at < len(text):
+        cut = text.find(b" ", at + size) if at + size < len(text) else -1
+        cut = len(text) if cut < 0 else cut
+        yield text[at:cut]
+        at = cut
