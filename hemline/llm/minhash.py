@@ -7,10 +7,12 @@ often. Of a pair that meets, signatures that agree in too few places end it (eig
 then the full sets decide.
 
 In a bucket all nodes are held against one head, the node that meets most others; then, ``TURNS`` times, all against
-a node that does not hang on that head yet. A bucket that still has nodes of several components goes by an exact
-prefix filter: shingles are put in order, rare ones first, and two sets this similar share one of the first few. So
-every pair that meets is decided, while a group of copies costs a few comparisons a text and a group just below the
-limit meets in rare shingles only, not in all pairs.
+a node that does not hang on that head yet. What still lies in several components goes by an exact filter. All sets
+that hang together by buckets are written as their differences from the shingles that most of them have. Two sets
+this similar have differences in common, a known number of them, so with the rare ones in front they share one of the
+first few; or both differ so little that they are alike in any case, and then both are alike to the one that differs
+least. So every pair that meets is decided, while a group of copies costs a few comparisons a text and a group just
+below the limit meets in rare differences only, not in all pairs.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; one or two words are one shingle; a text
 without words, or a null one, has no shingle and is linked with nothing, so each such row is its own component;
@@ -37,9 +39,9 @@ from hemline.session import written
 WIDTH, LEAST = 3, 85
 BANDS, ROWS = 24, 6
 SEED = 42
-TURNS = 2                   # further heads of a bucket before the prefix filter
+TURNS = 1                   # further heads of a bucket before the filter of differences
 BLOCK = 1 << 10             # shingles that are hashed at once
-SKETCH = 1 << 20            # counters for the frequency of shingles, summed on the driver
+SKETCH = 1 << 18            # counters for the frequency of shingles, summed on the driver
 
 _random = np.random.default_rng(SEED)
 _FACTOR = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -89,14 +91,20 @@ def similar(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     return 100 * common >= least * (len(a) + len(b) - common)
 
 
-def prefix(size: int, least: int, partner_is_larger: bool) -> int:
-    """How many of the first shingles hold one in common with any similar set at least as small, or as large.
+def slack(apart: int, size: int, least: int = LEAST) -> int:
+    """What a set adds to the number of common differences that a pair needs, in parts of 2 * (100 + least).
 
-    Similar sets share ``least`` percent of the larger; if this one is the smaller, more of it, since the union then
-    exceeds it too.
+    Sets with differences A and B from a third set, ``least`` percent alike, have |A xor B| <= (100 - least) /
+    (100 + least) * (their sizes), so |A and B| >= (slack of one + slack of the other) / (200 + 2 * least).
     """
-    need = -(-2 * least * size // (100 + least)) if partner_is_larger else -(-least * size // 100)
-    return size - need + 1
+    return (100 + least) * apart - (100 - least) * size
+
+
+def offered_places(apart: int, size: int, least: int = LEAST) -> int:
+    """How many of the first differences any similar set may have to share one of."""
+    own, partner = slack(apart, size, least), 100 * size // least              # the largest set similar to this one
+    other = max(-(100 - least) * partner, own - 2 * (100 - least) * partner)    # it differs from this one by so little
+    return apart - max(1, -(-(own + other) // (200 + 2 * least))) + 1
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -151,8 +159,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set").mapInArrow(each, "a long, b long")
 
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How often shingles occur, in ``SKETCH`` counters; the driver gets those, whatever the number of sets."""
+def _frequencies(differences: DataFrame) -> np.ndarray:
+    """How often differences occur, in ``SKETCH`` counters; the driver gets those, whatever the number of sets."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH, np.int64)
         for batch in batches:
@@ -161,47 +169,90 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counters[at], pa.int64())], ["at", "n"])
 
-    table = sets.select("shingles").mapInArrow(each, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table = differences.select("apart").mapInArrow(each, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counters = np.zeros(SKETCH, np.int64)
     counters[table.column("at").to_numpy()] = table.column("n").to_numpy()
     return counters
 
 
-def sharing_prefix(sets: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of sets (node, size, shingles, root) of different roots that share a shingle of their prefixes.
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, shingle) of (family, shingles)."""
+    for batch in batches:
+        packed = batch.column(1).to_pylist()
+        at = np.repeat(np.arange(len(packed)), [len(b) // 8 for b in packed])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at)), pa.array(np.frombuffer(b"".join(packed), np.int64))], ["family", "shingle"])
+
 
-    The smaller set of a pair (of equal ones that with the smaller node) offers its short prefix, the larger its long
-    one. The order, rare shingles first, need not be exact: any one order of all shingles gives all similar pairs.
+def differing(sets: DataFrame) -> DataFrame:
+    """(family, node, size, root, n, apart): the shingles in which a set and the majority of its family differ.
+
+    Hashed with the family, so that differences of other families are others. A majority has fewer than twice as
+    many shingles as the mean set.
     """
-    counters = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+    held = sets.select("family", "shingles").mapInArrow(_exploded, "family long, shingle long").groupBy(
+        "family", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"))
+    usual = held.join(sizes, "family").filter("2 * n > nodes").groupBy("family").agg(
+        F.sort_array(F.collect_list("shingle")).alias("usual"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for family, own, usual in zip(*(batch.column(i).to_pylist() for i in (0, 4, 5))):
+                apart = np.setxor1d(np.frombuffer(own, np.uint64), np.array(usual or [], np.int64).view(np.uint64))
+                found.append(_rolled(np.ravel(np.column_stack([np.full(len(apart), family).view(np.uint64), apart])), 2)[::2]
+                             if len(apart) else apart)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(map(len, found), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())],
+                ["family", "node", "size", "root", "n", "apart"])
+
+    return sets.join(usual, "family", "left").select("family", "node", "size", "root", "shingles", "usual").mapInArrow(
+        each, "family long, node long, size long, root long, n long, apart binary")
+
+
+def sharing_differences(sets: DataFrame, least: int = LEAST) -> DataFrame:
+    """Pairs (a, b) of sets (family, node, size, root, shingles) of one family and different roots: all similar ones
+    that the components need, and few others. Any one order of the differences would do; rare ones come first."""
+    scale = 200 + 2 * least
+    apart = written(differing(sets), "differences")
+    counters = sets.sparkSession.sparkContext.broadcast(_frequencies(apart))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, short, owners = [], [], []
-            for at, own in enumerate(map(lambda b: np.frombuffer(b, np.uint64), batch.column(2).to_pylist())):
+            found, places, owners = [], [], []
+            sizes = batch.column(1).to_pylist()
+            for at, own in enumerate(map(lambda b: np.frombuffer(b, np.uint64), batch.column(4).to_pylist())):
                 order = np.lexsort((own, counters.value[(own % np.uint64(SKETCH)).astype(np.int64)]))
-                take = order[:prefix(len(own), least, False)]
+                take = order[:max(0, offered_places(len(own), sizes[at], least))]
                 found.append(own[take])
-                short.append(np.arange(len(take)) < prefix(len(own), least, True))
+                places.append(np.arange(len(take)))
                 owners.append(np.full(len(take), at))
             if found:
                 at = pa.array(np.concatenate(owners))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(short), pa.bool_()),
-                     *(batch.column(i).take(at) for i in (0, 1, 3))], ["shingle", "short", "node", "size", "root"])
-
-    offered = written(sets.select("node", "size", "shingles", "root").mapInArrow(
-        each, "shingle long, short boolean, node long, size long, root long"), "prefixes")
-    live = offered.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    offered = offered.join(live.select("shingle"), "shingle", "left_semi")
-    small, large = (offered.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("short", "node", "size", "root")])
-                    for side in ("small", "large"))
-    return small.filter("small_short").join(large, "shingle").filter(
-        (F.col("small_root") != F.col("large_root"))
-        & ((F.col("small_size") < F.col("large_size"))
-           | ((F.col("small_size") == F.col("large_size")) & (F.col("small_node") < F.col("large_node"))))
-        & (100 * F.col("small_size") >= least * F.col("large_size"))
-    ).select(F.least("small_node", "large_node").alias("a"), F.greatest("small_node", "large_node").alias("b")).distinct()
+                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places)),
+                     *(batch.column(i).take(at) for i in range(4))], ["difference", "place", "node", "size", "root", "n"])
+
+    offered = written(apart.select("node", "size", "root", "n", "apart").mapInArrow(
+        each, "difference long, place long, node long, size long, root long, n long"), "offered-differences")
+    live = offered.groupBy("difference").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    offered = offered.join(live.select("difference"), "difference", "left_semi")
+    own = (F.col("n") * (100 + least) - F.col("size") * (100 - least)).alias("slack")
+    one, two = (offered.select("difference", own.alias(f"{s}_slack"), *[F.col(c).alias(f"{s}_{c}") for c in (
+        "place", "node", "size", "root", "n")]) for s in "ab")
+    need = F.ceil((F.col("a_slack") + F.col("b_slack")) / scale)
+    sharing = one.join(two, "difference").filter(
+        (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
+        & (100 * F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size"))
+        & (F.col("a_place") <= F.col("a_n") - need) & (F.col("b_place") <= F.col("b_n") - need)
+    ).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+    sloped = apart.select("family", "node", "root", own)
+    centre = sloped.groupBy("family").agg(F.min(F.struct("slack", "node", "root")).alias("c")).select("family", "c.*")
+    sure = sloped.join(centre.toDF("family", "c_slack", "c_node", "c_root"), "family").filter(
+        "slack + c_slack <= 0 and root <> c_root").select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b"))
+    return sharing.unionByName(sure).distinct()
 
 
 def _crowned(members: DataFrame, turn: int) -> DataFrame:
@@ -233,11 +284,15 @@ def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: int = L
             met = state.join(heads, "bucket").filter("root <> head_root").select(
                 F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         else:
-            mixed = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-            rest = written(state.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "root").distinct(), "rest")
+            mixed = state.groupBy("bucket").agg(
+                F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("least")).filter("low <> high")
+            rest = written(state.join(mixed.select("bucket", "least"), "bucket").select("least", "node", "root"), "rest")
             if rest.isEmpty():
                 break
-            met = sharing_prefix(sets.join(rest, "node"), least)
+            families = components(rest.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+            apart = rest.select("node", "root").distinct().join(
+                families.select("node", F.col("root").alias("family")), "node")
+            met = sharing_differences(written(sets.join(apart, "node"), "families"), least)
         met = written(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met-pairs")
         if met.isEmpty():
             continue
