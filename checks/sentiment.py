@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from checks.expected import DEFAULT_LEXICON, ENRICHED, clean, sentiment
 from checks.inputs import LISTING_SQL, POST_SQL, listing, posts, table
 from checks.registry import query
+from checks.statistics import kmeans_sql, named_sql
+from hemline.constants import CLUSTER_FEATURES
 from hemline.functions.sentiment import lexicon_sentiment
 from hemline.operators.aggregates import sentiment_by_period
 from hemline.operators.lexicon import score_with_lexicon_table
@@ -118,9 +120,18 @@ def category_summary(spark, sf_dir):
         F.round(F.avg("durability_score"), 6).alias("avg_durability"))
 
 
-@query()
+_STUDY = f"""RECURSIVE {ENRICHED}, rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, price, compound AS sentiment_score, durability_score, quality AS objective_quality_score
+  FROM enriched), features AS MATERIALIZED (SELECT place, price::DOUBLE AS price, sentiment_score::DOUBLE AS sentiment_score,
+  durability_score::DOUBLE AS durability_score, objective_quality_score::DOUBLE AS objective_quality_score FROM rows),
+{kmeans_sql("features", CLUSTER_FEATURES, "place")},
+labelled AS (SELECT f.*, c.cluster FROM features f LEFT JOIN clusters c USING (place)), {named_sql("labelled")}"""
+
+
+@query(f"""WITH {_STUDY} SELECT cluster, cluster_name, count(*) AS n, round(avg(price), 4) AS avg_price
+FROM labelled LEFT JOIN names USING (cluster) GROUP BY ALL""")
 def study_segments(spark, sf_dir):
-    """The whole study up to its named segments; ids depend on the start of k-means."""
+    """The whole study up to its named segments, numbered by their centres."""
     products, _ = _products(spark, sf_dir)
     return study(products).products().groupBy("cluster", "cluster_name").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 4).alias("avg_price"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from checks.expected import PARTS, category, claim, durability, price_strip
 from checks.inputs import LISTING_SQL, REVIEW_SQL, listing, reviews, table
 from checks.registry import query
-from hemline.constants import CLUSTER_FEATURES, QUARTILES, TERCILES
+from hemline.constants import (
+    CLUSTER_FEATURES, CLUSTER_ITERATIONS, CLUSTER_SEED, CLUSTER_TOLERANCE, CLUSTERS, QUARTILES, TERCILES,
+)
 from hemline.functions.brands import brand_category
 from hemline.functions.materials import material_quality_score
 from hemline.functions.prices import price_strip as strip_price
@@ -17,7 +19,7 @@ from hemline.operators.aggregates import (
     brand_metrics, claim_counts, claim_low_quality_share, claims, cpw_by_category, cpw_by_category_complete,
     mean_profile, product_durability_norm, product_sentiment_mean,
 )
-from hemline.operators.clusters import cluster_products, kmeans, name_clusters, standardize
+from hemline.operators.clusters import GRID, cluster_products, kmeans, name_clusters, standardize
 from hemline.operators.correlation import line_through, pair_count, pearson, pearson_r, point_biserial, with_p_value
 from hemline.operators.quantiles import quality_quartiles_by_claim, tercile_cuts
 from hemline.operators.shaping import attach_labels, attach_names, complete_categories, distinct_urls
@@ -226,7 +228,7 @@ def _features(spark, sf_dir):
         F.col("l_tax").alias("objective_quality_score"))
 
 
-_FEATURES = """features AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0 THEN l_extendedprice END AS price,
+_FEATURES = """features AS MATERIALIZED (SELECT row_number() OVER () AS place, l_orderkey, l_linenumber, CASE WHEN l_tax <> 0 THEN l_extendedprice END AS price,
 l_discount AS sentiment_score, l_quantity AS durability_score, l_tax AS objective_quality_score,
 CASE WHEN l_tax <> 0 THEN l_linenumber % 4 END AS cluster FROM lineitem)"""
 
@@ -252,13 +254,75 @@ def named_clusters(spark, sf_dir):
     return name_clusters(rows).select("l_orderkey", "l_linenumber", "cluster", "cluster_name")
 
 
-@query()
+def kmeans_sql(rows: str, columns, key: str, k: int = CLUSTERS, seed: int = CLUSTER_SEED) -> str:
+    """Common tables up to ``clusters`` (``key``, cluster): k-means of the table ``rows`` from its drawn start on."""
+    columns = list(columns)
+    z = [f"z{i}" for i in range(len(columns))]
+    finite = " AND ".join(f"isfinite({c})" for c in columns)
+    scaled = ", ".join(f"CAST(floor(({c} - m{i}) / coalesce(nullif(s{i}, 0), 1) * {GRID} + 0.5) AS BIGINT) AS z{i}"
+                       for i, c in enumerate(columns))
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(columns))
+
+    def distance(centre: str) -> str:
+        return " + ".join(f"(p.{name} - {centre}.{name}) * (p.{name} - {centre}.{name})" for name in z)
+
+    starts = []
+    for i in range(k):
+        share = "weight"
+        if i:
+            apart = [f"(SELECT {distance(f's{j}')} FROM start{j} AS s{j})" for j in range(i)]
+            share = f"weight * least({', '.join(apart)})" if i > 1 else f"weight * {apart[0]}"
+        u = (f"((CAST('0x' || substr(md5(concat_ws(',', {seed}, {i}, {', '.join(z)})), 1, 12) AS BIGINT)::DOUBLE + 0.5)"
+             f" / {float(1 << 48)})")
+        starts.append(f"""start{i} AS (SELECT {", ".join(f"{name}::DOUBLE AS {name}" for name in z)} FROM points p
+  ORDER BY -ln({u}) / nullif(({share})::DOUBLE, 0) NULLS LAST LIMIT 1)""")
+    state = ", ".join(f"[{', '.join(f'(SELECT {name} FROM start{i})' for name in z)}]" for i in range(k))
+
+    def apart(i: int) -> str:
+        return " + ".join(f"({name} - c[{i + 1}][{j + 1}]) * ({name} - c[{i + 1}][{j + 1}])" for j, name in enumerate(z))
+
+    nearest = f"list_position([{', '.join(map(apart, range(k)))}], least({', '.join(map(apart, range(k)))}))"
+    means = ", ".join(f"sum(weight * {name}::HUGEINT)::DOUBLE / sum(weight)::DOUBLE" for name in z)
+    return f"""known AS (SELECT * FROM {rows} WHERE {finite}),
+moments AS (SELECT {moments} FROM known),
+placed AS (SELECT {key}, {scaled} FROM known, moments),
+points AS MATERIALIZED (SELECT {", ".join(z)}, count(*) AS weight FROM placed GROUP BY {", ".join(z)}),
+{", ".join(starts)},
+lloyd AS (
+  SELECT 0 AS step, [{state}] AS c, 1e300 AS shift
+  UNION ALL
+  SELECT step + 1, new, list_sum(list_transform(range(1, {k + 1}), lambda i: list_sum(list_transform(range(1, {len(z) + 1}),
+    lambda j: (new[i][j] - c[i][j]) * (new[i][j] - c[i][j])))))
+  FROM (
+    SELECT step, any_value(c) AS c, list(mean ORDER BY nth) AS new
+    FROM (SELECT step, any_value(c) AS c, {nearest} AS nth, [{means}] AS mean FROM points, lloyd
+          WHERE shift > {CLUSTER_TOLERANCE} * {float(GRID * GRID)} AND step < {CLUSTER_ITERATIONS} GROUP BY step, nth)
+    GROUP BY step)),
+centres AS (SELECT list_sort(arg_max(c, step)) AS c FROM lloyd),
+clusters AS (SELECT {key}, CAST({nearest} - 1 AS INT) AS cluster FROM placed, centres)"""
+
+
+_KMEANS = f"RECURSIVE {_FEATURES}, " + kmeans_sql("features", CLUSTER_FEATURES, "place")
+
+
+@query(f"""WITH {_KMEANS} SELECT l_orderkey, l_linenumber, c.cluster FROM features f LEFT JOIN clusters c USING (place)""")
 def kmeans_clusters(spark, sf_dir):
-    """Labels of k-means; ids depend on the start, so there is no SQL for them."""
+    """Labels of k-means; the SQL draws the same start and moves it until it stays."""
     return kmeans(_features(spark, sf_dir)).select("l_orderkey", "l_linenumber", "cluster")
 
 
-@query()
+def named_sql(rows: str) -> str:
+    """Common tables up to ``names`` (cluster, cluster_name) of the labelled table ``rows``."""
+    return f"""cuts AS (SELECT {", ".join(
+        f"quantile_cont({c}, 0.33) AS lo_{a}, quantile_cont({c}, 0.66) AS hi_{a}" for a, c in _NAMED.items())} FROM {rows}),
+means AS (SELECT cluster, {", ".join(f"avg({c}) AS {c}" for c in _NAMED.values())} FROM {rows} WHERE cluster IS NOT NULL GROUP BY cluster),
+names AS (SELECT cluster, concat('C', CAST(cluster AS STRING), ' (price:', {_level("p", _NAMED["p"])}, ', quality:', {_level("q", _NAMED["q"])},
+  ', durability:', {_level("d", _NAMED["d"])}, ', sentiment:', {_level("s", _NAMED["s"])}, ')') AS cluster_name FROM means m, cuts)"""
+
+
+@query(f"""WITH {_KMEANS}, labelled AS (
+  SELECT f.* EXCLUDE (cluster), c.cluster FROM features f LEFT JOIN clusters c USING (place)), {named_sql("labelled")}
+SELECT l_orderkey, l_linenumber, l.cluster, cluster_name FROM labelled l LEFT JOIN names USING (cluster)""")
 def product_segments(spark, sf_dir):
     """k-means with named segments."""
     return cluster_products(_features(spark, sf_dir)).select("l_orderkey", "l_linenumber", "cluster", "cluster_name")
@@ -268,7 +332,7 @@ def product_segments(spark, sf_dir):
 0 AS otherwise_dealt FROM lineitem""")
 def kmeans_properties(spark, sf_dir):
     """What holds for the clusters of any start: rows with a gap have none, no row lies nearer to the mean of
-    another cluster, and the same rows dealt out otherwise get the same labels."""
+    another cluster, and the same rows in 1, 3 or 17 parts get the same labels."""
     rows = _features(spark, sf_dir)
     labelled = standardize(kmeans(rows), CLUSTER_FEATURES)
     means = labelled.where("cluster IS NOT NULL").groupBy("cluster").agg(
@@ -280,9 +344,12 @@ def kmeans_properties(spark, sf_dir):
     own = F.get(F.filter(distances, lambda d: d["cluster"] == F.col("cluster")), F.lit(0))["far"]
     nearer = own > F.array_min(distances)["far"] + 0.05         # the centres still moved a little at the end
     columns = [*rows.columns, "cluster"]
-    again = kmeans(rows.repartition(3, "l_linenumber")).select(*columns, F.lit(-1).alias("n"))
-    moved = labelled.select(*columns, F.lit(1).alias("n")).unionByName(again).groupBy(*columns).agg(F.sum("n").alias("n"))
-    otherwise = moved.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).cast("int")).scalar()
+    parts = (1, 3, 17)
+    moved = labelled.select(*columns, F.lit(len(parts)).alias("n"))
+    for n in parts:
+        moved = moved.unionByName(kmeans(rows.repartition(n, "l_linenumber", "l_orderkey")).select(*columns, F.lit(-1).alias("n")))
+    otherwise = moved.groupBy(*columns).agg(F.sum("n").alias("n")).agg(
+        F.coalesce(F.sum(F.abs("n")), F.lit(0)).cast("int")).scalar()
     return labelled.select("cluster", nearer.alias("nearer")).agg(
         F.count("cluster").alias("labelled"), F.count_if(F.col("cluster").isNull()).alias("unlabelled"),
         F.countDistinct("cluster").cast("int").alias("clusters"), F.count_if("nearer").cast("int").alias("nearer_elsewhere"),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from math import ceil, sqrt
-from operator import and_
+from operator import add, and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +18,14 @@ from hemline.constants import (
 from hemline.functions.prices import cluster_name, level
 from hemline.operators.aggregates import mean_profile
 from hemline.operators.filters import is_finite
+from hemline.operators.moments import moments
 from hemline.operators.quantiles import tercile_cuts
 from hemline.operators.shaping import attach_names
+from hemline.session import written
 
-_Z = "_z_"
-POINTS_PER_TASK = 50_000
+GRID = 1 << 20              # steps of a standard deviation; whole numbers sum alike in any order
+
+Centre = tuple[float, ...]
 
 
 def all_finite(columns: Iterable[str]) -> Column:
@@ -33,72 +35,121 @@ def all_finite(columns: Iterable[str]) -> Column:
 def standardize(df: DataFrame, columns: Iterable[str], prefix: str = "z_") -> DataFrame:
     """Add zero-mean, unit-variance columns; a constant column becomes 0.
 
-    Moments come from the rows where every column is finite, as one scalar
-    subquery; a row outside gets nulls.
+    Moments come from the rows where every column is finite, as scalar
+    subqueries of order-independent sums; a row outside gets nulls.
     """
     columns = list(columns)
-    moments = df.where(all_finite(columns)).agg(F.struct(*[
-        moment for name in columns for moment in (
-            F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std"))
-    ]).alias("moments")).scalar()
-    scaled = [
-        F.when(all_finite(columns), (F.col(name) - moments[f"{name}_mean"])
-               / F.coalesce(F.nullif(moments[f"{name}_std"], F.lit(0.0)), F.lit(1.0))).alias(prefix + name)
-        for name in columns
-    ]
-    return df.select("*", *scaled)
+    found = df.select("*", moments(df.where(all_finite(columns)).select(*columns), columns).alias(f"{prefix}moments"))
+    scaled = []
+    for name in columns:
+        own = F.try_element_at(f"{prefix}moments", F.lit(name))
+        scaled.append(F.when(all_finite(columns), (F.col(name) - own["mean"]) / F.coalesce(
+            F.nullif(own["deviation"], F.lit(0.0)), F.lit(1.0))).alias(prefix + name))
+    return found.select(*df.columns, *scaled)
+
+
+def _placed(z: Iterable[str]) -> list[Column]:
+    """Standardized values as places on the grid."""
+    return [F.floor(F.col(name) * GRID + 0.5).cast("long").alias(name) for name in z]
+
 
+def _distance(z: list[str], centre: Centre) -> Column:
+    return reduce(add, [(F.col(name) - value) * (F.col(name) - value) for name, value in zip(z, centre)])
 
-def _vector(columns: Iterable[str]) -> Column:
-    return array_to_vector(F.array(*[F.coalesce(F.col(name), F.lit(0.0)) for name in columns]))
 
+def _nearest(z: list[str], centres: list[Centre]) -> Column:
+    """The number of the nearest centre, the first of equals."""
+    distances = [_distance(z, centre) for centre in centres]
+    least = F.least(*distances) if len(distances) > 1 else distances[0]
+    return reduce(lambda found, i: found.when(distances[i] == least, i), range(1, len(centres)),
+                  F.when(distances[0] == least, 0))
 
-def fit_kmeans(df: DataFrame, columns: Iterable[str], k: int = CLUSTERS, seed: int = CLUSTER_SEED
-               ) -> KMeansModel | None:
-    """Model over the rows whose columns are all finite; None if there is no such row.
 
-    The study stops once the squared shifts of all centres sum to no more than
-    ``CLUSTER_TOLERANCE``; here each centre gets an equal part of that.
+def _drawn(points: DataFrame, z: list[str], centres: list[Centre], seed: int) -> Centre | None:
+    """A further start, drawn by weight and squared distance from the starts so far; None if no point is left.
 
-    The start draws points by their place, so equal points become one with a
-    weight and lie by their hash, in order: the model is the same however the
-    rows were dealt out, and a point that many rows share fills no task.
+    Each point waits a time of its own, -ln(u) over its share, with u from a hash of the point, and the first one is
+    taken: the draw of k-means++ as one aggregate, the same however the points lie.
     """
-    columns = list(columns)
-    weighted = df.where(all_finite(columns)).groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    points = weighted.persist(StorageLevel.MEMORY_AND_DISK)     # counted, then dealt out
-    try:
-        parts = ceil(points.count() / POINTS_PER_TASK)
-        if not parts:
-            return None
-        placed = points.repartition(parts, *columns).sortWithinPartitions(*columns).select(
-            _vector(columns).alias("features"), "weight").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return KMeans(
-                k=k, seed=seed, maxIter=CLUSTER_ITERATIONS, tol=sqrt(CLUSTER_TOLERANCE / k),
-                featuresCol="features", weightCol="weight", solver="block",
-            ).fit(placed)
-        finally:
-            placed.unpersist()
-    finally:
-        points.unpersist()
+    hashed = F.md5(F.concat_ws(",", F.lit(seed), F.lit(len(centres)), *z))
+    u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    share = F.col("weight").cast("double")
+    if centres:
+        apart = [_distance(z, centre) for centre in centres]
+        share = share * (F.least(*apart) if len(apart) > 1 else apart[0])
+    waits = points.select((-F.log(u) / F.nullif(share, F.lit(0.0))).alias("wait"), *z).where("wait is not null")
+    first = waits.agg(F.min(F.struct("wait", *z)).alias("first")).first()["first"]
+    return None if first is None else tuple(float(first[name]) for name in z)
+
+
+def _totals(points: DataFrame, z: list[str], centres: list[Centre]) -> dict[int, list[int]]:
+    """For each centre the summed weight and weighted places of its points, in whole numbers.
+
+    Every task hands on a row for each centre; the driver adds these up.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [[0] * (len(z) + 1) for _ in centres]
+        for batch in batches:
+            *places, weight = (column.to_numpy() for column in batch.columns)
+            apart = [reduce(add, [(x - c) * (x - c) for x, c in zip(places, centre)]) for centre in centres]
+            nearest = np.argmin(apart, axis=0)
+            heavy = bool(len(weight)) and int(weight.max()) * max(int(np.abs(x).max()) for x in places) * len(weight) >= 1 << 62
+            for i, total in enumerate(totals):
+                own = nearest == i
+                n = weight[own].astype(object) if heavy else weight[own]
+                for j, values in enumerate([n, *(n * x[own] for x in places)]):
+                    total[j] += int(values.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(centres)), pa.int32()), pa.array([[str(v) for v in t] for t in totals], pa.list_(pa.string()))],
+            ["nearest", "totals"])
+
+    found: dict[int, list[int]] = {}
+    for nearest, totals in points.select(*z, "weight").mapInArrow(each, "nearest int, totals array<string>").collect():
+        own = found.setdefault(nearest, [0] * len(totals))
+        found[nearest] = [a + int(b) for a, b in zip(own, totals)]
+    return found
+
+
+def fit_kmeans(points: DataFrame, z: list[str], k: int = CLUSTERS, seed: int = CLUSTER_SEED) -> list[Centre]:
+    """Centres of weighted points on the grid, in lexicographic order; no more than there are distinct points.
+
+    A round sums whole numbers, so the centres do not depend on partitioning. A centre without points stays. It stops
+    once the squared shifts of all centres sum to no more than ``CLUSTER_TOLERANCE``.
+    """
+    centres: list[Centre] = []
+    while len(centres) < k and (drawn := _drawn(points, z, centres, seed)) is not None:
+        centres.append(drawn)
+    for _ in range(CLUSTER_ITERATIONS if centres else 0):
+        found = _totals(points, z, centres)
+        moved = [tuple(float(v) / float(found[i][0]) for v in found[i][1:]) if found[i][0] else centre
+                 for i, centre in enumerate(centres)]
+        shift = sum((a - b) * (a - b) for old, new in zip(centres, moved) for a, b in zip(old, new))
+        centres = moved
+        if shift <= CLUSTER_TOLERANCE * GRID * GRID:
+            break
+    return sorted(centres)
 
 
 def kmeans(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES, k: int = CLUSTERS,
            seed: int = CLUSTER_SEED) -> DataFrame:
     """Add ``cluster``; null where a feature is missing.
 
-    The label is computed in place, so nothing has to be joined back by row.
+    Clusters are numbered by their centres, the smallest first feature first. Equal points are one with a weight,
+    written once for all rounds. The label is computed in place, so nothing has to be joined back by row.
     """
     columns = list(columns)
-    scaled = standardize(df, columns, _Z)
-    z = [_Z + name for name in columns]
-    model = fit_kmeans(scaled, z, k, seed)
-    if model is None:
+    z = [f"_z_{name}" for name in columns]
+    scaled = standardize(df, columns, "_z_")
+    points = written(scaled.where(all_finite(z)).select(*_placed(z)).groupBy(*z).agg(F.count(F.lit(1)).alias("weight")),
+                     "points").persist(StorageLevel.MEMORY_AND_DISK)        # read again from the files if lost
+    try:
+        centres = fit_kmeans(points, z, k, seed)
+    finally:
+        points.unpersist()
+    if not centres:
         return df.withColumn("cluster", F.lit(None).cast("int"))
-    model.setFeaturesCol("_features").setPredictionCol("_nearest")
-    return model.transform(scaled.select("*", _vector(z).alias("_features"))).select(
-        *df.columns, F.when(all_finite(z), F.col("_nearest")).alias("cluster"))
+    label = F.when(all_finite(z), _nearest(z, centres)).cast("int").alias("cluster")
+    return scaled.select(*df.columns, *_placed(z)).select(*df.columns, label)
 
 
 def cluster_profile(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES) -> DataFrame:
