@@ -43,7 +43,11 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str) -> list[str]:
-    return _words(text.lower())
+    """Runs of letters; numbers that are no digits (a half, Roman eight, a circled one) end them."""
+    words = _words(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    return "".join(sign if sign.isalpha() else " " for sign in " ".join(words)).split()
 
 
 def grams_of(word: str, size: int) -> list[str]:

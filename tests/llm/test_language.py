@@ -89,3 +89,10 @@ def test_counts_in_parts_add_up(monkeypatch):
     assert grams["x", 2, "ab"] == 2 and grams["x", 1, "a"] == 2 and grams["y", 2, " a"] == 1
     monkeypatch.setattr(language, "FLUSH", 0)
     assert both() == (words, grams)
+
+
+def test_numbers_are_no_letters(docs):
+    assert language.words_of("Ab½c ② Ⅷ x² é_9ß") == ["ab", "c", "x", "é", "ß"]
+    rows = [(i, "the and of", ) for i in range(30)] + [(100, "½"), (101, "② ²"), (102, "½ the"), (103, "Ⅷ")]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identified(docs(rows, ["en"] * 34)).collect()}
+    assert [found[i] for i in (100, 101, 102, 103)] == ["und", "und", "en", "und"]
