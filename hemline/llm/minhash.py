@@ -39,7 +39,7 @@ from hemline.session import written
 WIDTH, LEAST = 3, 85
 BANDS, ROWS = 24, 6
 SEED = 42
-TURNS = 1                   # further heads of a bucket before the filter of differences
+TURNS = 0                   # further heads of a bucket before the filter of differences
 BLOCK = 1 << 10             # shingles that are hashed at once
 SKETCH = 1 << 18            # counters for the frequency of shingles, summed on the driver
 
