@@ -22,6 +22,15 @@ def page_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The pages of one table, which is a single file or a folder of part files."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    reader = spark.readStream.schema(PAGE)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/{{{name}}}")       # as a pattern, since a plain path has to be a folder
+
+
 def append_product_records(pages: DataFrame, rules: SiteRules, output: str, checkpoint: str) -> StreamingQuery:
     """Extract every page seen so far and append it to ``output``, then stop."""
     return (

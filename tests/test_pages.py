@@ -1,6 +1,7 @@
 """Page extraction on small documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from hemline.functions.pages import (
     SITES, attribute_contains, decode_references, has_attribute, has_class, page_images, page_material_items,
@@ -141,3 +142,18 @@ def test_lists(values):
     got = values(items, [nested, two, "<dt>Size</dt><dd><li>S</li></dd>", None, long])
     assert got[:4] == [["a b", "cde", "d", "f"], ["new"], [], []]
     assert got[4] == [str(i) for i in range(20000)]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_appended_pages_of_a_file_and_of_a_folder_of_parts(spark, tmp_path, parts):
+    from checks.pages import appended_product_pages
+
+    rows = spark.range(30).select(
+        F.col("id").cast("long").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"),
+        F.format_string("<h1>p%d</h1><nav><ul></ul></nav><footer>$%d</footer>", "id", "id").alias("html"))
+    if parts:
+        rows.repartition(parts).write.parquet(str(tmp_path / "pages.parquet"))
+    else:
+        rows.toPandas().to_parquet(tmp_path / "pages.parquet")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.url for r in appended_product_pages(spark, str(tmp_path)).collect()) == sorted(f"u{i}" for i in range(30))
