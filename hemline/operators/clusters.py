@@ -48,6 +48,14 @@ def standardize(df: DataFrame, columns: Iterable[str], prefix: str = "z_") -> Da
     return found.select(*df.columns, *scaled)
 
 
+Scale = dict[str, tuple[float, float]]
+
+
+def _scaled(values: Iterable[str], z: Iterable[str], scale: Scale) -> list[Column]:
+    """Values in deviations from the mean; a constant counts as if its deviation were 1."""
+    return [((F.col(value) - scale[name][0]) / (scale[name][1] or 1.0)).alias(name) for value, name in zip(values, z)]
+
+
 def _placed(z: Iterable[str]) -> list[Column]:
     """Standardized values as places on the grid."""
     return [F.floor(F.col(name) * GRID + 0.5).cast("long").alias(name) for name in z]
@@ -58,11 +66,12 @@ def _distance(z: list[str], centre: Centre) -> Column:
 
 
 def _nearest(z: list[str], centres: list[Centre]) -> Column:
-    """The number of the nearest centre, the first of equals."""
-    distances = [_distance(z, centre) for centre in centres]
-    least = F.least(*distances) if len(distances) > 1 else distances[0]
-    return reduce(lambda found, i: found.when(distances[i] == least, i), range(1, len(centres)),
-                  F.when(distances[0] == least, 0))
+    """The number of the nearest centre, the first of equals.
+
+    Each distance is written out twice and no more, so that the code of a row stays small enough to be compiled.
+    """
+    distances = F.array(*[_distance(z, centre) for centre in centres])
+    return F.array_position(distances, F.array_min(distances)) - 1
 
 
 def _drawn(points: DataFrame, z: list[str], centres: list[Centre], seed: int) -> Centre | None:
@@ -82,7 +91,32 @@ def _drawn(points: DataFrame, z: list[str], centres: list[Centre], seed: int) ->
     return None if first is None else tuple(float(first[name]) for name in z)
 
 
-def _totals(points: DataFrame, z: list[str], centres: list[Centre]) -> dict[int, list[int]]:
+def _whole(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{len(data) // n}").astype(np.int64)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, of the narrowest kind that holds them all."""
+    low, high = int(values.min()), int(values.max())
+    kind = next(kind for kind in (np.int8, np.int16, np.int32, np.int64)
+                if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max)
+    return values.astype(kind).tobytes()
+
+
+def _blocks(points: DataFrame, z: list[str]) -> DataFrame:
+    """The points in blocks of a batch each, a row with the bytes of every column: a round hands on few rows."""
+    names = [*z, "weight"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                packed = [pa.array([_narrow(column.to_numpy())], pa.binary()) for column in batch.columns]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), *packed], ["n", *names])
+
+    return points.select(*names).mapInArrow(each, ", ".join(["n long", *(f"`{name}` binary" for name in names)]))
+
+
+def _totals(blocks: DataFrame, z: list[str], centres: list[Centre]) -> dict[int, list[int]]:
     """For each centre the summed weight and weighted places of its points, in whole numbers.
 
     Every task hands on a row for each centre; the driver adds these up.
@@ -90,21 +124,23 @@ def _totals(points: DataFrame, z: list[str], centres: list[Centre]) -> dict[int,
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [[0] * (len(z) + 1) for _ in centres]
         for batch in batches:
-            *places, weight = (column.to_numpy() for column in batch.columns)
-            apart = [reduce(add, [(x - c) * (x - c) for x, c in zip(places, centre)]) for centre in centres]
-            nearest = np.argmin(apart, axis=0)
-            heavy = bool(len(weight)) and int(weight.max()) * max(int(np.abs(x).max()) for x in places) * len(weight) >= 1 << 62
-            for i, total in enumerate(totals):
-                own = nearest == i
-                n = weight[own].astype(object) if heavy else weight[own]
-                for j, values in enumerate([n, *(n * x[own] for x in places)]):
-                    total[j] += int(values.sum())
+            for size, *packed in zip(*(column.to_pylist() for column in batch.columns)):
+                *places, weight = (_whole(data, size) for data in packed)
+                floats = [x.astype(np.float64) for x in places]
+                apart = [reduce(add, [(x - c) * (x - c) for x, c in zip(floats, centre)]) for centre in centres]
+                nearest = np.argmin(apart, axis=0)
+                heavy = int(weight.max()) * max(int(np.abs(x).max()) for x in places) * size >= 1 << 62
+                for i, total in enumerate(totals):
+                    own = nearest == i
+                    n = weight[own].astype(object) if heavy else weight[own]
+                    for j, values in enumerate([n, *(n * x[own] for x in places)]):
+                        total[j] += int(values.sum())
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(centres)), pa.int32()), pa.array([[str(v) for v in t] for t in totals], pa.list_(pa.string()))],
             ["nearest", "totals"])
 
     found: dict[int, list[int]] = {}
-    for nearest, totals in points.select(*z, "weight").mapInArrow(each, "nearest int, totals array<string>").collect():
+    for nearest, totals in blocks.mapInArrow(each, "nearest int, totals array<string>").collect():
         own = found.setdefault(nearest, [0] * len(totals))
         found[nearest] = [a + int(b) for a, b in zip(own, totals)]
     return found
@@ -114,19 +150,24 @@ def fit_kmeans(points: DataFrame, z: list[str], k: int = CLUSTERS, seed: int = C
     """Centres of weighted points on the grid, in lexicographic order; no more than there are distinct points.
 
     A round sums whole numbers, so the centres do not depend on partitioning. A centre without points stays. It stops
-    once the squared shifts of all centres sum to no more than ``CLUSTER_TOLERANCE``.
+    once the squared shifts of all centres sum to no more than ``CLUSTER_TOLERANCE``. The rounds read blocks of the
+    points that are kept in memory; a lost one is made again from ``points``.
     """
     centres: list[Centre] = []
     while len(centres) < k and (drawn := _drawn(points, z, centres, seed)) is not None:
         centres.append(drawn)
-    for _ in range(CLUSTER_ITERATIONS if centres else 0):
-        found = _totals(points, z, centres)
-        moved = [tuple(float(v) / float(found[i][0]) for v in found[i][1:]) if found[i][0] else centre
-                 for i, centre in enumerate(centres)]
-        shift = sum((a - b) * (a - b) for old, new in zip(centres, moved) for a, b in zip(old, new))
-        centres = moved
-        if shift <= CLUSTER_TOLERANCE * GRID * GRID:
-            break
+    blocks = _blocks(points, z).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(CLUSTER_ITERATIONS if centres else 0):
+            found = _totals(blocks, z, centres)
+            moved = [tuple(float(v) / float(found[i][0]) for v in found[i][1:]) if found[i][0] else centre
+                     for i, centre in enumerate(centres)]
+            shift = sum((a - b) * (a - b) for old, new in zip(centres, moved) for a, b in zip(old, new))
+            centres = moved
+            if shift <= CLUSTER_TOLERANCE * GRID * GRID:
+                break
+    finally:
+        blocks.unpersist()
     return sorted(centres)
 
 
@@ -134,22 +175,26 @@ def kmeans(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES, k: int = CL
            seed: int = CLUSTER_SEED) -> DataFrame:
     """Add ``cluster``; null where a feature is missing.
 
-    Clusters are numbered by their centres, the smallest first feature first. Equal points are one with a weight,
-    written once for all rounds. The label is computed in place, so nothing has to be joined back by row.
+    Clusters are numbered by their centres, the smallest first feature first. ``df`` is read once for the fit: equal
+    rows are one with a weight, written, and moments and points come from these. The label is computed in place, so
+    nothing has to be joined back by row.
     """
     columns = list(columns)
     z = [f"_z_{name}" for name in columns]
-    scaled = standardize(df, columns, "_z_")
-    points = written(scaled.where(all_finite(z)).select(*_placed(z)).groupBy(*z).agg(F.count(F.lit(1)).alias("weight")),
-                     "points").persist(StorageLevel.MEMORY_AND_DISK)        # read again from the files if lost
-    try:
-        centres = fit_kmeans(points, z, k, seed)
-    finally:
-        points.unpersist()
+    known = written(df.where(all_finite(columns)).groupBy(*[F.col(name).cast("double").alias(at) for name, at in zip(columns, z)])
+                    .agg(F.count(F.lit(1)).alias("weight")), "known")
+    found = df.sparkSession.range(1).select(moments(known, z, "weight").alias("found")).first()["found"]
+    if len(found) < len(z):
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    scale = {name: tuple(own) for name, own in found.items()}
+    scaled = known.select("weight", *_scaled(z, z, scale)).where(all_finite(z))
+    points = written(scaled.select("weight", *_placed(z)).groupBy(*z).agg(F.sum("weight").alias("weight")), "points")
+    centres = fit_kmeans(points, z, k, seed)
     if not centres:
         return df.withColumn("cluster", F.lit(None).cast("int"))
-    label = F.when(all_finite(z), _nearest(z, centres)).cast("int").alias("cluster")
-    return scaled.select(*df.columns, *_placed(z)).select(*df.columns, label)
+    label = F.when(all_finite(columns), _nearest(z, centres)).cast("int").alias("cluster")
+    placed = df.select(*df.columns, *_scaled([f"`{name}`" for name in columns], z, scale)).select(*df.columns, *_placed(z))
+    return placed.select(*df.columns, label)
 
 
 def cluster_profile(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES) -> DataFrame:

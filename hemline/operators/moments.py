@@ -16,24 +16,26 @@ def _two_to(power: Column) -> Column:
     return F.pow(F.lit(2.0), power.cast("double"))
 
 
-def exact_sums(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+def exact_sums(df: DataFrame, values: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """(name, sum, n, low, high) over the finite values of each name that has any.
 
-    Counts and limbs are combined in the map tasks, a row for each name and power of two.
+    Counts and limbs are combined in the map tasks, a row for each name and power of two. A row with a ``weight``
+    counts as so many equal rows.
     """
+    times = F.lit(1).cast("long") if weight is None else weight
     value = F.col("x")
     power = F.when(value == 0, 0).otherwise(F.greatest(F.lit(-900), F.floor(F.log2(F.abs(value))) - 1)).cast("int")
     whole = (value * _two_to(52 - F.col("power"))).cast("long")
     low_bits = (1 << _BITS) - 1
     cells = (
         df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), column.cast("double").alias("x"))
-                                      for name, column in values.items()])).alias("v"))
-        .select("v.*").where(F.abs(value) < float("inf")).withColumn("power", power).withColumn("whole", whole)
+                                      for name, column in values.items()])).alias("v"), times.alias("times"))
+        .select("v.*", "times").where(F.abs(value) < float("inf")).withColumn("power", power).withColumn("whole", whole)
         .groupBy("name", "power").agg(
-            F.sum(F.col("whole").bitwiseAND(low_bits)).alias("a"),
-            F.sum(F.shiftright("whole", _BITS).bitwiseAND(low_bits)).alias("b"),
-            F.sum(F.shiftright("whole", 2 * _BITS)).alias("c"),
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+            F.sum(F.col("whole").bitwiseAND(low_bits) * F.col("times")).alias("a"),
+            F.sum(F.shiftright("whole", _BITS).bitwiseAND(low_bits) * F.col("times")).alias("b"),
+            F.sum(F.shiftright("whole", 2 * _BITS) * F.col("times")).alias("c"),
+            F.sum("times").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     )
     part = ((F.col("c") * F.lit(2.0 ** (2 * _BITS)) + F.col("b") * F.lit(2.0 ** _BITS) + F.col("a"))
             * _two_to(F.col("power") - 52))
@@ -47,16 +49,19 @@ def _by_name(df: DataFrame, value: Column) -> Column:
     return df.agg(F.map_from_entries(F.collect_list(F.struct("name", value.alias("value"))))).scalar()
 
 
-def moments(df: DataFrame, columns: list[str]) -> Column:
+def moments(df: DataFrame, columns: list[str], weight: str | None = None) -> Column:
     """A scalar subquery: the mean and population deviation of each column that has a value, by name.
 
     The deviation is summed around the mean, in a second scan; that of a constant column is 0.
     """
+    times = None if weight is None else F.col(weight)
     constant = F.col("low") == F.col("high")
-    first = exact_sums(df, {name: F.col(name) for name in columns}).select(
-        "name", constant.alias("constant"), F.when(constant, F.col("low")).otherwise(F.col("sum") / F.col("n")).alias("mean"))
-    placed = df.select(*columns, _by_name(first, F.col("mean")).alias("_means"))
+    mean = F.when(constant, F.col("low")).otherwise(F.col("sum") / F.col("n"))
+    first = _by_name(exact_sums(df, {name: F.col(name) for name in columns}, times),
+                     F.struct(mean.alias("mean"), constant.alias("constant")))
+    placed = df.select("*", first.alias("_first"))
     second = exact_sums(placed, {
-        name: F.pow(F.col(name) - F.try_element_at("_means", F.lit(name)), F.lit(2.0)) for name in columns})
-    deviation = F.when(F.col("constant"), 0.0).otherwise(F.sqrt(F.col("sum") / F.col("n"))).alias("deviation")
-    return _by_name(first.join(second, "name").select("name", "mean", deviation), F.struct("mean", "deviation"))
+        name: F.pow(F.col(name) - F.try_element_at("_first", F.lit(name))["mean"], F.lit(2.0)) for name in columns}, times)
+    own = F.try_element_at("_first", F.col("name"))
+    deviation = F.when(own["constant"], 0.0).otherwise(F.sqrt(F.col("sum") / F.col("n")))
+    return _by_name(second.select("*", first.alias("_first")), F.struct(own["mean"].alias("mean"), deviation.alias("deviation")))

@@ -16,6 +16,7 @@ from hemline.operators.aggregates import (
 from hemline.operators.clusters import cluster_names, cluster_products, cluster_profile, kmeans, standardize
 from hemline.operators.correlation import p_value, pearson, point_biserial, regression_line, with_p_value
 from hemline.operators.filters import drop_missing, finite_only, is_finite, min_tokens
+from hemline.operators.moments import moments
 from hemline.operators.quantiles import quality_quartiles_by_claim, quantile_table, tercile_cuts
 from hemline.operators.shaping import (
     attach_labels, distinct_urls, first_n_distinct, first_present, pick, union_products,
@@ -218,3 +219,20 @@ def test_clusters_do_not_depend_on_how_rows_are_dealt_out(spark):
     labels = [sorted((r.id, r.cluster) for r in kmeans(df).select("id", "cluster").where("id < 900").collect())
               for df in (rows.coalesce(1), rows.repartition(5), rows.repartition(3, "price"))]
     assert labels[0] == labels[1] == labels[2]
+
+
+def test_the_labels_of_a_summary_are_compiled(spark):
+    spark.conf.set("spark.sql.codegen.fallback", "false")       # code beyond 64 KB raises
+    try:
+        got = cluster_products(_products(spark), k=4).groupBy("cluster", "cluster_name").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert sum(r["count"] for r in got) == 203
+
+
+def test_moments_of_weighted_rows_are_those_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(0.1, 3), (1e9, 1), (-7.25, 5), (None, 2)], "a double, weight long")
+    repeated = rows.select("a", F.explode(F.sequence(F.lit(1).cast("long"), "weight")))
+    found = [spark.range(1).select(m.alias("m")).first()["m"]["a"]
+             for m in (moments(rows, ["a"], "weight"), moments(repeated, ["a"]))]
+    assert found[0] == found[1]
