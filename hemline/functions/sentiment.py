@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hemline import valence as V
-from hemline.functions.common import ColumnLike, col, let
+from hemline.functions.common import ColumnLike, col, contains_any, let
 
 PLAN_BUCKETS = 1024
 
@@ -27,10 +27,11 @@ _PHRASE_WORDS = sorted(
 def sentiment_words(text: ColumnLike) -> Column:
     """Words longer than one character, freed of punctuation at one end."""
     longer = F.filter(F.split(col(text), r"(?U)\s+"), lambda word: F.length(word) > 1)
-    return F.transform(longer, lambda word: let(
-        F.btrim(word, F.lit(V.PUNCTUATION)),
-        lambda core: F.when((core != word) & _one_edge_cut(word, core), core).otherwise(word),
-    ))
+    marks = F.lit(V.PUNCTUATION)
+    return F.transform(longer, lambda word: F.when(         # most words have no mark to cut, which two letters tell
+        F.contains(marks, F.right(word, F.lit(1))) | F.contains(marks, F.left(word, F.lit(1))),
+        let(F.btrim(word, marks), lambda core: F.when(_one_edge_cut(word, core), core).otherwise(word)),
+    ).otherwise(word))
 
 
 def _one_edge_cut(word: Column, core: Column) -> Column:
@@ -280,7 +281,8 @@ def lexicon_sentiment(text: ColumnLike, lexicon: Mapping[str, float] | Column =
             lowered.alias("lowered"),
             _valences_of(lowered, table, buckets).alias("valences"),
             (F.exists(words, _is_upper) & F.exists(words, lambda w: ~_is_upper(w))).alias("mixed_case"),
-            F.arrays_overlap(words, F.array(*[F.lit(w) for w in _PHRASE_WORDS])).alias("phrases"),
+            (contains_any(text, _PHRASE_WORDS)              # the cheaper look at the text settles most of them
+             & F.arrays_overlap(words, F.array(*[F.lit(w) for w in _PHRASE_WORDS]))).alias("phrases"),
         ))
         return F.when(F.size(words) > 0, let(prepared, score))
 

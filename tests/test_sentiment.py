@@ -130,3 +130,16 @@ def test_long_text_is_scored_whole(values):
     filler = "word " * 100_000 + "good bad " * 50_000
     plain, decided = values(lambda c: lexicon_sentiment(c)["compound"], [filler, filler + " perfect" * 20_000])
     assert plain == normalized(50_000 * (1.9 - 2.5)) and decided == normalized(50_000 * -0.6 + 20_000 * 2.7)
+
+
+def test_marks_at_the_edges_of_words(values):
+    marks = ["", ".", "!!", "?!?", "..", "(", "é", "#"]
+    texts = [f"{a}word{b} {a}x{b} {a}{b}" for a in marks for b in marks]
+
+    def cut(word):
+        core = word.strip(V.PUNCTUATION)
+        one_edge = word in [core + m for m in V.WORD_EDGES] + [m + core for m in V.WORD_EDGES]
+        plain = len(core) > 1 and not set(core) & set(V.PUNCTUATION)
+        return core if core != word and one_edge and plain else word
+
+    assert values(sentiment_words, texts) == [[cut(w) for w in t.split() if len(w) > 1] for t in texts]
