@@ -14,9 +14,11 @@ equal anchors at equal offsets. Spark keeps the anchors that occur at two places
 equal anchors, in that many rounds. Text that shares no anchor is never moved. Columns are kept one after the other
 and read in that order; nothing is written to a machine's own disk.
 
-Equal contexts around an anchor are sent once by a task and become one row of a collection. An anchor that still has
-more than ``CROWD`` different contexts would fill a task, so its passages are told apart by 128-bit digests, which are
-aggregated with a combine in the map tasks; this is exact as well, and only needed for such anchors.
+A text counts once for an anchor, however often it has it. Contexts that a task finds equal around an anchor are done
+there, since all their passages are repeated: one of them goes to the collection, the spans of all to any task. The
+passages of an anchor that would fill a task, with more than ``CROWD`` texts or different contexts, are told apart by
+128-bit digests, which are aggregated with a combine in the map tasks; this is exact as well. Where the texts say so,
+its contexts are not sent to one task before.
 
 Equal texts are represented by one; with two of them every passage occurs elsewhere.
 
@@ -40,7 +42,7 @@ from hemline.session import written
 LENGTH, GRAM = 400, 64
 BATCH = 16_384              # contexts in one collection, if groups of equal anchors allow
 CUT = 8_192                 # different contexts that are handed on together
-CROWD = 100_000             # different contexts of one anchor that a task may hold
+CROWD = 100_000             # texts or different contexts of one anchor that a task may hold
 TEXTS = 500                 # texts that are searched for anchors together
 STRETCH = 1 << 18           # bytes that are hashed at once
 PAD = 0xFF                  # no byte of UTF-8
@@ -181,11 +183,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 SPANS = "key binary, start long, stop long, crowded boolean"
-CONTEXTS = "anchor long, context binary, places array<struct<key:binary,place:long,size:long>>"
+CONTEXTS = "anchor long, context binary, key binary, place long, stop long, done boolean"
 _KINDS = {
     SPANS: [("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("crowded", pa.bool_())],
-    CONTEXTS: [("anchor", pa.int64()), ("context", pa.binary()), ("places", pa.list_(pa.struct(
-        [("key", pa.binary()), ("place", pa.int64()), ("size", pa.int64())])))],
+    CONTEXTS: [("anchor", pa.int64()), ("context", pa.binary()), ("key", pa.binary()), ("place", pa.int64()),
+               ("stop", pa.int64()), ("done", pa.bool_())],
 }
 
 
@@ -196,27 +198,64 @@ def _batch(rows: list, schema: str) -> pa.RecordBatch:
         [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
+def _dealt(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _signed(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return found[0], found[1], found[2].view(np.int64)
+
+
 def _spans_by_columns(affected: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """Repeated spans around anchors; of anchors with too many contexts, the places instead (``crowded``)."""
     before = length - gram
 
+    def whole(place: Place) -> tuple[int, int]:
+        _, at, size = place
+        return max(at - before, 0), min(at + length, size)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts, equal ones of an anchor together as far as they come together."""
-        held: dict[tuple[int, bytes], list] = {}
+        """Contexts, equal ones of an anchor together as far as they come together.
+
+        Rows without a context need no task of their own, so any gets them: spans that are done, or, not done, places
+        of crowded anchors.
+        """
+        held: dict[tuple[int, bytes], list[Place]] = {}
+        crowded: set[int] = set()
         number = 0
+
+        def handed() -> pa.RecordBatch:
+            rows, done = [], {}
+            for (anchor, context), places in held.items():
+                key, place, size = places[0]
+                if len(places) > 1:
+                    for p in places:
+                        done.setdefault(p[0], []).append(whole(p))
+                if anchor in crowded:
+                    rows.append((_dealt(key), None, key, place, place, False))
+                else:
+                    rows.append((anchor, context, key, place, size, len(places) > 1))
+            rows += [(_dealt(key), None, key, *run, True) for key, spans in done.items() for run in merged(spans)]
+            return _batch(rows, CONTEXTS)
+
         for batch in batches:
-            for key, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                padded = bytes([PAD]) * before + text + bytes([PAD]) * length
-                for f in found:
-                    place = f["place"]
-                    held.setdefault((f["anchor"], padded[place:place + before + length]), []).append(
-                        {"key": key, "place": place, "size": len(text)})
+            for first in range(0, batch.num_rows, TEXTS):
+                keys, texts, found = (batch.column(i).slice(first, TEXTS).to_pylist() for i in range(3))
+                wanted = [{f["anchor"]: f["many"] for f in one} for one in found]
+                for no, place, anchor in zip(*(a.tolist() for a in _signed(anchors(texts, length, gram)))):
+                    if anchor not in wanted[no]:
+                        continue
+                    if wanted[no][anchor]:
+                        crowded.add(anchor)
+                    context = bytes([PAD]) * (before - place) + texts[no][max(0, place - before):place + length]
+                    held.setdefault((anchor, context.ljust(before + length, bytes([PAD]))), []).append(
+                        (keys[no], place, len(texts[no])))
                     number += 1
                     if len(held) >= CUT or number >= 8 * CUT:
-                        yield _batch([(*k, v) for k, v in held.items()], CONTEXTS)
-                        held, number = {}, 0
+                        yield handed()
+                        held, crowded, number = {}, set(), 0
         if held:
-            yield _batch([(*k, v) for k, v in held.items()], CONTEXTS)
+            yield handed()
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; a collection takes whole groups of different contexts.
@@ -230,16 +269,18 @@ def _spans_by_columns(affected: DataFrame, length: int, gram: int, crowd: int) -
         first: dict[bytes, Place] = {}
         anchor, overflowed, out = None, False, []
 
-        def whole(place: Place):
-            key, at, size = place
-            return key, max(at - before, 0), min(at + length, size), False
-
         def closed():
             return [_batch([(*span, False) for span in part], SPANS)
                     for part in repeated_spans(contexts, places, length, gram)]
 
         for batch in batches:
-            for at, context, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for at, context, key, place, stop, done in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if len(out) >= CUT:
+                    yield _batch(out, SPANS)
+                    out = []
+                if context is None:
+                    out.append((key, place, stop, not done))
+                    continue
                 if at != anchor:
                     if len(group) > 1:
                         contexts += group
@@ -248,22 +289,19 @@ def _spans_by_columns(affected: DataFrame, length: int, gram: int, crowd: int) -
                     if len(contexts) >= BATCH:
                         yield from closed()
                         contexts, places = [], []
-                found = [(r["key"], r["place"], r["size"]) for r in rows]
+                found = key, place, stop
                 if overflowed:
-                    out += [(key, place, place, True) for key, place, _ in found]
-                elif context in group or len(found) > 1:
-                    done = group.get(context)
-                    out += map(whole, found if done is None else [*found, done])
+                    out.append((key, place, place, True))
+                elif context in group or done:
+                    earlier = group.get(context)
+                    out += [(p[0], *whole(p), False) for p in (earlier, None if done else found) if p is not None]
                     group[context] = None
-                    first.setdefault(context, done or found[0])
+                    first.setdefault(context, earlier or found)
                 else:
-                    group[context] = first[context] = found[0]
+                    group[context] = first[context] = found
                 if not overflowed and len(group) > crowd:
                     out += [(key, place, place, True) for key, place, _ in first.values()]
                     group, first, overflowed = {}, {}, True
-                if len(out) >= CUT:
-                    yield _batch(out, SPANS)
-                    out = []
         if len(group) > 1:
             contexts += group
             places += group.values()
@@ -314,20 +352,31 @@ def repeats_removed(df: DataFrame, id: str = "doc_id", text: str = "text", lengt
         for batch in batches:
             for first in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(first, TEXTS)
-                text_no, place, hashes = anchors(part.column(1).to_pylist(), length, gram)
+                text_no, _, hashes = _signed(anchors(part.column(2).to_pylist(), length, gram))
+                order = np.lexsort((hashes, text_no))
+                text_no, hashes = text_no[order], hashes[order]
+                new = np.flatnonzero((np.diff(text_no, prepend=-1) != 0) | (np.diff(hashes, prepend=0) != 0))
+                again = np.diff(new, append=len(hashes)) > 1
+                ends = np.searchsorted(text_no[new], np.arange(part.num_rows + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(hashes[new]), pa.array(again)], ["anchor", "again"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text_no)), pa.array(place), pa.array(hashes.view(np.int64))],
-                    ["key", "place", "anchor"])
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pairs)],
+                    ["id", "key", "pairs"])
 
     long = F.octet_length("text") >= length
-    found = written(read.filter(long).select("key", "text").mapInArrow(
-        anchored, "key binary, place long, anchor long"), "anchors")
-    who = F.xxhash64("key", "place")                    # copies of a text count as one place
-    shared = found.groupBy("anchor").agg(F.min(who).alias("one"), F.max(who).alias("other")).filter("one <> other")
-    places = found.join(shared.select("anchor"), "anchor", "left_semi").groupBy("key").agg(
-        F.collect_set(F.struct("place", "anchor")).alias("found"))
+    sources = read.filter(long).select("id", "key", "text")
+    schema = f"id {read.schema['id'].dataType.simpleString()}, key binary, pairs array<struct<anchor:long,again:boolean>>"
+    found = sources.mapInArrow(anchored, schema)
+    found = written(                                    # copies of a text count as one
+        found.join(texts, (found["key"] == texts["key"]) & found["id"].eqNullSafe(texts["id"]))
+        .select(found["key"], "pairs"), "anchors").select("key", F.inline("pairs"))
+    who = F.xxhash64("key")
+    shared = found.groupBy("anchor").agg(
+        F.min(who).alias("one"), F.max(who).alias("other"), F.max("again").alias("again"), F.count(F.lit(1)).alias("n")
+    ).filter("again OR one <> other").select("anchor", (F.col("n") > crowd).alias("many"))
+    places = found.join(shared, "anchor").groupBy("key").agg(
+        F.collect_set(F.struct("anchor", "many")).alias("found"))
     wanted = places.join(texts, "key")
-    sources = read.filter(long).select("id", "text", "key")
     affected = written(
         sources.join(wanted, (sources["key"] == wanted["key"]) & sources["id"].eqNullSafe(wanted["id"]))
         .select(sources["key"], "text", "found", "copies").dropDuplicates(["key"]), "affected-texts")

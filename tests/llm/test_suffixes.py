@@ -95,3 +95,34 @@ def test_production_length(docs):
     found = {r["doc_id"]: r for r in suffixes.repeats_removed(docs(rows)).collect()}
     assert [found[i]["n_removed"] for i in range(1, 6)] == [0, 400, 400, 0, 0]
     assert found[3]["spans"] == [(5, 405)] and found[2]["kept_sha256"] == hashlib.sha256(b"?").hexdigest()
+
+
+def crowding(r, n):
+    """Texts that share a passage between other words, and texts of one word over and over."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))                            # noqa: E731
+    words = lambda k: " ".join(word() for _ in range(k))                                                    # noqa: E731
+    passage = words(8)
+    return [f"{words(9)} {passage} {words(9)}" for _ in range(n)] + ["tick " * 60 + words(5) for _ in range(n)]
+
+
+def test_a_text_counts_once_for_an_anchor(docs, monkeypatch):
+    kept, real = {}, suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    texts = crowding(random.Random(6), 5)
+    rows = list(enumerate(texts + texts[-1:] * 4))      # copies are one text
+    found = suffixes.repeats_removed(docs(rows), length=20, gram=8).collect()
+    assert sorted(tuple(r)[1:5] for r in found) == sorted(slow([t.encode() for _, t in rows], 20))
+    assert kept["anchors"].count() == len(texts)        # a row per different text
+
+
+@pytest.mark.parametrize("crowd", [10**6, 3])
+def test_no_task_gets_a_crowded_anchor(spark, docs, monkeypatch, crowd):
+    seen, frame = [], type(spark.range(1))
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (seen.append(self) if "anchor" in a else None, real(self, *a))[1])
+    texts = crowding(random.Random(7), 12)
+    found = suffixes.repeats_removed(docs(list(enumerate(texts))), length=20, gram=8, crowd=crowd).collect()
+    assert sorted(tuple(r)[1:5] for r in found) == sorted(slow([t.encode() for t in texts], 20))
+    places = [r["count"] for r in seen[0].filter("context IS NOT NULL").groupBy("anchor").count().collect()]
+    assert max(places) >= 12 if crowd > 12 else max(places, default=0) <= 3
+    assert max(r["count"] for r in seen[0].filter("context IS NULL").groupBy("key", "done").count().collect()) < 20
