@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from hashlib import md5
 from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +41,16 @@ def standardize(df: DataFrame, columns: Iterable[str], prefix: str = "z_") -> Da
     subqueries of order-independent sums; a row outside gets nulls.
     """
     columns = list(columns)
-    found = df.select("*", moments(df.where(all_finite(columns)).select(*columns), columns).alias(f"{prefix}moments"))
-    scaled = []
-    for name in columns:
-        own = F.try_element_at(f"{prefix}moments", F.lit(name))
-        scaled.append(F.when(all_finite(columns), (F.col(name) - own["mean"]) / F.coalesce(
-            F.nullif(own["deviation"], F.lit(0.0)), F.lit(1.0))).alias(prefix + name))
-    return found.select(*df.columns, *scaled)
+    found = moments(df.where(all_finite(columns)).select(*columns), columns)
+    own = {name: F.try_element_at("found", F.lit(name)) for name in columns}
+    scale = df.sparkSession.range(1).select(found.alias("found")).select(F.struct(*[F.struct(
+        x["mean"].alias("mean"), F.coalesce(F.nullif(x["deviation"], F.lit(0.0)), F.lit(1.0)).alias("deviation"),
+    ).alias(f"s{i}") for i, x in enumerate(own.values())])).scalar()
+    whole, at = f"{prefix}whole", f"{prefix}scale"
+    placed = df.select("*", all_finite(columns).alias(whole), scale.alias(at))
+    return placed.select(*df.columns, *[
+        F.when(F.col(whole), (F.col(name) - F.col(f"{at}.s{i}.mean")) / F.col(f"{at}.s{i}.deviation")).alias(prefix + name)
+        for i, name in enumerate(columns)])
 
 
 Scale = dict[str, tuple[float, float]]
@@ -68,29 +73,13 @@ def _distance(z: list[str], centre: Centre) -> Column:
 def _nearest(z: list[str], centres: list[Centre]) -> Column:
     """The number of the nearest centre, the first of equals.
 
-    Each distance is written out twice and no more, so that the code of a row stays small enough to be compiled.
+    Each distance is written out twice and no more, of places without nulls, so that the code of a row stays within the
+    8,000 bytes up to which the JVM compiles it.
     """
     distances = F.array(*[_distance(z, centre) for centre in centres])
     return F.array_position(distances, F.array_min(distances)) - 1
 
 
-def _drawn(points: DataFrame, z: list[str], centres: list[Centre], seed: int) -> Centre | None:
-    """A further start, drawn by weight and squared distance from the starts so far; None if no point is left.
-
-    Each point waits a time of its own, -ln(u) over its share, with u from a hash of the point, and the first one is
-    taken: the draw of k-means++ as one aggregate, the same however the points lie.
-    """
-    hashed = F.md5(F.concat_ws(",", F.lit(seed), F.lit(len(centres)), *z))
-    u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    share = F.col("weight").cast("double")
-    if centres:
-        apart = [_distance(z, centre) for centre in centres]
-        share = share * (F.least(*apart) if len(apart) > 1 else apart[0])
-    waits = points.select((-F.log(u) / F.nullif(share, F.lit(0.0))).alias("wait"), *z).where("wait is not null")
-    first = waits.agg(F.min(F.struct("wait", *z)).alias("first")).first()["first"]
-    return None if first is None else tuple(float(first[name]) for name in z)
-
-
 def _whole(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"i{len(data) // n}").astype(np.int64)
 
@@ -116,6 +105,60 @@ def _blocks(points: DataFrame, z: list[str]) -> DataFrame:
     return points.select(*names).mapInArrow(each, ", ".join(["n long", *(f"`{name}` binary" for name in names)]))
 
 
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Places and weights of the points of each block."""
+    for batch in batches:
+        for size, *packed in zip(*(column.to_pylist() for column in batch.columns)):
+            *places, weight = (_whole(data, size) for data in packed)
+            yield places, weight
+
+
+def _apart(places: list[np.ndarray], centres: list[Centre]) -> list[np.ndarray]:
+    """Squared distances of the points from each centre."""
+    floats = [x.astype(np.float64) for x in places]
+    return [reduce(add, [(x - c) * (x - c) for x, c in zip(floats, centre)]) for centre in centres]
+
+
+def _hashed(places: list[np.ndarray], seed: int, nth: int) -> np.ndarray:
+    """A number between 0 and 1 for each point, from 48 bits of the MD5 of the seed, the draw and the place."""
+    texts = pc.binary_join_element_wise(*[pa.array(x).cast(pa.string()) for x in places], ",").cast(pa.binary()).to_pylist()
+    start = md5(f"{seed},{nth},".encode(), usedforsecurity=False)
+
+    def digest(text: bytes) -> bytes:
+        own = start.copy()
+        own.update(text)
+        return own.digest()
+
+    first = np.frombuffer(b"".join(map(digest, texts)), ">u8")[::2] >> np.uint64(16)
+    return (first.astype(np.float64) + 0.5) / float(1 << 48)
+
+
+def _drawn(blocks: DataFrame, z: list[str], centres: list[Centre], seed: int) -> Centre | None:
+    """A further start, drawn by weight and squared distance from the starts so far; None if no point is left.
+
+    Each point waits a time of its own, -ln(u) over its share, with u from a hash of the point, and the first one is
+    taken: the draw of k-means++ as one aggregate, the same however the points lie. Every task hands on its first.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: tuple[float, ...] | None = None
+        for places, weight in _unpacked(batches):
+            share = weight.astype(np.float64)
+            if centres:
+                share = share * reduce(np.minimum, _apart(places, centres))
+            left = share > 0
+            if left.any():
+                places = [x[left] for x in places]
+                wait = -np.log(_hashed(places, seed, len(centres))) / share[left]
+                soonest = np.flatnonzero(wait == wait.min())
+                own = min((float(wait[i]), *(int(x[i]) for x in places)) for i in soonest)
+                first = own if first is None else min(first, own)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first[0]]), *(pa.array([x], pa.int64()) for x in first[1:])], ["wait", *z])
+
+    found = blocks.mapInArrow(each, ", ".join(["wait double", *(f"`{name}` long" for name in z)])).collect()
+    return tuple(float(x) for x in min(map(tuple, found))[1:]) if found else None
+
+
 def _totals(blocks: DataFrame, z: list[str], centres: list[Centre]) -> dict[int, list[int]]:
     """For each centre the summed weight and weighted places of its points, in whole numbers.
 
@@ -123,18 +166,14 @@ def _totals(blocks: DataFrame, z: list[str], centres: list[Centre]) -> dict[int,
     """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [[0] * (len(z) + 1) for _ in centres]
-        for batch in batches:
-            for size, *packed in zip(*(column.to_pylist() for column in batch.columns)):
-                *places, weight = (_whole(data, size) for data in packed)
-                floats = [x.astype(np.float64) for x in places]
-                apart = [reduce(add, [(x - c) * (x - c) for x, c in zip(floats, centre)]) for centre in centres]
-                nearest = np.argmin(apart, axis=0)
-                heavy = int(weight.max()) * max(int(np.abs(x).max()) for x in places) * size >= 1 << 62
-                for i, total in enumerate(totals):
-                    own = nearest == i
-                    n = weight[own].astype(object) if heavy else weight[own]
-                    for j, values in enumerate([n, *(n * x[own] for x in places)]):
-                        total[j] += int(values.sum())
+        for places, weight in _unpacked(batches):
+            nearest = np.argmin(_apart(places, centres), axis=0)
+            heavy = int(weight.max()) * max(int(np.abs(x).max()) for x in places) * len(weight) >= 1 << 62
+            for i, total in enumerate(totals):
+                own = nearest == i
+                n = weight[own].astype(object) if heavy else weight[own]
+                for j, values in enumerate([n, *(n * x[own] for x in places)]):
+                    total[j] += int(values.sum())
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(centres)), pa.int32()), pa.array([[str(v) for v in t] for t in totals], pa.list_(pa.string()))],
             ["nearest", "totals"])
@@ -150,14 +189,14 @@ def fit_kmeans(points: DataFrame, z: list[str], k: int = CLUSTERS, seed: int = C
     """Centres of weighted points on the grid, in lexicographic order; no more than there are distinct points.
 
     A round sums whole numbers, so the centres do not depend on partitioning. A centre without points stays. It stops
-    once the squared shifts of all centres sum to no more than ``CLUSTER_TOLERANCE``. The rounds read blocks of the
-    points that are kept in memory; a lost one is made again from ``points``.
+    once the squared shifts of all centres sum to no more than ``CLUSTER_TOLERANCE``. The draws and rounds read blocks of
+    the points that are kept in memory; a lost one is made again from ``points``.
     """
     centres: list[Centre] = []
-    while len(centres) < k and (drawn := _drawn(points, z, centres, seed)) is not None:
-        centres.append(drawn)
     blocks = _blocks(points, z).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        while len(centres) < k and (drawn := _drawn(blocks, z, centres, seed)) is not None:
+            centres.append(drawn)
         for _ in range(CLUSTER_ITERATIONS if centres else 0):
             found = _totals(blocks, z, centres)
             moved = [tuple(float(v) / float(found[i][0]) for v in found[i][1:]) if found[i][0] else centre
@@ -177,7 +216,8 @@ def kmeans(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES, k: int = CL
 
     Clusters are numbered by their centres, the smallest first feature first. ``df`` is read once for the fit: equal
     rows are one with a weight, written, and moments and points come from these. The label is computed in place, so
-    nothing has to be joined back by row.
+    nothing has to be joined back by row; it sits in an array of one, which keeps the optimizer from repeating the
+    distances in a filter on it.
     """
     columns = list(columns)
     z = [f"_z_{name}" for name in columns]
@@ -192,9 +232,10 @@ def kmeans(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES, k: int = CL
     centres = fit_kmeans(points, z, k, seed)
     if not centres:
         return df.withColumn("cluster", F.lit(None).cast("int"))
-    label = F.when(all_finite(columns), _nearest(z, centres)).cast("int").alias("cluster")
-    placed = df.select(*df.columns, *_scaled([f"`{name}`" for name in columns], z, scale)).select(*df.columns, *_placed(z))
-    return placed.select(*df.columns, label)
+    label = F.when(all_finite(columns), _nearest(z, centres)).cast("int")
+    placed = df.select(*df.columns, *_scaled([f"`{name}`" for name in columns], z, scale)).select(
+        *df.columns, *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(name) for x, name in zip(_placed(z), z)])
+    return placed.select(*df.columns, F.explode(F.array(label)).alias("cluster"))
 
 
 def cluster_profile(df: DataFrame, columns: Iterable[str] = CLUSTER_FEATURES) -> DataFrame:

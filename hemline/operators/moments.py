@@ -22,20 +22,21 @@ def exact_sums(df: DataFrame, values: dict[str, Column], weight: Column | None =
     Counts and limbs are combined in the map tasks, a row for each name and power of two. A row with a ``weight``
     counts as so many equal rows.
     """
+    names = list(values)
     times = F.lit(1).cast("long") if weight is None else weight
     value = F.col("x")
     power = F.when(value == 0, 0).otherwise(F.greatest(F.lit(-900), F.floor(F.log2(F.abs(value))) - 1)).cast("int")
     whole = (value * _two_to(52 - F.col("power"))).cast("long")
     low_bits = (1 << _BITS) - 1
     cells = (
-        df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), column.cast("double").alias("x"))
-                                      for name, column in values.items()])).alias("v"), times.alias("times"))
-        .select("v.*", "times").where(F.abs(value) < float("inf")).withColumn("power", power).withColumn("whole", whole)
-        .groupBy("name", "power").agg(
+        df.select(F.posexplode(F.array(*[column.cast("double") for column in values.values()])).alias("nth", "x"), times.alias("times"))
+        .where(F.abs(value) < float("inf")).withColumn("power", power).withColumn("whole", whole)
+        .groupBy("nth", "power").agg(
             F.sum(F.col("whole").bitwiseAND(low_bits) * F.col("times")).alias("a"),
             F.sum(F.shiftright("whole", _BITS).bitwiseAND(low_bits) * F.col("times")).alias("b"),
             F.sum(F.shiftright("whole", 2 * _BITS) * F.col("times")).alias("c"),
             F.sum("times").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .select(F.get(F.array(*map(F.lit, names)), F.col("nth")).alias("name"), "*")
     )
     part = ((F.col("c") * F.lit(2.0 ** (2 * _BITS)) + F.col("b") * F.lit(2.0 ** _BITS) + F.col("a"))
             * _two_to(F.col("power") - 52))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -13,7 +14,9 @@ from hemline.operators.aggregates import (
     brand_metrics, claim_counts, claim_low_quality_share, claims, cpw_by_category, cpw_by_category_complete,
     product_durability_norm, product_sentiment_mean,
 )
-from hemline.operators.clusters import cluster_names, cluster_products, cluster_profile, kmeans, standardize
+from hemline.operators.clusters import (
+    _blocks, _drawn, cluster_names, cluster_products, cluster_profile, kmeans, standardize,
+)
 from hemline.operators.correlation import p_value, pearson, point_biserial, regression_line, with_p_value
 from hemline.operators.filters import drop_missing, finite_only, is_finite, min_tokens
 from hemline.operators.moments import moments
@@ -230,6 +233,37 @@ def test_the_labels_of_a_summary_are_compiled(spark):
     assert sum(r["count"] for r in got) == 203
 
 
+def test_rows_are_labelled_by_code_that_the_jvm_compiles(spark):
+    """A method beyond 8,000 bytes is interpreted, at some twenty times the time of a row."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # else the code is not there before an action
+    try:
+        labelled = standardize(kmeans(_products(spark)), CLUSTER_FEATURES)
+        means = labelled.where("cluster IS NOT NULL").groupBy("cluster").agg(*[F.avg(f"z_{name}") for name in CLUSTER_FEATURES])
+        code = spark._jvm.PythonSQLUtils.explainString(means._jdf.queryExecution(), "codegen")
+        plan = spark._jvm.PythonSQLUtils.explainString(means._jdf.queryExecution(), "simple")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= 8000
+    assert not re.search(r"Filter.*array_min", plan)        # the distances are not written out again in a filter
+
+
+def test_a_start_is_drawn_as_the_sql_draws_it(spark):
+    rng = random.Random(7)
+    places = [tuple(rng.randint(-5_000_000, 5_000_000) for _ in range(2)) for _ in range(500)]
+    weights = [rng.randint(1, 9) for _ in places]
+    points = spark.createDataFrame([(*p, w) for p, w in zip(places, weights)], "a long, b long, weight long").repartition(3)
+    blocks, centres = _blocks(points, ["a", "b"]), []
+    for i in range(3):
+        def wait(point, weight):
+            u = (int(md5(f"9,{i},{point[0]},{point[1]}".encode()).hexdigest()[:12], 16) + 0.5) / 2.0 ** 48
+            share = weight * min([sum((x - c) ** 2 for x, c in zip(point, centre)) for centre in centres], default=1.0)
+            return -math.log(u) / share if share else INF
+        expected = min(zip(places, weights), key=lambda own: wait(*own))[0]
+        centres.append(_drawn(blocks, ["a", "b"], list(centres), 9))
+        assert centres[-1] == expected
+
+
 def test_moments_of_weighted_rows_are_those_of_repeated_rows(spark):
     rows = spark.createDataFrame([(0.1, 3), (1e9, 1), (-7.25, 5), (None, 2)], "a double, weight long")
     repeated = rows.select("a", F.explode(F.sequence(F.lit(1).cast("long"), "weight")))
